@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, token_rollup, toxicity
+from . import langid, mixing, pieces, quality, token_rollup, toxicity, wavelet
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
+    "op3_wavelet_ids": wavelet.op3_wavelet_ids,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_llr": quality.op5_quality_llr,
     "op6_mixing_flow": mixing.op6_mixing_flow,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op10_language_mixture": langid.op10_language_mixture,
 }
 ORACLE = {"op1_token_rollup": token_rollup.OP1_SQL}

@@ -50,7 +50,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """Spark's estimate of the size of what ``df`` reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 64) -> int:

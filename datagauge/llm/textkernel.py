@@ -20,8 +20,8 @@ SLICE_BYTES = 4 << 20
 SLICE_DOCS = 4096
 DOC_BITS = 12
 
-_WORD = np.ones(256, bool)
-_WORD[[0x20, 9, 10, 11, 12, 13]] = False
+WORD = np.ones(256, bool)
+WORD[[0x20, 9, 10, 11, 12, 13]] = False
 
 _PRIME = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -98,7 +98,7 @@ def ranges(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             lo = hi
 
 
-def spans(data: np.ndarray, at: np.ndarray, inside: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, at: np.ndarray, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of runs of ``inside`` bytes, and the runs before each document (one more than documents)."""
     n = len(data)
     if n == 0:
