@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pieces, quality, token_rollup, toxicity, wavelet
+from . import bloom_lm, langid, mixing, pieces, quality, token_rollup, toxicity, wavelet
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
+    "op2_bloom_lm": bloom_lm.op2_bloom_lm,
     "op3_wavelet_ids": wavelet.op3_wavelet_ids,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_llr": quality.op5_quality_llr,
