@@ -85,17 +85,20 @@ def load(path: str | None = None) -> PieceCodec:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int) and decoded text of every document."""
+def encode_rows(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
+    """The columns ``keep``, n_tokens, ids (array of int) and round_trip: whether they decode to the text (null: empty)."""
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.select(*keep).schema)
 
     def run(batches):
         codec = load(path)
-        for batch, data, at in textkernel.ranges(batches):
+        for batch, data, at in textkernel.ranges(batches, "__text"):
             ids, bounds = codec.encode(data, at)
+            raw = data.tobytes()
             texts = codec.model.decode([ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            same = [t.encode() == raw[a:b] for t, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)), pa.array(same, pa.bool_())], names=[*keep, "n_tokens", "ids", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

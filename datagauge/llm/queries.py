@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, langid, minhash, mixing, pieces, quality, token_rollup, toxicity, wavelet
+from . import bloom_lm, crosspolytope, langid, minhash, mixing, pieces, quality, token_rollup, toxicity, wavelet
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_llr": quality.op5_quality_llr,
     "op6_mixing_flow": mixing.op6_mixing_flow,
+    "op7_cross_polytope": crosspolytope.op7_cross_polytope,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_minhash_tensor": minhash.op9_minhash_tensor,
     "op10_language_mixture": langid.op10_language_mixture,
