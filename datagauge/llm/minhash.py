@@ -4,10 +4,11 @@ A document's set holds its distinct word shingles (A-Z as a-z). Two collections
 hash of ``ROWS`` minhashes; a table key joins one half-key of either, so that HALVES^2 tables of 2 x ROWS minhashes
 need only 2 x HALVES x ROWS minhash functions. At Jaccard 0.8 a pair shares a key with probability (1 - (1 - 0.8^ROWS)^HALVES)^2, 0.998 here. Only half-keys that two sets share are joined to keys.
 
-Documents with equal sets are one class from the start. Within a key, links are confirmed on the full sets, in rounds that
-emit no more pairs than needed: first every member with the most typical one; then every member whose class is still another with its likeliest partner; at last all pairs whose classes
-still differ, unless their sketches (``SKETCH`` minhashes) put them under ``LIKELY``, which loses a pair at 0.8 with a chance under 1 in 5,000. Only
-pairs that are joined already by other links are left out, so the components are those of all candidate links. Large keys are split into blocks.
+Documents with equal sets are one class from the start. Links are confirmed on the full sets, in two rounds: first every member
+of a key with the key's most typical member; then members whose classes still differ, in clusters of members that share
+keys, each with its likeliest partners first. Left out are pairs that other links have joined already, which changes no component,
+and in the second round pairs whose sketches (``SKETCH`` minhashes) put them under ``LIKELY``, which loses a pair at 0.8 with a chance under
+1 in 5,000. Large keys and clusters are split into blocks, and every pair of blocks is compared; only links leave a block.
 
 Documents without words are linked with nothing and are their own component; a document with fewer words than a shingle has its whole
 sequence as its only member. Null texts are empty. Rows with a null id are returned with a null component and kept false; rows that repeat an id
@@ -30,7 +31,9 @@ ROWS = 3
 HALVES = 10
 SKETCH = 128
 LIKELY = 0.66
+#: Members, and shingles of all of them, in a block.
 MEMBERS = 1024
+ITEMS = 1 << 19
 
 _U = np.uint64
 _BITS = 64 - textkernel.DOC_BITS
@@ -124,58 +127,63 @@ def _alike(sketch: np.ndarray, x: np.ndarray, y: np.ndarray):
         yield part, (sketch[part][:, None, :] == sketch[y][None, :, :]).mean(axis=2)
 
 
-def _pairs(how: str):
-    """Pairs of a block (columns rep, label, n, blk, i, j, sketch) that may be linked and aren't yet."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rep, label, n = (table[c].to_numpy() for c in ("rep", "label", "n"))
-        blk, i, j = table["blk"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+def _star(table: pa.Table) -> pa.Table:
+    """Pairs of a block's most typical member with every other that may be alike."""
+    rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
+    sketch = np.stack([np.frombuffer(b.as_py(), np.uint16) for b in table["sketch"]])
+    typical = np.empty(SKETCH, np.uint16)
+    for c in range(SKETCH):
+        v, times = np.unique(sketch[:, c], return_counts=True)
+        typical[c] = v[times.argmax()]
+    agree = (sketch == typical).sum(axis=1)
+    centre = min(np.flatnonzero(agree == agree.max()), key=lambda k: rep[k])
+    fits = (PERCENT * np.maximum(n, n[centre]) <= 100 * np.minimum(n, n[centre])) & (rep != rep[centre])
+    other = rep[fits]
+    return pa.table([pa.array(np.minimum(other, rep[centre]), pa.int64()), pa.array(np.maximum(other, rep[centre]), pa.int64())], names=["a", "b"])
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Items of both of two ascending arrays."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def _exact(table: pa.Table) -> pa.Table:
+    """Confirmed links that join the classes (``label``) of a pair of blocks, the likeliest tried first."""
+    rep, label, n, blk = (table[c].to_numpy() for c in ("rep", "label", "n", "blk"))
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    names, times = np.unique(label, return_counts=True)
+    found: list[tuple[int, int]] = []
+    if len(names) > 1:
         sketch = np.stack([np.frombuffer(b.as_py(), np.uint16) for b in table["sketch"]])
-        every = np.arange(len(rep))
-        a, b = [], []
-        if how == "star":
-            typical = np.empty(SKETCH, np.uint16)
-            for c in range(SKETCH):
-                v, times = np.unique(sketch[:, c], return_counts=True)
-                typical[c] = v[times.argmax()]
-            agree = (sketch == typical).sum(axis=1)
-            centre = min(np.flatnonzero(agree == agree.max()), key=lambda k: rep[k])
-            a, b = [rep[every != centre]], [np.full(len(rep) - 1, rep[centre])]
-        else:
-            v, times = np.unique(label, return_counts=True)
-            main = v[times.argmax()]
-            inside = np.flatnonzero(label == main)
-            others = np.flatnonzero(label != main)
-            against = inside if how == "best" else every
-            for part, like in _alike(sketch, others, against):
-                fits = (label[part][:, None] != label[against][None]) & (100 * np.minimum(n[part][:, None], n[against][None]) >= PERCENT * np.maximum(n[part][:, None], n[against][None])) & (like >= LIKELY)
-                if i != j:
-                    fits &= blk[part][:, None] != blk[against][None]
-                if how == "best":
-                    like = np.where(fits, like, -1)
-                    best = like.argmax(axis=1)
-                    on = like[np.arange(len(part)), best] > 0
-                    a.append(rep[part[on]])
-                    b.append(rep[against[best[on]]])
-                else:
-                    x, y = np.nonzero(fits)
-                    a.append(rep[part[x]])
-                    b.append(rep[against[y]])
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        out = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(out[:, 0], pa.int64()), pa.array(out[:, 1], pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _blocks(members: DataFrame, diagonal: bool) -> DataFrame:
-    """A row of each member for every pair of blocks (of about MEMBERS) of its key that holds it."""
-    parts = F.ceil(F.col("size") / MEMBERS).cast("int")
-    rows = members.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    if diagonal:
-        return rows.withColumn("i", F.col("blk")).withColumn("j", F.col("blk"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
+        items = [np.asarray(v, np.int64) for v in table["items"].to_numpy()]
+        root = {v: v for v in names.tolist()}
+
+        def top(v: int) -> int:
+            while root[v] != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        others, every = np.flatnonzero(label != names[times.argmax()]), np.arange(len(rep))
+        for part, like in _alike(sketch, others, every):
+            fits = (label[part][:, None] != label[None]) & (PERCENT * np.maximum(n[part][:, None], n[None]) <= 100 * np.minimum(n[part][:, None], n[None])) & (like >= LIKELY)
+            if i != j:
+                fits &= blk[part][:, None] != blk[None]
+            for k in np.flatnonzero(fits.any(axis=1)).tolist():
+                x = int(part[k])
+                maybe = np.flatnonzero(fits[k])
+                for y in maybe[np.argsort(-like[k][maybe], kind="stable")].tolist():
+                    p, q = top(int(label[x])), top(int(label[y]))
+                    if p == q:
+                        continue
+                    both = _common(items[x], items[y])
+                    if 100 * both >= PERCENT * (len(items[x]) + len(items[y]) - both):
+                        root[max(p, q)] = min(p, q)
+                        found.append((int(rep[x]), int(rep[y])))
+    return pa.table([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
 
 
 def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -183,56 +191,50 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = store.materialize(signatures(docs, width), "minhash-signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    # The class's half-keys are those of any of its rows; rows that repeat an id with another text are apart.
+    # A class has equal sets, so the half-keys and the sketch of any of its rows are those of all.
     reps = store.materialize(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")), "minhash-classes")
-    halves = reps.select("rep", F.posexplode("halves").alias("at", "half"))
+    halves = reps.select("rep", "n", F.posexplode("halves").alias("at", "half"))
     shared = halves.groupBy("at", "half").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    busy = halves.join(shared, ["at", "half"]).groupBy("rep").agg(F.collect_list(F.when(F.col("at") < HALVES, F.struct("at", "half"))).alias("u"), F.collect_list(F.when(F.col("at") >= HALVES, F.struct("at", "half"))).alias("v"))
-    keys = busy.select("rep", "v", F.explode("u").alias("u")).select("rep", "u", F.explode("v").alias("v")).select("rep", F.xxhash64("u.at", "u.half", "v.at", "v.half").alias("key"))
+    busy = halves.join(shared, ["at", "half"]).groupBy("rep", "n").agg(F.collect_list(F.when(F.col("at") < HALVES, F.struct("at", "half"))).alias("u"), F.collect_list(F.when(F.col("at") >= HALVES, F.struct("at", "half"))).alias("v"))
+    keys = busy.select("rep", "n", "v", F.explode("u").alias("u")).select("rep", "n", "u", F.explode("v").alias("v")).select("rep", "n", F.xxhash64("u.at", "u.half", "v.at", "v.half").alias("key"))
     keys = store.materialize(keys, "minhash-keys")
-    groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("lo < hi")
+    groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min("n").alias("few"), F.max("n").alias("many"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("lo < hi")
     # Keys with the same members count once.
-    groups = store.materialize(groups.groupBy("size", "lo", "hi", "x").agg(F.min("key").alias("key")), "minhash-groups")
-    sized = reps.select("rep", "n")
+    groups = store.materialize(groups.groupBy("size", "lo", "hi", "few", "many", "x").agg(F.min("key").alias("key")), "minhash-groups")
+    alike = F.col("few") * 100 >= F.col("many") * PERCENT
     larger = groups.where("size > 2").select("key", "size", "lo")
-    members = store.materialize(keys.join(larger.select("key", "size"), "key").join(reps.select("rep", "n", "sketch"), "rep"), "minhash-members")
-    pair = "a long, b long"
-    by = ["key", "i", "j"]
-    columns = [*by, "rep", "label", "n", "blk", "sketch"]
-    star = _blocks(members.withColumn("label", F.col("rep")), True).select(columns).groupBy(*by).applyInArrow(_pairs("star"), pair)
-    hubs = members.where(F.col("size") > MEMBERS).join(larger.select("key", "lo"), "key").where("rep <> lo").select(F.least("rep", "lo").alias("a"), F.greatest("rep", "lo").alias("b"))
-    twos = groups.where("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    tried = store.materialize(star.unionByName(hubs).unionByName(twos).distinct(), "minhash-pairs")
-    links = _confirmed(tried, sized, docs, width)
-    for how in ("best", "all"):
-        labels = connected_components(links)
-        named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "size", "rep", "n", "sketch", F.coalesce("component", "rep").alias("label"))
-        open_ = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-        rows = _blocks(named.join(open_, "key"), False).select(columns)
-        found = rows.groupBy(*by).applyInArrow(_pairs(how), pair).distinct().join(tried, ["a", "b"], "left_anti")
-        found = store.materialize(found, "minhash-pairs")
-        if not found.isEmpty():
-            tried = tried.unionByName(found)
-            links = links.unionByName(_confirmed(found, sized, docs, width))
-    labels = connected_components(links)
-    known = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+    members = store.materialize(keys.join(larger, "key").join(reps.select("rep", "sketch"), "rep"), "minhash-members")
+    twos = groups.where((F.col("size") == 2) & alike).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    ends = twos.select(F.col("a").alias("doc_id")).unionByName(twos.select(F.col("b").alias("doc_id"))).unionByName(members.select(F.col("rep").alias("doc_id"))).distinct()
+    # The same plan at every size: a broadcast of what grows with the input would only move the growth elsewhere.
+    full = store.materialize(sets(docs.join(ends.hint("merge"), "doc_id", "left_semi"), width), "minhash-sets")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / MEMBERS)).cast("int"))
+    star = dealt.select("key", "block", "rep", "n", "sketch").groupBy("key", "block").applyInArrow(_star, "a long, b long")
+    hubs = members.where((F.col("size") > MEMBERS) & (F.col("rep") != F.col("lo"))).select(F.least("rep", "lo").alias("a"), F.greatest("rep", "lo").alias("b"))
+    pairs = store.materialize(star.unionByName(hubs).unionByName(twos).distinct(), "minhash-pairs")
+    of = [full.select(F.col("rep").alias(x), F.col("items").alias("s" + x)) for x in "ab"]
+    both = F.size(F.array_intersect("sa", "sb"))
+    confirmed = pairs.join(of[0].hint("merge"), "a").join(of[1].hint("merge"), "b").where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both))
+    links = store.materialize(confirmed.select("a", "b").distinct(), "minhash-links")
+    labels = connected_components(links).withColumnRenamed("node", "rep")
+    named = members.join(labels, "rep", "left").select("key", "lo", "rep", "n", "sketch", F.coalesce("component", "rep").alias("label"))
+    open_ = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
+    left = store.materialize(named.join(open_, "key"), "minhash-open")
+    if not left.isEmpty():
+        # Members that share keys, directly or through others, are compared where their classes still differ.
+        cluster = connected_components(left.select(F.col("rep").alias("a"), F.col("lo").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
+        rows = left.dropDuplicates(["rep"]).select("rep", "n", "sketch", "label").join(cluster, "rep")
+        weight = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / ITEMS), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("parts"))
+        rows = rows.join(weight, "cluster").join(full.dropDuplicates(["rep"]), "rep").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
+        by = ["cluster", "i", "j"]
+        more = rows.select(*by, "rep", "label", "n", "blk", "sketch", "items").groupBy(*by).applyInArrow(_exact, "a long, b long")
+        labels = connected_components(links.unionByName(store.materialize(more, "minhash-links"))).withColumnRenamed("node", "rep")
+    known = reps.select("f1", "f2", "rep").join(labels, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     linked = real.select("doc_id", "n_shingles", "f1", "f2").join(known, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _confirmed(pairs: DataFrame, sized: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs whose full sets are alike enough."""
-    a, b = (sized.select(F.col("rep").alias(x), F.col("n").alias("n" + x)) for x in "ab")
-    fits = store.materialize(pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")), "minhash-fits")
-    ends = fits.select(F.col("a").alias("doc_id")).unionByName(fits.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = sets(docs.join(ends, "doc_id", "left_semi"), width)
-    wanted = store.materialize(wanted, "minhash-sets")
-    of = [wanted.select(F.col("rep").alias(x), F.col("items").alias("s" + x)) for x in "ab"]
-    both = F.size(F.array_intersect("sa", "sb"))
-    return store.materialize(fits.join(of[0], "a").join(of[1], "b").where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct(), "minhash-links")
-
-
 def op9_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(store.table(spark, sf_dir, "documents"))
