@@ -52,7 +52,7 @@ def best_attempt(rows: DataFrame) -> DataFrame:
 
 def q_attempt_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = best_attempt(attempts(spark, sf_dir))
-    return rows.select("o_custkey", F.col("o_orderkey").alias("best_attempt"), F.round("rate", 4).alias("best_rate"), "n_attempts", F.round("mean_rate", 4).alias("mean_rate"), "successes")
+    return rows.select("o_custkey", F.col("o_orderkey").alias("best_attempt"), F.round("rate", 4).alias("best_rate"), "n_attempts", F.round(F.col("mean_rate") + 1e-9, 4).alias("mean_rate"), "successes")  # ties round up whatever the order of summing
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
@@ -140,7 +140,7 @@ def _k(k: int) -> str:
 
 ORACLE = {
     "test_rollup": f"WITH {_ATT} SELECT l_orderkey, n_tests, CAST(n_passed AS BIGINT) n_passed, round(n_passed / n_tests, 4) rate, round(coalesce(pp / nullif(pt, 0), 0), 4) public_rate, round(coalesce(vp / nullif(vt, 0), 0), 4) private_rate FROM r",
-    "attempt_rollup": f"WITH {_ATT} SELECT o_custkey, o_orderkey best_attempt, round(rate, 4) best_rate, n_attempts, round(mean_rate, 4) mean_rate, successes FROM b JOIN g USING (o_custkey)",
+    "attempt_rollup": f"WITH {_ATT} SELECT o_custkey, o_orderkey best_attempt, round(rate, 4) best_rate, n_attempts, round(mean_rate + 1e-9, 4) mean_rate, successes FROM b JOIN g USING (o_custkey)",
     "pass_at_k": f"WITH {_ATT} SELECT o_custkey, {_k(1)}, {_k(2)}, {_k(5)} FROM g",
     "efficacy_labels": f"WITH {_ATT} SELECT o_custkey, {rules.EFFICACY} efficacy FROM b",
     "attempt_variance": f"WITH {_ATT}, v AS (SELECT o_custkey, n_attempts, round(rr, 4) rate_range, round(rs, 4) rate_std FROM g) SELECT *, {rules.VOLATILITY} stability FROM v",
