@@ -2,7 +2,7 @@
 
 Each stage works on all that the one before it kept and, but for the last, returns the columns of documents. A
 stage's learned parts are fitted on its own input. Null texts are ``und`` and go in the first stage; an empty table passes all
-stages empty; documents that repeat an id count as one group from the third stage on; null ids stay in until the end.
+stages empty; documents that repeat an id count as one group from the third stage on, of which the least row stays; null ids stay in until the end.
 """
 
 from __future__ import annotations
@@ -34,9 +34,13 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
     docs = docs.select(*COLUMNS)
-    kept = minhash.link(docs).where("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    ids = minhash.link(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
+    ids = store.materialize(ids.select("doc_id", "rows"), "pipeline-kept")
+    once = docs.join(ids.where("rows = 1"), "doc_id", "left_semi")
+    # Only rows that repeat an id are aggregated with their texts.
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    again = docs.join(ids.where("rows > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("least")).select("doc_id", "least.*")
+    return once.unionByName(again).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
