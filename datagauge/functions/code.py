@@ -86,3 +86,50 @@ def code_facts(code: pd.Series) -> pd.DataFrame:
         defs = sorted((x for x in nodes if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)), key=lambda x: x.lineno)
         out.append((True, len(defs), sum(isinstance(x, ast.ClassDef) for x in nodes), defs[0].name if defs else None, len(defs[0].args.args) if defs else None))
     return pd.DataFrame(out, columns=["parses", "functions", "classes", "first_function", "arity"]).astype({"arity": "Int32"})
+
+
+_INT = T.IntegerType()
+SIGNATURE = T.StructType([T.StructField("functions", _INT), T.StructField("classes", _INT), T.StructField("name", T.StringType()), T.StructField("arity", _INT), T.StructField("kwonly", _INT), T.StructField("defaults", _INT), T.StructField("bad_types", T.BooleanType())])
+
+
+def _tree(code: str) -> ast.Module | None:
+    """The syntax tree of a module, or of its first ``def`` line alone with an empty body."""
+    line = re.search(r"^[ \t]*(def[ \t]+\w+[ \t]*\(.*\)[^:\n]*):?", code, re.M)
+    for text in (code, f"{line[1].rstrip()}: pass" if line else None):
+        try:
+            if text is not None:
+                return ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            continue
+    return None
+
+
+def _not_json(node: ast.AST) -> bool:
+    """Whether an annotation holds a tuple, a set, or a mapping whose keys are not strings."""
+    for x in ast.walk(node):
+        if isinstance(x, ast.Name) and x.id in ("Tuple", "tuple", "Set", "set"):
+            return True
+        if isinstance(x, ast.Subscript) and isinstance(x.value, ast.Name) and x.value.id in ("Dict", "dict"):
+            key = x.slice.elts[0] if isinstance(x.slice, ast.Tuple) and x.slice.elts else x.slice
+            if not (isinstance(key, ast.Name) and key.id == "str"):
+                return True
+    return False
+
+
+def signature(code: str | None) -> tuple:
+    """Functions and classes of a module, and the name and parameters of its first function; zeros where nothing parses."""
+    tree = _tree(code or "")
+    nodes = list(ast.walk(tree)) if tree else []
+    defs = sorted((x for x in nodes if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)), key=lambda x: x.lineno)
+    classes = sum(isinstance(x, ast.ClassDef) for x in nodes)
+    if not defs:
+        return 0, classes, None, 0, 0, 0, False
+    a = defs[0].args
+    every = [*a.posonlyargs, *a.args, *a.kwonlyargs]
+    notes = [x.annotation for x in every if x.annotation] + ([defs[0].returns] if defs[0].returns else [])
+    return len(defs), classes, defs[0].name, len(every), len(a.kwonlyargs), len(a.defaults) + sum(x is not None for x in a.kw_defaults), any(map(_not_json, notes))
+
+
+@F.pandas_udf(SIGNATURE)
+def signature_facts(code: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([signature(x) for x in code], columns=SIGNATURE.names)

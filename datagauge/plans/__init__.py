@@ -1,8 +1,8 @@
 """All queries on the shared tables."""
 
-from ..operators import audit, code, outcomes, profile, similarity
+from ..operators import audit, checks, code, outcomes, profile, similarity
 from ..streaming import rollup
 
-_PARTS = (outcomes, profile, similarity, audit, code, rollup)
+_PARTS = (outcomes, profile, similarity, audit, checks, code, rollup)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}
