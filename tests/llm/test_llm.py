@@ -200,6 +200,23 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in components.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4, 8: 4}
 
 
+def test_components_with_hubs(spark):
+    rng = np.random.default_rng(5)
+    pairs = [(900, i) for i in range(400)] + [(1000 + i, 5000) for i in range(300)] + [tuple(map(int, x)) for x in rng.integers(6000, 6200, (90, 2))]
+    root = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: top(x) for p in pairs if p[0] != p[1] for x in p}
+
+
 def test_op4_and_op10(spark):
     folder = "/root/testdata/sf0.01"
     labels = by_id(spark.read.parquet(f"{folder}/labels.parquet"))
