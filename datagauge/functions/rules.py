@@ -49,3 +49,9 @@ DUPLICATE = """CASE WHEN prompt_sim >= 0.98 AND same_name THEN 'exact_duplicate'
 
 RELIABILITY = "CASE WHEN n >= 20 OR share >= 0.15 THEN 'broad' WHEN n >= 10 OR share >= 0.08 THEN 'moderate' ELSE 'narrow' END"
 VERDICT_SCORE = "CASE {0} WHEN 'PASS' THEN 1.0 WHEN 'PARTIAL' THEN 0.5 WHEN 'UNCLEAR' THEN 0.25 WHEN 'FAIL' THEN 0.0 END"
+
+#: Of a sample's first and second model; ``edge`` are the rates on generated tests, ``n_edge`` those tests.
+COMPARISON = """CASE WHEN "second" IS NULL THEN concat('one model: ', first_label)
+ WHEN n_edge > 0 AND abs(first_edge - second_edge) >= 0.34 THEN concat('edge cases favour ', CASE WHEN first_edge > second_edge THEN "first" ELSE "second" END)
+ WHEN abs(first_rate - second_rate) < 0.05 THEN 'tie'
+ ELSE concat('stronger overall: ', CASE WHEN first_rate > second_rate THEN "first" ELSE "second" END) END"""

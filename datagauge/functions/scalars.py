@@ -94,3 +94,21 @@ def incomplete_reason(details: Column, finish: Column, status: Column) -> Column
     """Why a generation is incomplete: its stated reason, else a finish of length or incomplete, else such a status; empty if complete."""
     bad = lambda c: F.lower(_text(c)).isin("length", "incomplete")
     return F.when(_text(details) != "", details).when(bad(finish), F.lower(finish)).when(F.lower(_text(status)) == "incomplete", "incomplete").otherwise("")
+
+
+def repaired(c: Column) -> Column:
+    """UTF-8 that was read as Latin-1 is read again, if that succeeds; line ends become newlines."""
+    t = _text(c)
+    latin = t.rlike("[âÃÂð]") & ~t.rlike(r"[^\x{0}-\x{FF}]")
+    again = F.encode(F.regexp_replace(t, r"[^\x{0}-\x{FF}]", "?"), "ISO-8859-1").cast("string")
+    return F.regexp_replace(F.when(latin & F.is_valid_utf8(again), again).otherwise(t), "\r\n?", "\n")
+
+
+def json_object(c: Column) -> Column:
+    """The object that a text is, or that its outermost braces hold, as JSON; null if there is none."""
+
+    def parsed(t: Column) -> Column:
+        v = F.try_parse_json(t)
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v))
+
+    return F.coalesce(parsed(c), parsed(F.regexp_extract(c, r"(?s)\{.*\}", 0)))

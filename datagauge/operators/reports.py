@@ -79,6 +79,16 @@ def q_model_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(F.avg("rate") + 1e-9, 4).alias("mean_best"), F.round(F.avg((F.col("rate") >= 0.9999).cast("double")) + 1e-9, 4).alias("solved"), F.count_if(F.col("efficacy") == "Suspicious").alias("suspicious"))
 
 
+def q_comparison_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sets a sample's first two models by name apart; private tests stand for generated ones."""
+    one = F.struct(F.col("o_orderpriority").alias("name"), F.col("efficacy").alias("label"), "rate", F.col("private_rate").alias("edge"), "n_tests")
+    # A sample has a row for each model, and there are few.
+    rows = outcomes.models(spark, sf_dir).groupBy("o_custkey").agg(F.array_sort(F.collect_list(one)).alias("m"))
+    a, b = F.col("m")[0], F.get("m", F.lit(1))
+    rows = rows.select("o_custkey", a["name"].alias("first"), b["name"].alias("second"), a["label"].alias("first_label"), a["rate"].alias("first_rate"), b["rate"].alias("second_rate"), a["edge"].alias("first_edge"), b["edge"].alias("second_edge"), a["n_tests"].alias("n_edge"))
+    return rows.select("o_custkey", "first", "second", F.expr(rules.COMPARISON.replace('"', "`")).alias("note"))
+
+
 def q_imperfect_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each check that a document does not pass, as (document, check, verdict)."""
     rows = audit.verdicts(table(spark, sf_dir, "documents"))
@@ -108,6 +118,9 @@ ORACLE = {
     "findings": _G + " UNION ALL ".join(f"SELECT '{k}' kind, {i} \"position\", '{m}' finding, {s} samples FROM g WHERE {on}" for k, of in FINDINGS.items() for i, (m, s, on) in enumerate(of, 1)),
     "auditor_disagreement": f"{_J} SELECT user_id, n_judgments, {DISAGREEMENT} \"label\", round(n_differ / 3, 4) gap_proxy, (['critical', 'high', 'medium', 'normal'])[k + 1] priority FROM c",
     "model_means": f"WITH {outcomes._ATT} SELECT o_orderpriority model, count(*) n, round(avg(rate) + 1e-9, 4) mean_best, round(avg((rate >= 0.9999)::INT) + 1e-9, 4) solved, count(*) FILTER (efficacy = 'Suspicious') suspicious FROM m GROUP BY 1",
+    "comparison_notes": f"""WITH {outcomes._ATT}, k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) i FROM m),
+ t AS (SELECT a.o_custkey, a.o_orderpriority "first", b.o_orderpriority "second", a.efficacy first_label, a.rate first_rate, b.rate second_rate, a.private_rate first_edge, b.private_rate second_edge, a.n_tests n_edge FROM k a LEFT JOIN k b ON b.o_custkey = a.o_custkey AND b.i = 2 WHERE a.i = 1)
+ SELECT o_custkey, "first", "second", {rules.COMPARISON} note FROM t""",
     "imperfect_checks": f"WITH {audit._V}, u AS ({_U}) SELECT * FROM u WHERE verdict <> 'PASS'",
     "verdict_counts": f'WITH {audit._V}, u AS ({_U}) SELECT "check", verdict, count(*) n FROM u GROUP BY ALL',
     "text_scalars": f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') t, {_X} x, {_Y} y FROM documents), e AS (SELECT *, lower(regexp_replace(regexp_replace(coalesce(source, ''), '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g')) l FROM d)

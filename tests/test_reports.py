@@ -68,3 +68,5 @@ def test_scalars(spark):
     assert [one(lambda c, s=s: scalars.test_cell(F.lit(s), c), value=v) for s, v in (("pass", None), ("fail", "x"), ("timeout", "y"), ("crash", None))] == ["PASS", "FAIL:x", "TIMEOUT", "ERROR"]
     assert [one(scalars.execution_failure, value=v) for v in ("SyntaxError", None)] == ["syntax_error", "runtime_error"]
     assert [one(lambda c, f=f: scalars.incomplete_reason(c, F.lit(f), F.lit("done")), value=v) for v, f in (("max", "stop"), (None, "length"), (None, "stop"))] == ["max", "length", ""]
+    assert [one(scalars.repaired, value=v) for v in ("cafÃ©\r\nx\ry", "Ã", "日Ã©", "café", None)] == ["café\nx\ny", "Ã", "日Ã©", "café", ""]
+    assert [one(scalars.json_object, value=v) for v in ('{"a": 1}', 'say {"a": 1} ok', "[1]", "{x}", None, "")] == ['{"a":1}', '{"a":1}', None, None, None, None]
