@@ -6,9 +6,9 @@ is absent. Probabilities are interpolated over the orders, p_n = (c(context, w)
 so that the chance of an unseen n-gram is that of the n-grams seen once; below them stand known words with mass 1 - u in proportion to
 their counts, and one unknown word with mass u, the share of words seen once.
 
-The filter has a segment for each bucket, ``BITS`` bits an entry, or fewer where that could pass
-``MAX_FILTER_BYTES``: the entries are at most the tokens times the orders (b is 1.5, so levels never outnumber the count), so that
-bound holds for any corpus; the false-positive rate then rises, and no n-gram is left out. The unigram baseline uses exact counts: words that make up at least 1 / ``HEAD`` of all
+The filter has a segment for each bucket, ``BITS`` bits an entry at any size. Up to ``MAX_FILTER_BYTES`` it is broadcast. A larger one stays
+in its table: documents are dealt into chunks, a chunk's distinct n-grams go to the segments they fall in, and the levels read there come back to the
+chunk, so that a task holds a chunk or a few segments, and the scores are those of the broadcast filter. The unigram baseline uses exact counts: words that make up at least 1 / ``HEAD`` of all
 tokens (at most ``HEAD`` words) are broadcast, all others are joined.
 
 Null and empty texts hold the end token alone. Without learning documents every known count is 0. Repeated rows each count
@@ -34,8 +34,9 @@ BITS = 8.0
 HASHES = 5
 MAX_FILTER_BYTES = 256 << 20
 HEAD = 1 << 21
-#: Bytes of input to a bucket of n-grams, and n-grams that a task holds before it hands them on.
+#: Bytes of input to a bucket of n-grams or a chunk of documents, buckets probed together, and n-grams that a task holds before it hands them on.
 BUCKET_BYTES = 4 << 20
+SPAN = 16
 HELD = 1 << 22
 
 _U = np.uint64
@@ -135,7 +136,7 @@ def _position(one: np.ndarray, two: np.ndarray, i: int, bits: np.ndarray | np.ui
 STATS = 2 + LEVELS + 1
 
 
-def _builder(order: int, bits_each: float):
+def _builder(order: int):
     """Per bucket: its filter segment, unigram counts, and for each order the n-grams, those seen once and the tokens by level."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -155,7 +156,7 @@ def _builder(order: int, bits_each: float):
             stats[o - 1, 0], stats[o - 1, 1] = real.sum(), (counts[real] == 1).sum()
             stats[o - 1, 2:] = np.bincount(level, counts, LEVELS + 1).astype(np.int64)
         entries = sum(int(f[2].sum()) for f in found)
-        bits = max(64, math.ceil(entries * bits_each / 64) * 64)
+        bits = max(64, math.ceil(entries * BITS / 64) * 64)
         plane = np.zeros(bits, bool)
         for o, (keys, _, level) in enumerate(found, 1):
             j = 1
@@ -174,9 +175,10 @@ def _builder(order: int, bits_each: float):
 
 
 class Filter:
-    """Segments in a row; reads levels by repeated probes."""
+    """Segments in a row, those of all buckets or of the ones from ``first`` of ``of``; reads levels by repeated probes."""
 
-    def __init__(self, segments: list[bytes]):
+    def __init__(self, segments: list[bytes], first: int = 0, of: int | None = None):
+        self.first, self.of = first, of or len(segments)
         self.bits = np.array([8 * len(s) for s in segments], _U)
         self.start = np.concatenate(([0], np.cumsum(self.bits[:-1]))).astype(np.int64) if segments else np.zeros(0, np.int64)
         self.data = b"".join(segments)
@@ -186,7 +188,7 @@ class Filter:
         if not len(self.bits):
             return out
         plane = np.frombuffer(self.data, np.uint8)
-        bucket = _buckets(keys, len(self.bits))
+        bucket = _buckets(keys, self.of) - self.first
         bits, start, where = self.bits[bucket], self.start[bucket], np.arange(len(keys))
         for level in range(1, LEVELS + 1):
             one, two = _slots(keys, level, order)
@@ -201,11 +203,66 @@ class Filter:
         return out
 
 
+class Answers:
+    """Levels that were read elsewhere, of sorted keys by order."""
+
+    def __init__(self, keys: list[np.ndarray], levels_: list[np.ndarray]):
+        self.keys, self.read = keys, levels_
+
+    def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
+        return self.read[order - 1][np.searchsorted(self.keys[order - 1], keys)]
+
+
+def _distinct(batches, order: int) -> list[np.ndarray]:
+    """Sorted keys by order of all that scoring the rows asks for."""
+    held = [[np.array([_BOS])], *([np.zeros(0, _U)] for _ in range(1, order))]
+    for _, data, at in textkernel.ranges(batches, "__text"):
+        s, e, before = textkernel.spans(data, at)
+        tokens, bounds = sequence(textkernel.hashes(data, s, e), before)
+        held[0].append(np.unique(tokens))
+        for o, (key, _, there) in enumerate(ngrams(tokens, bounds, order), 1):
+            held[o].append(np.unique(key[there]))
+    return [np.unique(np.concatenate(h)) for h in held]
+
+
+def _asker(order: int, n_buckets: int):
+    """Per chunk: its distinct keys, by the part of the buckets they fall in."""
+    parts = -(-n_buckets // SPAN)
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = _distinct(table.to_batches(), order)
+        at = [np.searchsorted(_buckets(k, n_buckets) // SPAN, np.arange(parts + 1)) for k in keys]
+        cells = [[k[a[i] : a[i + 1]].tobytes() for k, a in zip(keys, at, strict=True)] for i in range(parts)]
+        some = [i for i in range(parts) if any(cells[i])]
+        return pa.table([pa.array([table["chunk"][0].as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([cells[i] for i in some], pa.list_(pa.binary()))], names=["chunk", "part", "keys"])
+
+    return run
+
+
+def _prober(n_buckets: int):
+    """Per part: the levels of every chunk's keys, read from the part's segments."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows:
+            part = asked["part"][0].as_py()
+            own: list[bytes] = [bytes(8)] * min(SPAN, n_buckets - part * SPAN)
+            for bucket, segment in zip(held["bucket"].to_pylist(), held["segment"].to_pylist(), strict=True):
+                own[bucket - part * SPAN] = segment
+            filter_ = Filter(own, part * SPAN, n_buckets)
+            for chunk, keys in zip(asked["chunk"].to_pylist(), asked["keys"], strict=True):
+                out.append((chunk, part, [filter_.levels(np.frombuffer(k.as_py(), _U), o).astype(np.uint8).tobytes() for o, k in enumerate(keys, 1)]))
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.binary())), strict=True)], names=["chunk", "part", "levels"])
+
+    return run
+
+
 class BloomModel:
-    """The filter, the words' exact counts (a table), and the smoothing constants."""
+    """The filter (none where it is too large to broadcast), the table of its segments and of the words' exact counts, and the smoothing constants."""
 
-    def __init__(self, filter_: Filter, words: DataFrame | None, tokens: int, stats: np.ndarray, order: int):
-        self.filter, self.words, self.tokens, self.order = filter_, words, tokens, order
+    def __init__(self, filter_: Filter | None, words: DataFrame | None, tokens: int, stats: np.ndarray, order: int, n_buckets: int):
+        self.filter, self.words, self.tokens, self.order, self.n_buckets = filter_, words, tokens, order, n_buckets
         self.types = int(stats[0, 0])
         self.unknown = min(max(stats[0, 1] / max(tokens, 1), 0.5 / (tokens + 1)), 0.5) if tokens else 1.0
         self.mass = float((stats[0, 2:] / np.maximum(MEANS, 1) * MEANS).sum()) if tokens else 1.0
@@ -231,16 +288,19 @@ class BloomModel:
 
         tokens = text.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
         n_buckets = store.parts_for(text, BUCKET_BYTES)
-        bits = min(BITS, 8 * max_bytes / max(1, order * tokens))
         rows = text.mapInArrow(_counter(order, n_buckets), "bucket int, order int, keys binary, counts binary")
-        built = rows.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_builder(order, bits), "bucket int, segment binary, keys binary, counts binary, stats array<long>")
+        built = rows.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_builder(order), "bucket int, segment binary, keys binary, counts binary, stats array<long>")
         built = store.materialize(built, "bloom")
+        stats, size = np.zeros((order, STATS), np.int64), 0
+        for r in built.select("stats", F.length("segment").alias("size")).toLocalIterator():
+            stats += np.array(r["stats"], np.int64).reshape(order, STATS)
+            size += r["size"]
+        if size > max_bytes:
+            return cls(None, built, tokens, stats, order, n_buckets)
         segments: list[bytes] = [bytes(8)] * n_buckets
-        stats = np.zeros((order, STATS), np.int64)
-        for r in built.select("bucket", "segment", "stats").toLocalIterator():
+        for r in built.select("bucket", "segment").toLocalIterator():
             segments[r["bucket"]] = bytes(r["segment"])
-            stats += np.array(r["stats"], np.int64).reshape(order, STATS)
-        return cls(Filter(segments), built, tokens, stats, order)
+        return cls(Filter(segments), built, tokens, stats, order, n_buckets)
 
     def counted(self, least: int, most: int | None) -> DataFrame:
         """Rows (key, c) of the words counted at least ``least`` and less than ``most`` times."""
@@ -255,7 +315,7 @@ class BloomModel:
         return self.words.select("keys", "counts").mapInArrow(run, "key long, c long")
 
 
-def log_probabilities(filter_: Filter, order: int, unknown: float, mass: float, kappa: list[float], tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def log_probabilities(filter_: Filter | Answers, order: int, unknown: float, mass: float, kappa: list[float], tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log10 p of each token given those before it."""
     words, inverse = np.unique(np.append(tokens, _BOS), return_inverse=True)
     counts = MEANS[filter_.levels(words, 1)]
@@ -287,9 +347,8 @@ def score(docs: DataFrame, model: BloomModel, keep: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_tokens long", "n_known long", "base double", "score double", "rid long", "key long", "n long"])
     names = [*keep, "n_tokens", "n_known", "base", "score", "rid", "key", "n"]
 
-    def run(batches):
-        filter_, heads, times, order, unknown, mass, kappa = shared.value
-        next_rid = TaskContext.get().partitionId() << 40
+    def scored(batches, filter_, next_rid):
+        _, heads, times, order, unknown, mass, kappa = shared.value
         for batch, data, at in textkernel.ranges(batches, "__text"):
             s, e, before = textkernel.spans(data, at)
             tokens, bounds = sequence(textkernel.hashes(data, s, e), before)
@@ -316,7 +375,27 @@ def score(docs: DataFrame, model: BloomModel, keep: list[str]) -> DataFrame:
                 nulls = [pa.nulls(len(first), t) for t in out.schema.types[: len(keep) + 4]]
                 yield pa.RecordBatch.from_arrays([*nulls, pa.array(rid[own[first]]), pa.array(tokens[first].view(np.int64)), pa.array(n.astype(np.int64))], names=names)
 
-    rows = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    def run(batches):
+        yield from scored(batches, shared.value[0], TaskContext.get().partitionId() << 40)
+
+    texts, n_buckets = docs.select(*keep, F.col("text").alias("__text")), model.n_buckets
+    if model.filter is not None:
+        rows = texts.mapInArrow(run, schema)
+    else:
+        n_chunks, parts = store.parts_for(docs, BUCKET_BYTES), -(-n_buckets // SPAN)
+        # By their content, so that a repeated task deals alike.
+        dealt = texts.withColumn("chunk", F.pmod(F.xxhash64(*keep, "__text"), F.lit(n_chunks))).repartition(n_chunks, "chunk")
+        order = model.order
+        asked = dealt.groupBy("chunk").applyInArrow(_asker(order, n_buckets), "chunk long, part int, keys array<binary>").repartition(parts, "part")
+        held = model.words.select(F.floor(F.col("bucket") / SPAN).cast("int").alias("part"), "bucket", "segment").repartition(parts, "part")
+        read = asked.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(_prober(n_buckets), "chunk long, part int, levels array<binary>").repartition(n_chunks, "chunk")
+
+        def answered(table: pa.Table, got: pa.Table) -> pa.Table:
+            cells = got.sort_by("part")["levels"].to_pylist()
+            answers = Answers(_distinct(table.to_batches(), order), [np.frombuffer(b"".join(c[o] for c in cells), np.uint8) for o in range(order)])
+            return pa.Table.from_batches(scored(table.to_batches(), answers, table["chunk"][0].as_py() << 32))
+
+        rows = dealt.groupBy("chunk").cogroup(read.groupBy("chunk")).applyInArrow(answered, schema)
     joined = rows.join(model.counted(1, least), "key", "left")
     c, n = F.coalesce("c", F.lit(0)), F.col("n")
     whole = math.log10(model.tokens + 0.5 * (model.types + 1))

@@ -87,6 +87,25 @@ def test_filter_reads_its_levels():
     assert not bloom_lm.Filter([bytes(64)]).levels(keys, 1).any()
 
 
+def test_filter_too_large_to_broadcast(spark, data, rows):
+    """Beyond max_bytes nothing is lost: the segments keep their bits, and every score is that of the broadcast filter."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 20"))  # repeated rows each get theirs
+    small, large = bloom_lm.BloomModel.fit(docs, max_bytes=1000), bloom_lm.BloomModel.fit(docs)
+    assert small.filter is None and large.filter is not None
+    assert sorted(r[0] for r in small.words.selectExpr("hash(segment)").collect()) == sorted(r[0] for r in large.words.selectExpr("hash(segment)").collect())
+    got, want = (sorted(map(tuple, bloom_lm.score(docs, m, ["doc_id"]).fillna(-1).collect())) for m in (small, large))
+    assert len(got) == len(want) == len(rows) + 20
+    assert np.allclose(np.array(got, float), np.array(want, float), rtol=1e-9, atol=0)
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_filter_too_large_at_other_orders(spark, data, order):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").where("doc_id < 50")
+    got, want = ({r["doc_id"]: r["score"] for r in bloom_lm.score(docs, bloom_lm.BloomModel.fit(docs, order, b), ["doc_id"]).collect()} for b in (1000, 1 << 28))
+    assert got == pytest.approx(want, rel=1e-9) and len(got) == 50
+
+
 def test_op3(spark, data, rows):
     from public_tokenizers import path
     from tokenizers import Tokenizer
