@@ -16,6 +16,8 @@ from ..functions import rules, text
 from ..sources.tables import table
 
 LEAST = 0.55
+#: Least prompt similarity of a pair labelled for its structure alone: .55 p + .25 + .2 >= .55 (less slack for floats). That takes one source.
+LEAST_STRUCTURAL = 2 / 11 - 1e-9
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,10 +41,11 @@ def gram_sets(docs: DataFrame) -> DataFrame:
     return first.select("doc_id", "copies", F.array_distinct(F.transform(text.ngrams(F.col("t")), lambda g: F.xxhash64(g))).alias("grams")).where(F.size("grams") > 0)
 
 
-def similar(sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """(left, right, prompt_sim): all pairs with Jaccard of at least ``least``."""
+def similar(sets: DataFrame, least: float = LEAST, within: str | None = None) -> DataFrame:
+    """(left, right, prompt_sim): all pairs with Jaccard of at least ``least``, those alike in the column ``within`` (or both null) where it is given."""
     sets = written(sets, "grams")
-    size = sets.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    grams = F.col("grams") if within is None else F.transform("grams", lambda g: F.xxhash64(g, F.col(within).isNull(), F.col(within)))
+    size = sets.select("doc_id", F.size("grams").alias("n"), F.explode(grams).alias("g"))
     df = size.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = size.join(df, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     w = Window.partitionBy("doc_id").orderBy("df", "g")
@@ -53,10 +56,19 @@ def similar(sets: DataFrame, least: float = LEAST) -> DataFrame:
     return joined.select("left", "right", text.jaccard(F.col("lg"), F.col("rg")).alias("prompt_sim")).where(F.col("prompt_sim") >= least)
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with prompt, embedding, lexical, structural and combined similarity and their label; copies beside their first row count as 1."""
+def signals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Pairs with prompt, embedding, lexical, structural and combined similarity and their label; copies beside their first row count as 1.
+
+    Of the pairs with a prompt similarity of ``LEAST`` or more; ``whole``: of all pairs. A pair below it has a label only by structural >= .55, which
+    takes one source and ``LEAST_STRUCTURAL``: with prompt and structural below .55 the blend is at most .6625, so neither other label is reached.
+    """
     docs = table(spark, sf_dir, "documents")
-    pairs = written(similar(gram_sets(docs)), "similar")
+    sets = gram_sets(docs)
+    pairs = similar(sets)
+    if whole:
+        near = similar(sets.join(docs.select("doc_id", "source"), "doc_id"), LEAST_STRUCTURAL, "source")
+        pairs = pairs.unionByName(near.where(F.col("prompt_sim") < LEAST))
+    pairs = written(pairs, "similar")
     names = docs.select("doc_id", "source", "lang", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines"))
     vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     side = [names.join(vec, "doc_id", "left").select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("source", "lang", "lines", "v"))) for s in ("left", "right")]
@@ -78,14 +90,25 @@ def q_duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir)
 
 
-def q_nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_all_duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals(spark, sf_dir, whole=True)
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
     """Each row's most similar other, the smallest pair of equals."""
-    pairs = signals(spark, sf_dir)
     both = pairs.select(F.col("left").alias("doc_id"), F.col("right").alias("closest"), "combined", "label").unionByName(pairs.select(F.col("right").alias("doc_id"), F.col("left").alias("closest"), "combined", "label"))
     best = F.max_by(F.struct("closest", "combined", "label"), F.struct("combined", (-F.least("doc_id", "closest")).alias("l"), (-F.greatest("doc_id", "closest")).alias("r")))
     return both.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.*")
 
 
+def q_nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(signals(spark, sf_dir))
+
+
+def q_all_nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(signals(spark, sf_dir, whole=True))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable. Every round each node takes the least label of its neighbours and of its label's label."""
     both = written(edges.select(F.col("left").alias("a"), F.col("right").alias("b")).unionByName(edges.select(F.col("right").alias("a"), F.col("left").alias("b"))).distinct(), "edges")
@@ -111,14 +134,22 @@ def q_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(rows.groupBy("cluster_id").agg(F.count("*").alias("cluster_size")), "cluster_id").select("doc_id", "cluster_id", "cluster_size")
 
 
-def q_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report(pairs: DataFrame) -> DataFrame:
     """Pairs with the larger of the two rows' own best scores."""
-    pairs = written(signals(spark, sf_dir), "signals")
+    pairs = written(pairs, "signals")
     ends = pairs.select(F.col("left").alias("d"), "combined").unionByName(pairs.select(F.col("right").alias("d"), "combined")).groupBy("d").agg(F.max("combined").alias("best"))
     rows = pairs.join(ends.toDF("left", "lb"), "left").join(ends.toDF("right", "rb"), "right")
     return rows.select("left", "right", "label", F.greatest("lb", "rb").alias("similarity"))
 
 
+def q_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(signals(spark, sf_dir))
+
+
+def q_all_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(signals(spark, sf_dir, whole=True))
+
+
 def q_cross_corpus_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items of which a document holds half of the distinct 5-word shingles or more. The items' side is not broadcast unless Spark finds it small."""
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
@@ -161,3 +192,5 @@ ORACLE = {
  n AS (SELECT id, count(*) n FROM s WHERE k = 1 GROUP BY 1), f AS (SELECT d.id doc_id, b.id item_id, count(*) shared FROM s d JOIN s b ON d.s = b.s AND d.k = 0 AND b.k = 1 GROUP BY 1, 2)
  SELECT doc_id, item_id, shared, round(shared / n, 4) overlap FROM f JOIN n ON n.id = item_id WHERE 2 * shared >= n""",
 }
+#: The same over all pairs.
+ORACLE |= {f"all_{n}": ORACLE[n].replace(_N, _N.replace(" WHERE c / (a.n + b.n - c) >= 0.55)", ")")) for n in ("duplicate_labels", "nearest_neighbor", "duplicate_report")}
