@@ -15,6 +15,8 @@ from datagauge.llm import langid, minhash, mixing, pieces, store, toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least score of a language prediction.
 SURE = 0.5
+#: Words of a shingle; the two of op9 are that query's own.
+SHINGLE = 5
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +34,9 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates by five-word shingles."""
     docs = docs.select(*COLUMNS)
-    ids = minhash.link(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
+    ids = minhash.link(docs, SHINGLE).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
     ids = store.materialize(ids.select("doc_id", "rows"), "pipeline-kept")
     once = docs.join(ids.where("rows = 1"), "doc_id", "left_semi")
     # Only rows that repeat an id are aggregated with their texts.

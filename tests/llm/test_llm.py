@@ -275,3 +275,15 @@ def test_pipeline(spark, data):
     assert not kept & {1000, 1001, 1002}
     out = corpus_pipeline.run(spark, data).collect()
     assert len(out) == n[-1] and all(r["round_trip"] for r in out if r["doc_id"] != 1008)  # a marker in a text decodes to a space
+
+
+def test_pipeline_keeps_what_only_word_pairs_join(spark):
+    import corpus_pipeline
+
+    # One word of 36 changed: 33 of 37 word pairs are shared, but 27 of 37 five-word shingles.
+    text = [f"w{i}" for i in range(36)]
+    other = [*text[:18], "new", *text[19:]]
+    rows = [(1, " ".join(text), "en", "a", 1), (2, " ".join(other), "en", "a", 1), (3, " ".join(text), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in minhash.link(docs).collect() if r["kept"]} == {1}
+    assert {r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect()} == {1, 2}
