@@ -6,54 +6,80 @@ from collections.abc import Callable
 
 import numpy as np
 
+from . import textkernel
+
 #: Entries after which a worker's table starts anew; results don't depend on it.
 ENTRIES = 1 << 20
+#: Bytes of the entries' chunks after which it starts anew too.
+ENTRY_BYTES = 64 << 20
 
 
 class ChunkTable:
-    """Ids by chunk hash: sorted keys, and the place and length of each one's ids in a pool."""
+    """Ids by chunk: sorted hashes, each with its chunk's bytes and the place and length of its ids in a pool.
+
+    A chunk takes the ids of an entry only if their bytes are equal; one that merely shares the hash of another goes on to the next hash of its own.
+    """
 
-    def __init__(self, encode: Callable[[list[tuple[bytes, int]]], list[np.ndarray]], entries: int = ENTRIES):
+    def __init__(self, encode: Callable[[list[bytes], list[int]], list[np.ndarray]], entries: int = ENTRIES):
         self.encode, self.entries = encode, entries
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.place, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        #: Of each entry: kind, place and length of the bytes, place and length of the ids.
+        self.facts = np.zeros((5, 0), np.int64)
+        self.bytes, self.used_bytes = np.zeros(1 << 16, np.uint8), 0
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _add(self, keys: np.ndarray, chunks: list[tuple[bytes, int]]) -> None:
-        ids = self.encode(chunks)
-        length = np.array([len(x) for x in ids], np.int64)
-        need = self.used + int(length.sum())
-        if need > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(max(need, 2 * len(self.pool)) - len(self.pool), np.int32)))
-        if ids:
-            self.pool[self.used : need] = np.concatenate(ids)
+    @staticmethod
+    def _put(pool: np.ndarray, used: int, parts: list[np.ndarray]) -> tuple[np.ndarray, int]:
+        need = used + sum(map(len, parts))
+        if need > len(pool):
+            pool = np.concatenate((pool, np.zeros(max(need, 2 * len(pool)) - len(pool), pool.dtype)))
+        if parts:
+            pool[used:need] = np.concatenate(parts)
+        return pool, need
+
+    def _add(self, keys: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray, kind: np.ndarray) -> None:
+        text = data.tobytes()
+        chunks = [text[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+        ids = self.encode(chunks, kind.tolist())
+        length, size = np.array([len(x) for x in ids], np.int64), e - s
+        facts = np.stack((kind.astype(np.int64), self.used_bytes + np.cumsum(size) - size, size, self.used + np.cumsum(length) - length, length))
+        self.pool, self.used = self._put(self.pool, self.used, ids)
+        self.bytes, self.used_bytes = self._put(self.bytes, self.used_bytes, [np.frombuffer(b"".join(chunks), np.uint8)])
         at = np.searchsorted(self.keys, keys)
-        self.place = np.insert(self.place, at, self.used + np.cumsum(length) - length)
-        self.length = np.insert(self.length, at, length)
+        self.facts = np.insert(self.facts, at, facts, axis=1)
         self.keys = np.insert(self.keys, at, keys)
-        self.used = need
 
     def ids(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks in a row, and the number of ids of each. ``kind``: passed to the encoder, part of ``h``."""
-        if len(h) == 0:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) > self.entries:
+        """The ids of all chunks in a row, and the number of ids of each. ``kind``: passed to the encoder; chunks of different kinds are different."""
+        place, length = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        if len(self.keys) > self.entries or self.used_bytes > ENTRY_BYTES:
             self._clear()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        if not known.all():
-            new = first[~known]
-            text = data.tobytes()
-            self._add(keys[~known], [(text[a:b], k) for a, b, k in zip(s[new].tolist(), e[new].tolist(), kind[new].tolist(), strict=True)])
+        todo = np.arange(len(h))
+        while len(todo):
+            keys, first, inverse = np.unique(h[todo], return_index=True, return_inverse=True)
             at = np.searchsorted(self.keys, keys)
-        place, length = self.place[at][inverse], self.length[at][inverse]
+            known = np.zeros(len(keys), bool)
+            if len(self.keys):
+                known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+            if not known.all():
+                new = todo[first[~known]]
+                self._add(keys[~known], data, s[new], e[new], kind[new])
+                at = np.searchsorted(self.keys, keys)
+            entry = at[inverse]
+            size = e[todo] - s[todo]
+            good = (self.facts[0, entry] == kind[todo]) & (self.facts[2, entry] == size)
+            some = np.flatnonzero(good)
+            good[some] = textkernel.same(data, s[todo[some]], size[some], self.bytes, self.facts[1, entry[some]])
+            place[todo[good]], length[todo[good]] = self.facts[3, entry[good]], self.facts[4, entry[good]]
+            todo = todo[~good]
+            if len(todo):
+                h = h.copy()
+                h[todo] = textkernel.mix(h[todo] + np.uint64(1))
         end = np.cumsum(length)
-        where = np.repeat(place - (end - length), length) + np.arange(end[-1])
+        where = np.repeat(place - (end - length), length) + np.arange(end[-1] if len(end) else 0)
         return self.pool[where], length
 
 

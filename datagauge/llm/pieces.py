@@ -38,14 +38,14 @@ class PieceCodec:
         self.space = self.model.piece_to_id(MARKER)
         self.table = chunktable.ChunkTable(self._encode)
 
-    def _encode(self, chunks: list[tuple[bytes, int]]) -> list[np.ndarray]:
+    def _encode(self, chunks: list[bytes], kinds: list[int]) -> list[np.ndarray]:
         """kind 0: begins a text; 1: begins with a space; 2: follows a line feed or is one."""
         texts = []
-        for chunk, kind in chunks:
+        for chunk, kind in zip(chunks, kinds, strict=True):
             text = chunk.decode()
             texts.append(text if kind == 0 else text[1:] if kind == 1 else "\n" + text)
         out = []
-        for (_, kind), ids, text in zip(chunks, self.model.encode(texts, num_threads=1), texts, strict=True):
+        for kind, ids, text in zip(kinds, self.model.encode(texts, num_threads=1), texts, strict=True):
             out.append(np.array(([self.space] if kind == 1 and not text else ids[2:] if kind == 2 else ids), np.int32))
         return out
 

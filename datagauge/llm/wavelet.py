@@ -6,7 +6,7 @@ plane is cut into blocks of ``BLOCK`` bytes, compressed one by one, with the cou
 (counting) and select (occurrence) by reading a block or two of each plane, and gives back all ids.
 
 Files are the payloads of a Parquet table in the shared folder, as executors can only write there through Spark. Null and empty
-texts hold the end id alone. Null ids sort first; rows with the same id by their text. Extra columns are ignored; an empty table gives no file.
+texts hold the end id alone. Null ids sort first; rows with the same id by a hash of their text, so that a range may end among them. Extra columns are ignored; an empty table gives no file.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ FILE_TOKENS = 1 << 21
 BLOCK = 1 << 12
 MAGIC = b"WMX1"
 #: Bytes of input to a range of ids.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 32 << 20
 _LOADED: dict[str, WordCodec] = {}
 _SEPARATOR = "\x01"
 
@@ -57,8 +57,8 @@ class WordCodec:
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _encode(self, chunks: list[tuple[bytes, int]]) -> list[np.ndarray]:
-        texts = [c.decode() for c, _ in chunks]
+    def _encode(self, chunks: list[bytes], kinds: list[int]) -> list[np.ndarray]:
+        texts = [c.decode() for c in chunks]
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
         plain = [i for i, t in enumerate(texts) if _SEPARATOR not in t and "<" not in t]
         for i in set(range(len(texts))) - set(plain):
@@ -85,11 +85,11 @@ class WordCodec:
         word = ~inside[s]
         kept = np.concatenate(([0], np.cumsum(word)))
         s, e, before = s[word], e[word], kept[before]
-        h = textkernel.hashes(data, s, e)
+        folded = textkernel.LOWER[data]
         angle = np.concatenate(([0], np.cumsum(data == 0x3C)))
-        special = np.flatnonzero(angle[e] > angle[s])
-        h[special] = textkernel.mix(textkernel.hashes(data, s[special], e[special], lower=False))
-        ids, length = self.table.ids(data, s, e, h, np.zeros(len(s), np.int8))
+        for i in np.flatnonzero(angle[e] > angle[s]).tolist():
+            folded[s[i] : e[i]] = data[s[i] : e[i]]
+        ids, length = self.table.ids(folded, s, e, textkernel.hashes(folded, s, e, lower=False), np.zeros(len(s), np.int8))
         inner = textkernel.per_doc(length, before) if len(s) else np.zeros(len(at) - 1, np.int64)
         bounds = np.concatenate(([0], np.cumsum(inner + 1)))
         out = np.empty(bounds[-1], np.int32)
@@ -171,6 +171,13 @@ class WaveletFile:
             return self.n - int(self.zeros[level])
         return int(self.ones[level, b]) + (int(self._block(level, b)[:rest].sum()) if rest else 0)
 
+    def _find(self, level: int, bit: int, k: int) -> int:
+        """Position of the k-th ``bit`` of a plane, from 0: its block by the directory, then inside the block."""
+        size = 8 * BLOCK
+        before = self.ones[level] if bit else np.arange(self.blocks) * size - self.ones[level]
+        b = int(np.searchsorted(before, k, "right")) - 1
+        return b * size + int(np.flatnonzero(self._block(level, b) == bit)[k - int(before[b])])
+
     def access(self, i: int) -> int:
         """The id at position ``i``."""
         if not 0 <= i < self.n:
@@ -200,11 +207,15 @@ class WaveletFile:
         """Position of the k-th occurrence of ``token``, from 0; -1 if there are fewer."""
         if not 0 <= k < self.count(token):
             return -1
-        lo, hi = 0, self.n - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.rank(token, mid + 1) > k else (mid + 1, hi)
-        return lo
+        low = 0
+        for level in range(self.bits):
+            before = self._ones(level, low)
+            low = int(self.zeros[level]) + before if token >> (self.bits - 1 - level) & 1 else low - before
+        at = low + k
+        for level in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - level) & 1
+            at = self._find(level, bit, at - int(self.zeros[level]) if bit else at)
+        return at
 
     def ids(self) -> np.ndarray:
         """All ids in order, put together from the lowest plane upwards."""
@@ -242,9 +253,9 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         if held:
             yield file()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(store.parts_for(rows, RANGE_BYTES, 12), "doc_id").sortWithinPartitions("doc_id", "text")
-    return store.materialize(dealt.mapInArrow(run, FILES), "wavelet")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    dealt = rows.repartitionByRange(store.parts_for(store.text_bytes(rows), RANGE_BYTES, 12), "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
+    return store.materialize(dealt.select("doc_id", "text").mapInArrow(run, FILES), "wavelet")
 
 
 def read(files: DataFrame, each) -> DataFrame:
