@@ -18,14 +18,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = _state(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written before they are joined: both sides of a join are then plain rows, so that a hub's part can be split at run time.
-        least = store.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
-        large = store.materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
-        least = store.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = store.materialize(small, "cc")
-        state = _state(now)
+        with store.scope() as keep:
+            # Written before they are joined: both sides of a join are then plain rows, so that a hub's part can be split at run time.
+            least = store.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+            large = store.materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+            least = store.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+            small = large.join(least, "u")
+            small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+            after = keep(store.materialize(small, "cc"))
+        store.drop(now)
+        now, state = after, _state(after)
         if state == seen:
             break
         seen = state
