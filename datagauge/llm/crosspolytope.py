@@ -7,8 +7,8 @@ each. Vectors that share a key are compared in double precision, in blocks; a bl
 never all pairs. The components of these links are then compared within themselves, again in blocks, which counts
 every vector's links exactly: the two ends of a link always meet there. Equal vectors are one class from the start and count as links of one another.
 
-Vectors that are null, empty, zero, hold null or non-finite components, or have another length than most of their table's first rows link with
-nothing: n_links 0, their own component. Rows with a null id come back with a null component and kept false. Repeated rows of one id share its
+Vectors of different lengths link with nothing of the other length; each length is hashed for the number of its vectors. Vectors that are null, empty,
+zero, or hold null or non-finite components link with nothing: n_links 0, their own component. Rows with a null id come back with a null component and kept false. Repeated rows of one id share its
 component, and count as links of one another. Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -28,7 +28,7 @@ COSINE = 0.95
 TABLES = 16
 #: Vectors that a key holds of random data, at most.
 CROWD = 1 / 64
-BLOCK = 1024
+BLOCK = 512
 SEED = 29
 
 _U = np.uint64
@@ -75,18 +75,28 @@ def keys(x: np.ndarray, tables: int, rotations: int, seed: int = SEED) -> np.nda
     return out
 
 
+def rotations(n: int, dim: int) -> int:
+    """So many that a key holds at most ``CROWD`` of ``n`` random vectors on average."""
+    return max(1, math.ceil(math.log(max(2, n / CROWD)) / math.log(2 << max(1, math.ceil(math.log2(max(2, dim)))))))
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in column.to_numpy(zero_copy_only=False)]) if len(column) else np.zeros((0, 1))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keyed(tables: int, rotations: int):
+def _keyed(tables: int):
+    """Rows (rep, dim, key) of vectors (rep, embedding, dim, the vectors of that length)."""
+
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                k = keys(_vectors(part.column(1)), tables, rotations)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), k.shape[1])), pa.array(k.reshape(-1))], names=["rep", "key"])
+            dims, many = (batch.column(i).to_numpy() for i in (2, 3))
+            for dim in np.unique(dims):
+                where = np.flatnonzero(dims == dim)
+                for lo in range(0, len(where), 4096):
+                    part = batch.take(pa.array(where[lo : lo + 4096]))
+                    k = keys(_vectors(part.column(1)), tables, rotations(int(many[where[0]]), int(dim)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), k.shape[1])), pa.array(np.full(k.size, dim, np.int32)), pa.array(k.reshape(-1))], names=["rep", "dim", "key"])
 
     return run
 
@@ -147,30 +157,29 @@ def link(vectors: DataFrame, at_least: float = COSINE, tables: int = TABLES) ->
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = F.size("embedding") > 0
     good = good & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    real = rows.where(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
-    length = real.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim, n = (length[0]["d"], length[0]["count"]) if length else (0, 0)
-    real = real.where(F.size("embedding") == dim)
-    classes = store.materialize(real.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "vectors")
-    own = real.join(classes, "embedding").select("vec_id", "rep", "times")
-    corner = 2 << max(1, math.ceil(math.log2(max(2, dim))))
-    rotations = max(1, math.ceil(math.log(max(2, n / CROWD)) / math.log(corner)))
-    keyed = store.materialize(classes.select("rep", "embedding").mapInArrow(_keyed(tables, rotations), "rep long, key long"), "vector-keys")
-    groups = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("lo < hi")
-    groups = groups.groupBy("size", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "size")
-    members = keyed.join(groups, "key").distinct().join(classes.select("rep", "embedding"), "rep")
-    by = ["key", "i", "j"]
-    edges = _blocks(members, "size").select(*by, "rep", "embedding").groupBy(*by).applyInArrow(_forest(at_least), "a long, b long")
-    found = store.materialize(connected_components(edges), "vector-components").withColumnRenamed("node", "rep")
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    inside = found.join(sizes, "component").join(classes, "rep")
-    by = ["component", "i", "j"]
-    counted = _blocks(inside, "size").select(*by, "rep", "times", "blk", "embedding").groupBy(*by).applyInArrow(_links(at_least), "rep long, n long")
-    counted = counted.groupBy("rep").agg(F.sum("n").alias("n"))
+    good = F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull()
+    real = rows.where(good)
+    with store.scope() as keep:
+        classes = keep(store.materialize(real.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")).withColumn("dim", F.size("embedding")), "vectors"))
+        # A row for each length that occurs: no more than components of the longest vector.
+        many = classes.groupBy("dim").agg(F.count("*").alias("many"))
+        keyed = classes.join(F.broadcast(many), "dim").select("rep", "embedding", "dim", "many").mapInArrow(_keyed(tables), "rep long, dim int, key long")
+        keyed = store.materialize(keyed, "vector-keys")
+        groups = keyed.groupBy("dim", "key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("lo < hi")
+        groups = groups.groupBy("dim", "size", "lo", "hi", "x").agg(F.min("key").alias("key")).select("dim", "key", "size")
+        members = keyed.join(groups, ["dim", "key"]).distinct().join(classes.select("rep", "embedding"), "rep")
+        by = ["dim", "key", "i", "j"]
+        edges = _blocks(members, "size").select(*by, "rep", "embedding").groupBy(*by).applyInArrow(_forest(at_least), "a long, b long")
+        found = keep(store.materialize(connected_components(edges), "vector-components")).withColumnRenamed("node", "rep")
+        sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+        inside = found.join(sizes, "component").join(classes.select("rep", "times", "embedding"), "rep")
+        by = ["component", "i", "j"]
+        counted = _blocks(inside, "size").select(*by, "rep", "times", "blk", "embedding").groupBy(*by).applyInArrow(_links(at_least), "rep long, n long")
+        counted = keep(store.materialize(counted.groupBy("rep").agg(F.sum("n").alias("n")), "vector-links"))
     of_class = found.join(counted, "rep")
+    own = real.join(classes.select("embedding", "rep", "times"), "embedding").select("vec_id", "rep", "times")
     linked = own.join(of_class, "rep", "left").select("vec_id", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    bad = ~F.coalesce(good & (F.size("embedding") == dim), F.lit(False)) | F.col("vec_id").isNull()
-    alone = rows.where(bad).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
