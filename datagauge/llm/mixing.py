@@ -1,13 +1,15 @@
 """Mixing overlapping sources to target weights by minimum-cost flow.
 
-Documents are summed by membership pattern (the set of sources that hold them). A pattern offers its size once at
-cost 0, again at cost 1 and again at cost 2 a word (``COPIES`` times in all): repetition costs are convex. The
-sources ask for their targets. The cheapest flow that fills the targets says how many words each pattern gives;
-whole passes over the pattern's documents come first, then documents in the order of a seeded hash until the rest
-is reached. The network has a node for each pattern and source, never for a document.
-
-Null and empty texts have size 0 and are never taken. A null or empty list of sources is the pattern of the source null.
-Repeated rows are separate documents, but ties of the hash are broken by the id. An empty table gives an empty result. Extra columns are ignored.
+Sources overlap where they hold equal texts. Documents are summed by the membership pattern of their text (the set of all sources that hold
+it) and by their own sources. A pattern offers the words of its distinct texts once at cost 0, again at cost 1, twice as many at cost 2 and so on:
+repetition costs are convex, and a copy in another source is a repetition as much as a second pass is. A class of
+documents (pattern and own sources) passes on up to ``COPIES`` times its size, to its own sources only, and these ask for their targets. The cheapest flow that
+fills the targets says how many words each class gives; whole passes over the class's documents come first, then documents in the order of
+a seeded hash until the rest is reached. The network has a node for each pattern, class and source, never for a document; of more than
+``PATTERNS`` patterns with several sources the smaller ones count as their documents' own sources only, which changes costs, not targets.
+
+Null and empty texts have size 0 and are never taken. A null or empty list of sources is the source null.
+Repeated rows are separate documents, but copies of one another. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from . import store, textkernel
 WEIGHTS = (5, 2, 1)
 COPIES = 3
 SEED = 17
-#: Hash bins of a pattern, twice: the bin where the rest ends is split into as many again.
+#: Patterns with several sources that the network tells apart, the largest.
+PATTERNS = 4096
+#: Hash bins of a class, twice: the bin where the rest ends is split into as many again.
 BINS = 1 << 12
 
 
@@ -83,22 +87,32 @@ def min_cost_flow(arcs: list[tuple[int, int, int, int]], source: int, sink: int)
             cap[i ^ 1] += much
 
 
-def route(patterns: dict[tuple, int], wanted: dict[str | None, float], copies: int = COPIES) -> dict[tuple, int]:
-    """Words that each pattern gives."""
-    names = sorted(wanted, key=lambda s: (s is None, s or ""))
-    keys = sorted(patterns, key=lambda p: [(s is None, s or "") for s in p])
-    node = {s: 2 + len(keys) + i for i, s in enumerate(names)}
+Class = tuple[tuple, tuple]
+
+
+def route(classes: dict[Class, int], distinct: dict[tuple, int], wanted: dict[str | None, float], copies: int = COPIES) -> dict[Class, int]:
+    """Words that each class (pattern, own sources) gives. ``classes``: their sizes; ``distinct``: the words of each pattern's distinct texts."""
+    by = lambda p: [(s is None, s or "") for s in p]
+    names, patterns = sorted(wanted, key=lambda s: (s is None, s or "")), sorted(distinct, key=by)
+    keys = sorted(classes, key=lambda c: (by(c[0]), by(c[1])))
+    of_pattern = {p: 2 + i for i, p in enumerate(patterns)}
+    of_class = {c: 2 + len(patterns) + i for i, c in enumerate(keys)}
+    of_source = {s: 2 + len(patterns) + len(keys) + i for i, s in enumerate(names)}
+    most: dict[tuple, int] = defaultdict(int)
+    for c in keys:
+        most[c[0]] += copies * classes[c]
     arcs = []
-    for i, p in enumerate(keys):
-        arcs += [(0, 2 + i, patterns[p], k) for k in range(copies)]
-        arcs += [(2 + i, node[s], copies * patterns[p], 0) for s in p if s in node]
-    arcs += [(node[s], 1, round(wanted[s]), 0) for s in names]
+    for p in patterns:
+        left, step, cost = most[p], distinct[p], 0
+        while left > 0 and step > 0:
+            arcs.append((0, of_pattern[p], min(step, left), cost))
+            left, step, cost = left - step, step * (2 if cost else 1), cost + 1
+    first = len(arcs)
+    arcs += [(of_pattern[c[0]], of_class[c], copies * classes[c], 0) for c in keys]
+    arcs += [(of_class[c], of_source[s], copies * classes[c], 0) for c in keys for s in c[1] if s in of_source]
+    arcs += [(of_source[s], 1, round(wanted[s]), 0) for s in names]
     flow = min_cost_flow(arcs, 0, 1)
-    out: dict[tuple, int] = defaultdict(int)
-    for (u, v, _, _), f in zip(arcs, flow, strict=True):
-        if u == 0:
-            out[keys[v - 2]] += f
-    return dict(out)
+    return {c: flow[first + i] for i, c in enumerate(keys)}
 
 
 def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -112,85 +126,91 @@ def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def _pattern(sources: Column) -> Column:
+def _names(sources: Column) -> Column:
     return F.when(sources.isNull() | (F.size(sources) < 1), F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(sources)))
 
 
+def _patterned(sized: DataFrame) -> tuple[DataFrame, dict[tuple, int]]:
+    """``sized`` with the pattern of each row's text, and the words of every pattern's distinct texts."""
+    mark, n = ["m1", "m2"], sized.count()
+    texts = sized.groupBy(*mark, "own").agg(F.max("size").alias("size"), F.count("*").alias("rows")).groupBy(*mark).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("own")))).alias("pattern"), F.max("size").alias("size"), F.sum("rows").alias("rows"))
+    texts = store.materialize(texts, "mix-texts")
+    several = F.size("pattern") > 1
+    largest = [r["pattern"] for r in texts.where(several).groupBy("pattern").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "pattern").limit(PATTERNS).collect()]
+    spark = sized.sparkSession
+    known = spark.createDataFrame([(p, True) for p in largest], T.StructType([T.StructField("pattern", T.ArrayType(T.StringType())), T.StructField("known", T.BooleanType())]))
+    key = F.to_json(F.struct("pattern"))
+    shared = texts.where(several).withColumn("__k", key).join(F.broadcast(known.withColumn("__k", key).select("__k")), "__k").select(*mark, "pattern", "rows")
+    # Texts on more than a thousandth of all rows, fewer than a thousand, are broadcast; so no task of the join holds the rows of one of them.
+    hot = shared.where(F.col("rows") * 1000 > n)
+    rows = sized.join(F.broadcast(hot.select(*mark, F.col("pattern").alias("hot"))), mark, "left").withColumn("spread", F.when(F.col("hot").isNotNull(), F.xxhash64("uid")).otherwise(F.lit(0)))
+    rest = shared.where(F.col("rows") * 1000 <= n).select(*mark, F.lit(0).cast("long").alias("spread"), F.col("pattern").alias("cold"))
+    rows = rows.join(rest, [*mark, "spread"], "left").withColumn("pattern", F.coalesce("hot", "cold", "own")).drop("hot", "cold", "spread")
+    rows = store.materialize(rows, "mix-rows")
+    own = rows.groupBy(*mark, "pattern").agg(F.max("size").alias("size")).groupBy("pattern").agg(F.sum("size").alias("size"))
+    distinct = {tuple(r["pattern"]): r["size"] for r in own.collect()}
+    store.drop(texts)
+    return rows, distinct
+
+
 def mix(docs: DataFrame, sources: Column, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES, seed: int = SEED) -> tuple[DataFrame, dict, dict]:
-    """doc_id, pattern, size and taken_copies of every document; the sources' sizes; their targets.
+    """doc_id, own, pattern, mark (xxhash64 of the text, null as empty), size and taken_copies of every document; the sources' sizes; their targets.
 
-    ``docs``: doc_id, text, and what ``sources`` (an array of names) needs.
+    ``docs``: doc_id, text, and what ``sources`` (an array of names: a document's own sources) needs.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", _pattern(sources).alias("pattern"))
-    bins = F.xxhash64("pattern", "doc_id", F.lit(seed))
-    sized = _sized(rows, ["doc_id", "pattern"]).withColumnRenamed("__size", "size")
-    sized = store.materialize(sized.withColumn("h", bins), "mix-sizes").withColumn("bin", F.col("h").bitwiseAND(BINS - 1)).withColumn("sub", F.shiftrightunsigned("h", 12).bitwiseAND(BINS - 1))
-    patterns = {tuple(r["pattern"]): r["size"] for r in sized.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "text", _names(sources).alias("own"), F.xxhash64(text).alias("m1"), F.xxhash64(text, F.lit(1)).alias("m2"))
+    sized = _sized(rows, ["doc_id", "own", "m1", "m2"]).withColumnRenamed("__size", "size")
+    sized = store.materialize(sized.withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
+    planned, distinct = _patterned(sized)
+    store.drop(sized)
+    planned = planned.withColumn("h", F.xxhash64("own", "doc_id", "m1", F.lit(seed)))
+    planned = planned.withColumn("bin", F.col("h").bitwiseAND(BINS - 1)).withColumn("sub", F.shiftrightunsigned("h", 12).bitwiseAND(BINS - 1))
+    classes = {(tuple(r["pattern"]), tuple(r["own"])): r["size"] for r in planned.groupBy("pattern", "own").agg(F.sum("size").alias("size")).collect()}
     held: dict[str | None, int] = defaultdict(int)
-    for p, n in patterns.items():
-        for s in p:
+    for (_, own), n in classes.items():
+        for s in own:
             held[s] += n
-    total = sum(patterns.values())
+    total = sum(classes.values())
     scale = total / max(1, sum(held.values()))
-    wanted = targets({s: round(n * scale) for s, n in held.items()}, weights, copies) if any(len(p) > 1 for p in patterns) else targets(dict(held), weights, copies)
-    gives = route(patterns, wanted, copies)
-    plan = [(list(p), i, gives[p] // n if n else 0, gives[p] % n if n else 0) for i, (p, n) in enumerate(sorted(patterns.items(), key=lambda x: [(s is None, s or "") for s in x[0]]))]
-    schema = T.StructType([T.StructField("pattern", T.ArrayType(T.StringType())), T.StructField("pid", T.IntegerType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
-    # One row for each pattern: the patterns are on the driver already.
-    planned = _attach(sized, spark.createDataFrame(plan, schema))
-    cuts = _cuts(planned, {i: r for _, i, _, r in plan})
-    cut = spark.createDataFrame([(i, b, s, left) for i, (b, s, left) in cuts.items()], "pid int, cut_bin long, cut_sub long, cut_left long")
-    placed = planned.join(F.broadcast(cut), "pid", "left")
+    wanted = targets({s: round(n * scale) for s, n in held.items()}, weights, copies) if any(len(c[1]) > 1 for c in classes) else targets(dict(held), weights, copies)
+    gives = route(classes, distinct, wanted, copies)
+    plan = [(list(c[0]), list(c[1]), i, gives[c] // n if n else 0, gives[c] % n if n else 0) for i, (c, n) in enumerate(sorted(classes.items(), key=lambda x: [[(s is None, s or "") for s in p] for p in x[0]]))]
+    names = T.ArrayType(T.StringType())
+    schema = T.StructType([T.StructField("pattern", names), T.StructField("own", names), T.StructField("pid", T.IntegerType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
+    # One row for each class: the classes are on the driver already.
+    key = F.to_json(F.struct("pattern", "own"))
+    planned = planned.withColumn("__k", key).join(F.broadcast(spark.createDataFrame(plan, schema).withColumn("__k", key).drop("pattern", "own")), "__k").drop("__k")
+    placed = planned.join(F.broadcast(_cuts(planned)), "pid", "left")
     under = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("sub") < F.col("cut_sub")))
     edge = (F.col("bin") == F.col("cut_bin")) & (F.col("sub") == F.col("cut_sub"))
     placed = placed.withColumn("extra", F.when(F.coalesce(under, F.lit(False)), 1).otherwise(0)).withColumn("edge", F.coalesce(edge, F.lit(False)))
-    # The last bins hold 1 / BINS^2 of a pattern; there the documents that bring the sum nearest are taken in order.
+    # The last bins hold 1 / BINS^2 of a class; there the documents that bring the sum nearest are taken in order.
     w = Window.partitionBy("pid").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", "uid")
-    at_edge = placed.where("edge").withColumn("uid", F.monotonically_increasing_id()).withColumn("upto", F.sum("size").over(w))
-    at_edge = at_edge.withColumn("extra", F.when(F.col("upto") - F.col("size") / 2 <= F.col("cut_left"), 1).otherwise(0)).drop("uid", "upto")
+    at_edge = placed.where("edge").withColumn("upto", F.sum("size").over(w))
+    at_edge = at_edge.withColumn("extra", F.when(F.col("upto") - F.col("size") / 2 <= F.col("cut_left"), 1).otherwise(0)).drop("upto")
     every = placed.where("not edge").unionByName(at_edge)
-    return every.select("doc_id", "pattern", "size", (F.col("whole") + F.col("extra")).cast("long").alias("taken_copies")), dict(held), wanted
+    return every.select("doc_id", "own", "pattern", F.col("m1").alias("mark"), "size", (F.col("whole") + F.col("extra")).cast("long").alias("taken_copies")), dict(held), wanted
 
 
-def _attach(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    key = F.to_json(F.struct("pattern"))
-    return sized.withColumn("__k", key).join(F.broadcast(plan.withColumn("__k", key).drop("pattern")), "__k").drop("__k")
-
-
-def _cuts(planned: DataFrame, rest: dict[int, int]) -> dict[int, tuple[int, int, int]]:
-    """For each pattern the bin and sub-bin where its rest ends, and the words still to take there."""
-    out, found = {}, {}
-    first = defaultdict(list)
-    for r in planned.groupBy("pid", "bin").agg(F.sum("size").alias("n")).orderBy("pid", "bin").toLocalIterator():
-        first[r["pid"]].append((r["bin"], r["n"]))
-    for pid, bins in first.items():
-        left = rest.get(pid, 0)
-        for b, n in bins:
-            if n > left:
-                found[pid] = (b, left)
-                break
-            left -= n
-    if not found:
-        return out
-    spark = planned.sparkSession
-    cut = spark.createDataFrame([(p, b) for p, (b, _) in found.items()], "pid int, bin long")
-    second = defaultdict(list)
-    for r in planned.join(F.broadcast(cut), ["pid", "bin"]).groupBy("pid", "sub").agg(F.sum("size").alias("n")).orderBy("pid", "sub").toLocalIterator():
-        second[r["pid"]].append((r["sub"], r["n"]))
-    for pid, subs in second.items():
-        b, left = found[pid]
-        for s, n in subs:
-            if n > left:
-                out[pid] = (b, s, left)
-                break
-            left -= n
-    return out
+def _first_beyond(sums: DataFrame, at: str) -> DataFrame:
+    """For each class the first place where the running sum of ``n`` exceeds ``left``, and what is left there."""
+    running = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("pid").orderBy(at))).where("upto > left")
+    return running.groupBy("pid").agg(F.min_by(F.struct(at, (F.col("left") - F.col("upto") + F.col("n")).alias("left")), at).alias("x")).select("pid", F.col(f"x.{at}").alias(f"cut_{at}"), F.col("x.left").alias("cut_left"))
+
+
+def _cuts(planned: DataFrame) -> DataFrame:
+    """For each class the bin and sub-bin where its rest ends, and the words still to take there: a row each, as many as classes."""
+    first = _first_beyond(planned.groupBy("pid", "bin").agg(F.sum("size").alias("n"), F.max("rest").alias("left")), "bin")
+    inside = planned.join(F.broadcast(first), "pid").where(F.col("bin") == F.col("cut_bin"))
+    second = _first_beyond(inside.groupBy("pid", "sub").agg(F.sum("size").alias("n"), F.max("cut_left").alias("left")), "sub")
+    return first.drop("cut_left").join(second, "pid")
 
 
 def op6_mixing_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     mixed, held, wanted = mix(docs, F.array("source"))
     of = spark.createDataFrame([(s, held[s], wanted[s]) for s in held], "source string, source_size long, target double")
-    rows = mixed.withColumn("source", F.col("pattern")[0]).alias("m")
+    rows = mixed.withColumn("source", F.col("own")[0]).alias("m")
     return rows.join(F.broadcast(of.alias("t")), F.col("m.source").eqNullSafe(F.col("t.source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
