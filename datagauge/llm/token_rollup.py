@@ -5,7 +5,9 @@ and a +1 row with the new one. A batch of changes is summed to one delta row per
 committed under its id by a rename; committing an id again changes nothing, so a retried batch counts once.
 Totals are the sum of all committed deltas; ``compact`` folds them into one snapshot.
 
-Null keys form a group of their own; null counts add 0; an empty batch commits an empty delta; extra columns
+Tokens are those of the public tokenizers, without begin and end ids; a tokenizer's version is the name of its file.
+
+Null keys form a group of their own; null counts add 0; null texts are empty; an empty batch commits an empty delta; extra columns
 of the changes are ignored; repeated rows each count.
 """
 
@@ -14,11 +16,12 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store, textkernel
+from . import pieces, store, textkernel, wavelet
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -44,21 +47,30 @@ class TokenRollup:
         fs, at = store.filesystem(self.spark, f"{self.root}/{kind}")
         return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
-    def committed(self) -> list[str]:
-        """Ids of the batches that count, those in snapshots included."""
-        return sorted({*self._folders("delta"), *self._covered()})
+    def committed(self, batch_id: str) -> bool:
+        """Whether a batch counts, by its delta or in the latest snapshot."""
+        fs, at = store.filesystem(self.spark, f"{self.root}/delta/{batch_id}")
+        covered = self._covered()
+        return fs.exists(at) or (covered is not None and not covered.where(F.col("batch") == batch_id).isEmpty())
 
-    def _covered(self) -> list[str]:
+    def _covered(self) -> DataFrame | None:
+        """Ids of the batches in the latest snapshot: as many as were ever committed, so they stay a table."""
         snapshots = self._folders("snapshot")
-        if not snapshots:
-            return []
-        return [r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.root}/snapshot/{snapshots[-1]}/covered").collect()]
+        return self.spark.read.schema("batch string").parquet(f"{self.root}/snapshot/{snapshots[-1]}/covered") if snapshots else None
+
+    def _new(self) -> list[str]:
+        """Ids of the deltas since the latest snapshot (and of a few before, until ``compact`` deletes them)."""
+        folders, covered = self._folders("delta"), self._covered()
+        if covered is None or not folders:
+            return folders
+        names = self.spark.createDataFrame([(b,) for b in folders], "batch string")
+        return sorted(r[0] for r in names.join(covered, "batch", "left_anti").collect())
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Sums and commits a batch; False, with nothing changed, if the id is committed already."""
         if not re.fullmatch(r"[\w-]+", batch_id):
             raise ValueError(f"batch id {batch_id!r} is not a word")
-        if batch_id in self.committed():
+        if self.committed(batch_id):
             return False
         delta = (
             changes.groupBy(*KEYS)
@@ -70,17 +82,23 @@ class TokenRollup:
         return self._publish(staged, "delta", batch_id)
 
     def _publish(self, staged: str, kind: str, name: str) -> bool:
+        """Moves a staged folder to its name; False if another was there first."""
         fs, source = store.filesystem(self.spark, staged)
         _, target = store.filesystem(self.spark, f"{self.root}/{kind}/{name}")
         fs.mkdirs(target.getParent())
         if fs.exists(target) or not fs.rename(source, target):
             fs.delete(source, True)
             return False
+        # Some file systems move a folder into one that appeared meanwhile; nothing reads it there.
+        _, inside = store.filesystem(self.spark, f"{self.root}/{kind}/{name}/{source.getName()}")
+        if fs.exists(inside):
+            fs.delete(inside, True)
+            return False
         return True
 
     def _deltas(self) -> DataFrame:
-        snapshots, covered = self._folders("snapshot"), set(self._covered())
-        paths = [f"{self.root}/delta/{b}" for b in self._folders("delta") if b not in covered]
+        snapshots = self._folders("snapshot")
+        paths = [f"{self.root}/delta/{b}" for b in self._new()]
         paths += [f"{self.root}/snapshot/{snapshots[-1]}/totals"] if snapshots else []
         return self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
 
@@ -89,54 +107,57 @@ class TokenRollup:
         return self._deltas().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Writes a snapshot of the totals with the ids it covers; batches committed meanwhile stay deltas."""
-        ids, staged = self.committed(), f"{self.root}/staging/{uuid.uuid4().hex}"
+        """Writes a snapshot of the totals with the ids it covers, and deletes the deltas that the snapshot before covered; batches committed meanwhile stay deltas."""
+        new, covered, staged = self._new(), self._covered(), f"{self.root}/staging/{uuid.uuid4().hex}"
+        old = sorted(set(self._folders("delta")) - set(new))
         self.totals().write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(b,) for b in ids], "batch string").write.parquet(f"{staged}/covered")
-        self._publish(staged, "snapshot", f"{len(self._folders('snapshot')):08d}")
+        ids = self.spark.createDataFrame([(b,) for b in new], "batch string")
+        (ids if covered is None else ids.unionByName(covered)).write.parquet(f"{staged}/covered")
+        if self._publish(staged, "snapshot", f"{len(self._folders('snapshot')):08d}"):
+            for b in old:
+                fs, at = store.filesystem(self.spark, f"{self.root}/delta/{b}")
+                fs.delete(at, True)
+
 
+#: Tokenizer versions: the file, its codec's module, and the ids that the codec adds to a text.
+TOKENIZERS = {wavelet.TOKENIZER: (wavelet.load, 1), pieces.MODEL: (pieces.load, 2)}
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Per document: source, lang, n_words, n_bytes and a fingerprint of the text (null and empty texts alike)."""
-    schema = "doc_id long, source string, lang string, fingerprint string, n_words long, n_bytes long"
+
+def counted(docs: DataFrame, tokenizers: list[str] | None = None) -> DataFrame:
+    """Per document: doc_id, source, lang, a fingerprint of the text (null and empty texts alike), and its tokens by tokenizer (array)."""
+    names = tokenizers or list(TOKENIZERS)
+    schema = "doc_id long, source string, lang string, fingerprint string, tokens array<long>"
 
     def count(batches):
-        for batch in batches:
-            words = pa.array(textkernel.word_counts(batch.column(5)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], words, batch.column(4)], names=["doc_id", "source", "lang", "fingerprint", "n_words", "n_bytes"])
+        codecs = [(TOKENIZERS[n][0](), TOKENIZERS[n][1]) for n in names]
+        for batch, data, at in textkernel.ranges(batches):
+            n = np.stack([np.diff(codec.encode(data, at)[1]) - added for codec, added in codecs], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(names), pa.int32()), pa.array(n.reshape(-1).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=["doc_id", "source", "lang", "fingerprint", "tokens"])
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), "source", "lang", F.md5(text.cast("binary")).alias("fingerprint"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")).mapInArrow(count, schema)
+    return docs.select(F.col("doc_id").cast("long"), "source", "lang", F.sha2(text.cast("binary"), 256).alias("fingerprint"), text.alias("text")).mapInArrow(count, schema)
 
 
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents pass through four batches: inserted under two tokenizer versions, exact copies deleted, the
-    byte counts revised to hold an end token. Two of the batches are committed again, which changes nothing.
+    counts of one revised to hold an end token. Two of the batches are committed again, which changes nothing.
     """
-    rows = store.materialize(counted(store.table(spark, sf_dir, "documents")), "op1-counts")
-    least = F.min_by(F.struct("doc_id", "source", "lang", "n_words", "n_bytes"), F.struct("doc_id", "source", "lang"))
+    word, piece = TOKENIZERS
+    rows = counted(store.table(spark, sf_dir, "documents"), [word, piece]).select("doc_id", "source", "lang", "fingerprint", F.col("tokens")[0].alias("n_word"), F.col("tokens")[1].alias("n_piece"))
+    rows = store.materialize(rows, "op1-counts")
+    least = F.min_by(F.struct("doc_id", "source", "lang", "n_word", "n_piece"), F.struct("doc_id", "source", "lang"))
     kept = store.materialize(rows.groupBy("fingerprint").agg(least.alias("k")).select("k.*"), "op1-kept")
     rollup = TokenRollup(spark, store.scratch(spark, "op1-rollup"))
-    load = signed(rows, 1, "word-1", "n_words")
-    rollup.commit("load-words", load)
-    rollup.commit("load-bytes", signed(rows, 1, "byte-1", "n_bytes"))
-    gone = [signed(x, s, t, n) for t, n in (("word-1", "n_words"), ("byte-1", "n_bytes")) for x, s in ((rows, -1), (kept, 1))]
+    load = signed(rows, 1, word, "n_word")
+    rollup.commit("load-word", load)
+    rollup.commit("load-piece", signed(rows, 1, piece, "n_piece"))
+    gone = [signed(x, s, t, n) for t, n in ((word, "n_word"), (piece, "n_piece")) for x, s in ((rows, -1), (kept, 1))]
     copies = gone[0].unionByName(gone[1]).unionByName(gone[2]).unionByName(gone[3])
     rollup.commit("drop-copies", copies)
     rollup.commit("drop-copies", copies)
-    rollup.commit("end-token", revised(kept.withColumn("with_end", F.col("n_bytes") + 1), "byte-1", "n_bytes", "with_end"))
+    rollup.commit("end-token", revised(kept.withColumn("with_end", F.col("n_word") + 1), word, "n_word", "with_end"))
     rollup.compact()
-    rollup.commit("load-words", load)
+    rollup.commit("load-word", load)
+    store.drop(rows, kept)
     return rollup.totals()
-
-
-OP1_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, lang, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id NULLS FIRST, source NULLS FIRST, lang NULLS FIRST) AS copy
-  FROM documents),
-k AS (SELECT source, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, strlen(text) + 1 AS b FROM d WHERE copy = 1)
-SELECT source, lang, 'word-1' AS tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(w) AS BIGINT) AS n_tokens FROM k GROUP BY ALL
-UNION ALL
-SELECT source, lang, 'byte-1', CAST(count(*) AS BIGINT), CAST(sum(b) AS BIGINT) FROM k GROUP BY ALL
-"""
