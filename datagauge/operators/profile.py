@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..sources.tables import table
+from ..sources.tables import table, written
 
 METRICS = ("n_chars", "n_words", "n_lines")
 
@@ -38,7 +38,11 @@ def q_freq_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged(rows: DataFrame) -> DataFrame:
-    """Metrics outside q1 - 1.5 iqr .. q3 + 1.5 iqr; none where n < 4 or iqr = 0. The fences are one row."""
+    """Metrics outside q1 - 1.5 iqr .. q3 + 1.5 iqr; none where n < 4 or iqr = 0. The fences are one row.
+
+    The quartiles are exact, of counts by distinct value: no more values than the longest text has characters.
+    """
+    rows = written(rows, "features")
     fences = rows.agg(F.count("*").alias("__n"), *(F.percentile(F.col(m).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"__{m}") for m in METRICS))
     out = []
     for m in METRICS:
@@ -78,14 +82,50 @@ def q_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("flag", "n", F.round("share", 4).alias("share"), F.round("delta", 4).alias("delta"), F.round("lift", 4).alias("lift"), F.round(strength, 4).alias("strength"), F.expr(rules.RELIABILITY).alias("reliability"))
 
 
+#: Rules that a report shows.
+TOP = 20
+
+
+def contrasts(rows: DataFrame, flags: Column) -> DataFrame:
+    """For each flag of the samples (rate, suspicious): the mean rate and suspicion of those that hold it against the others, where support suffices.
+
+    One aggregate over the flags and one row of totals; nothing for fewer than 10 samples.
+    """
+    hot = F.col("suspicious").cast("double")
+    total = rows.agg(F.count("*").alias("tn"), F.sum("rate").alias("tr"), F.sum(hot).alias("ts"))
+    each = rows.select("rate", "suspicious", F.explode(F.array_distinct(flags)).alias("signal")).groupBy("signal").agg(F.count("*").alias("n"), F.sum("rate").alias("r"), F.sum(hot).alias("s"))
+    each = each.join(F.broadcast(total)).where("tn >= 10 AND n >= greatest(5, ceil(0.03 * tn)) AND tn > n")
+    each = each.withColumns({"share": F.col("n") / F.col("tn"), "delta": F.expr("r / n - (tr - r) / (tn - n)"), "lift": F.expr("s / n - (ts - s) / (tn - n)")})
+    return each.select("signal", F.lit("failing_check").alias("kind"), "n", "share", (F.col("r") / F.col("n")).alias("mean_rate"), (F.col("s") / F.col("n")).alias("suspicious_rate"), "delta", "lift")
+
+
+def score_correlations(rows: DataFrame, scores: list[str]) -> DataFrame:
+    """For each score with more than one value: its correlations with rate and suspicion over all samples."""
+    hot = F.col("suspicious").cast("double")
+    base = rows.withColumn("__hot", hot)
+    one = base.agg(F.count("*").alias("n"), F.avg("rate").alias("mean_rate"), F.avg("__hot").alias("suspicious_rate"), *(c for k in scores for c in (pearson(k, "rate").alias(f"{k}_d"), pearson(k, "__hot").alias(f"{k}_l"), (F.max(k) > F.min(k)).alias(f"{k}_on"))))
+    parts = F.array(*(F.struct(F.lit(k).alias("signal"), F.col(f"{k}_d").alias("delta"), F.col(f"{k}_l").alias("lift"), F.col(f"{k}_on").alias("on")) for k in scores))
+    found = one.where("n >= 10").select("n", "mean_rate", "suspicious_rate", F.inline(parts)).where("on")
+    return found.select("signal", F.lit("section_score").alias("kind"), "n", F.lit(1.0).alias("share"), "mean_rate", "suspicious_rate", "delta", "lift")
+
+
+def top_rules(found: DataFrame, most: int = TOP) -> DataFrame:
+    """The strongest rules with strength and reliability; ties by support, then name."""
+    strength = F.round((F.abs("delta") + 0.5 * F.abs("lift")) * F.greatest("share", F.lit(0.05)), 4)
+    rows = found.withColumn("strength", strength).withColumn("reliability", F.when(F.col("kind") == "section_score", "broad").otherwise(F.expr(rules.RELIABILITY)))
+    rows = rows.orderBy(F.desc("strength"), F.desc("n"), "signal").limit(most)
+    return rows.select("signal", "kind", "n", *(F.round(c, 4).alias(c) for c in ("share", "mean_rate", "suspicious_rate", "delta", "lift")), "strength", "reliability")
+
+
 def q_template_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.template(F.substring("text", 1, 1 << 30)).alias("template"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.template(F.col("text")).alias("template"))
     return rows.groupBy(F.sha2("template", 256).alias("template_id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
-_F = r"""f AS (SELECT doc_id, lang, source, n_chars::DOUBLE n_chars, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+')) n_words,
- CASE WHEN regexp_replace(coalesce(text, ''), '^\n+|\n+$', '', 'g') = '' THEN 0 ELSE len(string_split(regexp_replace(coalesce(text, ''), '^\n+|\n+$', '', 'g'), chr(10))) END n_lines FROM documents)"""
+_F = rf"""f AS (SELECT doc_id, lang, source, n_chars::DOUBLE n_chars, len(regexp_extract_all(coalesce(text, ''), '{text.WORD}')) n_words,
+ CASE WHEN body = '' THEN 0 ELSE len(regexp_extract_all(body, '{text.LINE_END}')) + (NOT regexp_matches(body, '{text.LINE_END}\z'))::INT END n_lines
+ FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\n+|\n+$', '', 'g') body FROM documents))"""
 _O = "n AS (SELECT count(*) cnt, " + ", ".join(f"quantile_cont({m}, 0.25) {m}_a, quantile_cont({m}, 0.75) {m}_b" for m in METRICS) + " FROM f), o AS (SELECT doc_id, concat_ws(';', " + ", ".join(f"CASE WHEN cnt >= 4 AND {m}_a <> {m}_b AND ({m} < {m}_a - 1.5 * ({m}_b - {m}_a) OR {m} > {m}_b + 1.5 * ({m}_b - {m}_a)) THEN '{m}' END" for m in METRICS) + ") flags FROM f, n)"
 ORACLE = {
     "text_features": f"WITH {_F} SELECT doc_id, n_words, n_lines, CASE WHEN n_words < 150 THEN 'short' WHEN n_words < 500 THEN 'medium' ELSE 'long' END size_band, CASE WHEN n_lines < 5 THEN 'short' WHEN n_lines < 20 THEN 'medium' ELSE 'long' END line_band FROM f",
@@ -98,5 +138,5 @@ ORACLE = {
  e AS (SELECT flag, count(*) n, sum(quality) q, sum(toxic) t FROM (SELECT quality, toxic, unnest(['lang=' || lang, 'source=' || source]) flag FROM j) GROUP BY 1),
  s AS (SELECT flag, n, n / tn share, q / n - (tq - q) / (tn - n) delta, t / n - (tt - t) / (tn - n) lift FROM e, t WHERE tn >= 10 AND n >= greatest(5, ceil(0.03 * tn)) AND tn > n)
  SELECT flag, n, round(share, 4) share, round(delta, 4) delta, round(lift, 4) lift, round((abs(delta) + 0.5 * abs(lift)) * greatest(share, 0.05), 4) strength, {rules.RELIABILITY} reliability FROM s""",
-    "template_groups": r"""SELECT sha256(t) template_id, count(*) n, min(doc_id) first_doc FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '<num>', 'g'), '"[^"]*"', '<str>', 'g'), '[a-z_][a-z0-9_]{2,}', '<id>', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ') t FROM documents) GROUP BY 1 HAVING count(*) > 1""",
+    "template_groups": f"SELECT sha256(t) template_id, count(*) n, min(doc_id) first_doc FROM (SELECT doc_id, {text.sql_template('text')} t FROM documents) GROUP BY t HAVING count(*) > 1",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rules, scalars
+from ..functions import ladders, rules, scalars
 from ..sources.tables import table
 from . import audit, outcomes
 
@@ -16,7 +16,7 @@ TOTALS = {
     "low_n": "sum(CASE WHEN efficacy = 'Low Efficacy' THEN 1 ELSE 0 END)",
     "labels_n": "count(DISTINCT efficacy)",
     "redundant_n": "sum(CASE WHEN redundancy >= 0.55 THEN 1 ELSE 0 END)",
-    "contradictory_n": "sum(CASE WHEN contradiction <> 'none' THEN 1 ELSE 0 END)",
+    "contradictory_n": "sum(CASE WHEN contradiction <> '' THEN 1 ELSE 0 END)",
     "strong_static_n": "sum(CASE WHEN contradiction = 'high_static_low_dynamic' THEN 1 ELSE 0 END)",
     "fragile_n": "sum(CASE WHEN sensitivity = 'high' THEN 1 ELSE 0 END)",
     "exemplar_n": "sum(CASE WHEN exemplar THEN 1 ELSE 0 END)",
@@ -60,7 +60,7 @@ def judges(judgments: DataFrame, key: str) -> DataFrame:
     """
     clean = {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("utility", "risk", "priority")}
     rows = judgments.select(key, *(e.alias(c) for c, e in clean.items()))
-    rank = F.expr(rules.PRIORITY_RANK.format("priority"))
+    rank = ladders.rank(F.col("priority"))
     rows = rows.groupBy(key).agg(F.count("*").alias("n_judgments"), F.count_distinct("utility").alias("utilities"), F.count_distinct("risk").alias("risks"), F.count_distinct("priority").alias("priorities"), F.min(rank).alias("rank"))
     rows = rows.withColumn("n_differ", sum((F.col(c) > 1).cast("int") for c in ("utilities", "risks", "priorities")))
     urgent = F.element_at(F.array(*map(F.lit, ("critical", "high", "medium", "normal", "normal"))), F.col("rank") + 1)
@@ -76,7 +76,7 @@ def q_auditor_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_model_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per model: samples, mean best rate, share of samples solved, and its labels."""
     rows = outcomes.models(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("model"))
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg("rate") + 1e-9, 4).alias("mean_best"), F.round(F.avg((F.col("rate") >= 0.9999).cast("double")) + 1e-9, 4).alias("solved"), F.count_if(F.col("efficacy") == "Suspicious").alias("suspicious"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("rate") + 1e-9, 4).alias("mean_best"), F.round(F.avg((F.col("rate") >= 0.9999).cast("double")) + 1e-9, 4).alias("solved"), F.count_if("suspicious").alias("suspicious"))
 
 
 def q_comparison_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ ORACLE = {
     "scorecard": _G + " UNION ALL ".join(f"SELECT '{m}' measure, {f} found, CASE WHEN {g} THEN 'PASS' ELSE 'REVIEW' END verdict FROM g" for m, f, g in SCORECARD),
     "findings": _G + " UNION ALL ".join(f"SELECT '{k}' kind, {i} \"position\", '{m}' finding, {s} samples FROM g WHERE {on}" for k, of in FINDINGS.items() for i, (m, s, on) in enumerate(of, 1)),
     "auditor_disagreement": f"{_J} SELECT user_id, n_judgments, {DISAGREEMENT} \"label\", round(n_differ / 3, 4) gap_proxy, (['critical', 'high', 'medium', 'normal'])[k + 1] priority FROM c",
-    "model_means": f"WITH {outcomes._ATT} SELECT o_orderpriority model, count(*) n, round(avg(rate) + 1e-9, 4) mean_best, round(avg((rate >= 0.9999)::INT) + 1e-9, 4) solved, count(*) FILTER (efficacy = 'Suspicious') suspicious FROM m GROUP BY 1",
+    "model_means": f"WITH {outcomes._ATT} SELECT o_orderpriority model, count(*) n, round(avg(rate) + 1e-9, 4) mean_best, round(avg((rate >= 0.9999)::INT) + 1e-9, 4) solved, count(*) FILTER (suspicious) suspicious FROM m GROUP BY 1",
     "comparison_notes": f"""WITH {outcomes._ATT}, k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) i FROM m),
  t AS (SELECT a.o_custkey, a.o_orderpriority "first", b.o_orderpriority "second", a.efficacy first_label, a.rate first_rate, b.rate second_rate, a.private_rate first_edge, b.private_rate second_edge, a.n_tests n_edge FROM k a LEFT JOIN k b ON b.o_custkey = a.o_custkey AND b.i = 2 WHERE a.i = 1)
  SELECT o_custkey, "first", "second", {rules.COMPARISON} note FROM t""",

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import rules, scalars
-from ..sources.tables import table
+from ..functions import ladders, scalars
+from ..sources.tables import table, written
 from . import audit
-from .similarity import written
+
 
 QUOTAS = {"contradiction": 8, "disagreement": 8, "redundancy": 6, "baseline": 4}
 MOST = 30
@@ -28,7 +28,7 @@ def select_review(rows: DataFrame, quotas: dict[str, int] | None = None, most: i
     by priority. Each step is a bounded sort, and what is chosen has at most ``most`` rows or the quotas' sum.
     """
     quotas = QUOTAS | (quotas or {})
-    rows = rows.withColumn("rank", F.expr(rules.PRIORITY_RANK.format("priority")))
+    rows = rows.withColumn("rank", ladders.rank(F.col("priority")))
     first = F.min_by(F.struct("id", "rank"), F.struct("rank", "id"))
     per_cluster = rows.where("redundant").groupBy("cluster_id").agg(first.alias("f"), F.max("cluster_size").alias("cluster_size")).select("f.*", "cluster_size")
     pools = {
@@ -118,7 +118,7 @@ def q_review_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = rows.groupBy("source", "lang").agg(F.count("*").alias("cluster_size")).withColumns({"s": F.col("source"), "l": F.col("lang")}).drop("source", "lang")
     rows = rows.join(size, rows["source"].eqNullSafe(size["s"]) & rows["lang"].eqNullSafe(size["l"]))
     cluster = F.to_json(F.struct("source", "lang"))
-    return select_review(rows.select(F.col("doc_id").alias("id"), "priority", F.expr("contradiction <> 'none' contradictory"), F.expr("sensitivity IN ('high', 'moderate') differs"), F.expr("redundancy >= 0.55 redundant"), F.col("exemplar").alias("exemplary"), cluster.alias("cluster_id"), "cluster_size"))
+    return select_review(rows.select(F.col("doc_id").alias("id"), "priority", F.expr("contradiction <> '' contradictory"), F.expr("sensitivity IN ('high', 'moderate') differs"), F.expr("redundancy >= 0.55 redundant"), F.col("exemplar").alias("exemplary"), cluster.alias("cluster_id"), "cluster_size"))
 
 
 def q_merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +138,11 @@ def q_review_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
-_R = rules.PRIORITY_RANK.format("priority")
+_R = audit._R
 _L = "l AS (SELECT doc_id, max(quality) quality, max(toxic) toxic FROM labels GROUP BY 1)"
 ORACLE = {
     "review_slice": f"""WITH {audit._S}, r AS (SELECT *, {_R} k, count(*) OVER (PARTITION BY source, lang) z FROM s),
- c1 AS (SELECT doc_id id, k FROM r WHERE contradiction <> 'none' ORDER BY doc_id LIMIT {QUOTAS["contradiction"]}),
+ c1 AS (SELECT doc_id id, k FROM r WHERE contradiction <> '' ORDER BY doc_id LIMIT {QUOTAS["contradiction"]}),
  c2 AS (SELECT doc_id id, k FROM r WHERE sensitivity IN ('high', 'moderate') AND doc_id NOT IN (SELECT id FROM c1) ORDER BY k, doc_id LIMIT {QUOTAS["disagreement"]}),
  f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY k, doc_id) i FROM r WHERE redundancy >= 0.55) WHERE i = 1),
  c3 AS (SELECT doc_id id, k FROM f WHERE doc_id NOT IN (SELECT id FROM c1 UNION ALL SELECT id FROM c2) ORDER BY z DESC, k, doc_id LIMIT {QUOTAS["redundancy"]}),

@@ -1,8 +1,8 @@
 """All queries on the shared tables."""
 
-from ..operators import audit, checks, code, outcomes, pairs, profile, reports, review, similarity
+from ..operators import audit, checks, code, outcomes, pairs, profile, reports, review, sections, similarity
 from ..streaming import rollup
 
-_PARTS = (outcomes, profile, similarity, pairs, audit, reports, review, checks, code, rollup)
+_PARTS = (outcomes, profile, similarity, pairs, audit, sections, reports, review, checks, code, rollup)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}
