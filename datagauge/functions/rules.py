@@ -1,54 +1,8 @@
-"""Classifiers as CASE ladders: the first branch that holds wins. The texts are ANSI SQL over named columns."""
+"""Ladders that reports and their SQL share, as ANSI SQL over named columns. The audit's own classifiers are in ``ladders``."""
 
 from __future__ import annotations
 
-EFFICACY = """CASE WHEN n_tests IS NULL OR n_tests = 0 THEN 'Moderate Efficacy'
- WHEN public_rate >= 1 AND private_rate <= 0 THEN 'Suspicious'
- WHEN abs(public_rate - private_rate) >= 0.5 AND greatest(public_rate, private_rate) >= 0.75 THEN 'Suspicious'
- WHEN rate >= 0.95 THEN 'Low Efficacy'
- WHEN rate > 0.8 THEN 'Moderate Efficacy'
- WHEN rate >= 0.25 THEN 'High Efficacy'
- ELSE 'Moderate Efficacy' END"""
-
-VOLATILITY = """CASE WHEN n_attempts IS NULL OR n_attempts = 0 THEN 'unknown'
- WHEN rate_range >= 0.35 OR rate_std >= 0.15 THEN 'volatile' ELSE 'stable' END"""
-
-DISAGREEMENT = """CASE WHEN n_models < 2 THEN 'single_model'
- WHEN gap >= 0.45 OR (gap >= 0.25 AND n_labels > 1) THEN 'strong_disagreement'
- WHEN gap >= 0.25 OR n_labels > 1 THEN 'moderate_disagreement' ELSE 'aligned' END"""
-
-BOUNDARY = """CASE WHEN abs(rate - 0.25) <= abs(rate - 0.8) AND abs(rate - 0.25) <= abs(rate - 0.95) THEN 'difficulty_boundary'
- WHEN abs(rate - 0.8) <= abs(rate - 0.95) THEN 'moderate_boundary' ELSE 'saturation_boundary' END"""
-
-SENSITIVITY = """CASE WHEN suspicious THEN 'caveated'
- WHEN least(abs(rate - 0.25), abs(rate - 0.8), abs(rate - 0.95)) <= 0.025 THEN 'high'
- WHEN least(abs(rate - 0.25), abs(rate - 0.8), abs(rate - 0.95)) <= 0.05 THEN 'moderate' ELSE 'stable' END"""
-
-CONTRADICTION = """CASE WHEN score >= 0.82 AND (suspicious OR rate <= 0.2) THEN 'high_static_low_dynamic'
- WHEN score <= 0.45 AND rate >= 0.9 THEN 'low_static_high_dynamic' ELSE 'none' END"""
-
-PRIORITY = """CASE WHEN suspicious THEN 'critical'
- WHEN redundancy >= 0.82 OR contradiction <> 'none' THEN 'high'
- WHEN redundancy >= 0.72 OR sensitivity <> 'stable' OR efficacy = 'Low Efficacy' THEN 'medium' ELSE 'normal' END"""
-
-PRIORITY_RANK = "CASE {0} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'normal' THEN 3 ELSE 4 END"
-
-UTILITY = """CASE WHEN suspicious THEN 'benchmark_defect' WHEN efficacy = 'Low Efficacy' OR rate >= 0.95 THEN 'trivial'
- WHEN contradiction <> 'none' THEN 'contradiction' WHEN exemplar THEN 'exemplar' ELSE 'usable' END"""
-
-REGIME = """CASE WHEN suspicious THEN 'suspicious' WHEN sensitivity = 'high' THEN 'fragile' WHEN redundancy >= 0.72 THEN 'redundant'
- WHEN rate >= 0.95 THEN 'saturated' WHEN rate <= 0.1 THEN 'too_hard' ELSE 'discriminative' END"""
-
-EXEMPLAR = "(score >= 0.78 AND efficacy IN ('High Efficacy', 'Moderate Efficacy') AND NOT suspicious AND redundancy < 0.55 AND sensitivity = 'stable' AND contradiction = 'none')"
-
-ACTION = """CASE WHEN suspicious AND score <= 0.45 THEN 'remove' WHEN redundancy >= 0.98 THEN 'remove'
- WHEN suspicious THEN 'fix' WHEN contradiction <> 'none' THEN 'fix' WHEN efficacy = 'Low Efficacy' THEN 'fix' WHEN sensitivity = 'high' THEN 'fix' ELSE 'keep' END"""
-
-DUPLICATE = """CASE WHEN prompt_sim >= 0.98 AND same_name THEN 'exact_duplicate' WHEN embedding_sim >= 0.9 AND structural >= 0.55 THEN 'semantic_duplicate'
- WHEN combined >= 0.68 THEN 'near_duplicate' WHEN prompt_sim >= 0.55 OR structural >= 0.55 THEN 'template_overlap' END"""
-
 RELIABILITY = "CASE WHEN n >= 20 OR share >= 0.15 THEN 'broad' WHEN n >= 10 OR share >= 0.08 THEN 'moderate' ELSE 'narrow' END"
-VERDICT_SCORE = "CASE {0} WHEN 'PASS' THEN 1.0 WHEN 'PARTIAL' THEN 0.5 WHEN 'UNCLEAR' THEN 0.25 WHEN 'FAIL' THEN 0.0 END"
 
 #: Of a sample's first and second model; ``edge`` are the rates on generated tests, ``n_edge`` those tests.
 COMPARISON = """CASE WHEN "second" IS NULL THEN concat('one model: ', first_label)

@@ -1,37 +1,19 @@
-"""Similar samples: candidate pairs by a prefix filter, exact signals, labels, neighbours and clusters.
+"""Similar texts: candidate pairs by a prefix filter, exact similarity, clusters; overlap with another corpus.
 
 A pair with Jaccard t or more shares a gram among the n - ceil(t n) + 1 rarest of either set, so joining on these loses nothing. Grams
-are joined as hashes; equal texts stand for one another, so a group of copies yields no pairs within itself but one edge to its first row.
+are joined as hashes. Equal texts stand for one another: a group of copies gives a pair of each copy with its first row, and the pairs of that row stand for theirs.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import rules, text
-from ..sources.tables import table
+from ..functions import text
+from ..sources.tables import table, written
 
 LEAST = 0.55
-#: Least prompt similarity of a pair labelled for its structure alone: .55 p + .25 + .2 >= .55 (less slack for floats). That takes one source.
-LEAST_STRUCTURAL = 2 / 11 - 1e-9
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Rows read back from the folder that the cluster names for checkpoints; a temporary one where it names none."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="datagauge-"))
-        root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/datagauge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def gram_sets(docs: DataFrame) -> DataFrame:
@@ -41,11 +23,10 @@ def gram_sets(docs: DataFrame) -> DataFrame:
     return first.select("doc_id", "copies", F.array_distinct(F.transform(text.ngrams(F.col("t")), lambda g: F.xxhash64(g))).alias("grams")).where(F.size("grams") > 0)
 
 
-def similar(sets: DataFrame, least: float = LEAST, within: str | None = None) -> DataFrame:
-    """(left, right, prompt_sim): all pairs with Jaccard of at least ``least``, those alike in the column ``within`` (or both null) where it is given."""
+def similar(sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """(left, right, similarity): all pairs of ``sets`` (doc_id, grams: hashes) with Jaccard of at least ``least``."""
     sets = written(sets, "grams")
-    grams = F.col("grams") if within is None else F.transform("grams", lambda g: F.xxhash64(g, F.col(within).isNull(), F.col(within)))
-    size = sets.select("doc_id", F.size("grams").alias("n"), F.explode(grams).alias("g"))
+    size = sets.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     df = size.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = size.join(df, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     w = Window.partitionBy("doc_id").orderBy("df", "g")
@@ -53,60 +34,28 @@ def similar(sets: DataFrame, least: float = LEAST, within: str | None = None) ->
     a, b = prefix.toDF("left", "ln", "g"), prefix.toDF("right", "rn", "g")
     pairs = a.join(b, "g").where((F.col("left") < F.col("right")) & (F.least("ln", "rn") >= least * F.greatest("ln", "rn"))).select("left", "right").distinct()
     joined = pairs.join(sets.select(F.col("doc_id").alias("left"), F.col("grams").alias("lg")), "left").join(sets.select(F.col("doc_id").alias("right"), F.col("grams").alias("rg")), "right")
-    return joined.select("left", "right", text.jaccard(F.col("lg"), F.col("rg")).alias("prompt_sim")).where(F.col("prompt_sim") >= least)
-
+    return joined.select("left", "right", text.jaccard(F.col("lg"), F.col("rg")).alias("similarity")).where(F.col("similarity") >= least)
 
-def signals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Pairs with prompt, embedding, lexical, structural and combined similarity and their label; copies beside their first row count as 1.
 
-    Of the pairs with a prompt similarity of ``LEAST`` or more; ``whole``: of all pairs. A pair below it has a label only by structural >= .55, which
-    takes one source and ``LEAST_STRUCTURAL``: with prompt and structural below .55 the blend is at most .6625, so neither other label is reached.
-    """
-    docs = table(spark, sf_dir, "documents")
-    sets = gram_sets(docs)
-    pairs = similar(sets)
-    if whole:
-        near = similar(sets.join(docs.select("doc_id", "source"), "doc_id"), LEAST_STRUCTURAL, "source")
-        pairs = pairs.unionByName(near.where(F.col("prompt_sim") < LEAST))
-    pairs = written(pairs, "similar")
-    names = docs.select("doc_id", "source", "lang", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines"))
-    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    side = [names.join(vec, "doc_id", "left").select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("source", "lang", "lines", "v"))) for s in ("left", "right")]
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    lv, rv = F.col("left_v"), F.col("right_v")
-    cosine = F.coalesce(F.try_divide(dot(lv, rv), F.sqrt(dot(lv, lv)) * F.sqrt(dot(rv, rv))), F.lit(0.0))
-    rows = pairs.join(side[0], "left").join(side[1], "right").withColumns({"embedding_sim": cosine, "same_name": F.col("left_lang").eqNullSafe(F.col("right_lang")), "same_source": F.col("left_source").eqNullSafe(F.col("right_source")).cast("double")})
-    rows = rows.withColumn("structural", 0.55 * F.col("prompt_sim") + 0.25 * F.col("same_source") + 0.2 * F.try_divide(F.least("left_lines", "right_lines"), F.greatest("left_lines", "right_lines")))
-    blend = 0.45 * F.col("prompt_sim") + 0.3 * F.col("structural") + 0.25 * F.col("embedding_sim")
-    rows = rows.withColumn("combined", F.round(F.greatest("prompt_sim", "structural", blend), 4))
-    return rows.withColumn("label", F.expr(rules.DUPLICATE)).where("label IS NOT NULL").select("left", "right", F.round("prompt_sim", 4).alias("prompt_sim"), F.round("embedding_sim", 4).alias("embedding_sim"), F.round("structural", 4).alias("structural"), "combined", "label")
+def copies(docs: DataFrame) -> DataFrame:
+    """(left, right): the first row of each normalised text that is not empty, with every other row that holds it."""
+    rows = docs.select("doc_id", F.sha2(text.normalise("text"), 256).alias("t")).where(text.normalise("text") != "")
+    first = rows.groupBy("t").agg(F.min("doc_id").alias("left"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, "t").where("doc_id <> left").select("left", F.col("doc_id").alias("right"))
 
 
 def q_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(gram_sets(table(spark, sf_dir, "documents"))).withColumn("prompt_sim", F.round("prompt_sim", 4))
-
-
-def q_duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals(spark, sf_dir)
-
-
-def q_all_duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals(spark, sf_dir, whole=True)
-
-
-def nearest(pairs: DataFrame) -> DataFrame:
-    """Each row's most similar other, the smallest pair of equals."""
-    both = pairs.select(F.col("left").alias("doc_id"), F.col("right").alias("closest"), "combined", "label").unionByName(pairs.select(F.col("right").alias("doc_id"), F.col("left").alias("closest"), "combined", "label"))
-    best = F.max_by(F.struct("closest", "combined", "label"), F.struct("combined", (-F.least("doc_id", "closest")).alias("l"), (-F.greatest("doc_id", "closest")).alias("r")))
-    return both.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.*")
-
-
-def q_nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(signals(spark, sf_dir))
+    """Pairs of different texts at ``LEAST`` or more, each by its first row, and every copy with its first row."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = similar(gram_sets(docs)).select("left", "right", F.round("similarity", 4).alias("prompt_sim"))
+    return pairs.unionByName(copies(docs).withColumn("prompt_sim", F.lit(1.0)))
 
 
-def q_all_nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(signals(spark, sf_dir, whole=True))
+def q_text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the first row of its normalised text and the rows that hold it."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalise(F.coalesce("text", F.lit(""))), 256).alias("t"))
+    classes = rows.groupBy("t").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return rows.join(classes, "t").select("doc_id", "class_id", "class_size")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -134,29 +83,13 @@ def q_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(rows.groupBy("cluster_id").agg(F.count("*").alias("cluster_size")), "cluster_id").select("doc_id", "cluster_id", "cluster_size")
 
 
-def report(pairs: DataFrame) -> DataFrame:
-    """Pairs with the larger of the two rows' own best scores."""
-    pairs = written(pairs, "signals")
-    ends = pairs.select(F.col("left").alias("d"), "combined").unionByName(pairs.select(F.col("right").alias("d"), "combined")).groupBy("d").agg(F.max("combined").alias("best"))
-    rows = pairs.join(ends.toDF("left", "lb"), "left").join(ends.toDF("right", "rb"), "right")
-    return rows.select("left", "right", "label", F.greatest("lb", "rb").alias("similarity"))
-
-
-def q_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(signals(spark, sf_dir))
-
-
-def q_all_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(signals(spark, sf_dir, whole=True))
-
-
 def q_cross_corpus_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items of which a document holds half of the distinct 5-word shingles or more. The items' side is not broadcast unless Spark finds it small."""
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
     def shingles(rows: DataFrame, key: str) -> DataFrame:
         w = rows.select(key, words(F.col("text")).alias("w")).where(F.size("w") >= 5)
-        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))).alias("s"))
+        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(5)))))).alias("s"))
 
     items = shingles(table(spark, sf_dir, "benchmark"), "item_id")
     size = items.groupBy("item_id").agg(F.count("*").alias("n"))
@@ -165,32 +98,23 @@ def q_cross_corpus_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
-_N = r"""s AS (SELECT t, min(doc_id) doc_id FROM (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[ \t\r\n]+', ' ', 'g'), ' ') t FROM documents) WHERE t <> '' GROUP BY t),
+_T = text.sql_normalised("coalesce(text, '')")
+_N = f"""s AS (SELECT t, min(doc_id) doc_id FROM (SELECT doc_id, {_T} t FROM documents) WHERE t <> '' GROUP BY t),
 c AS (SELECT doc_id, t, string_split(t, '') a FROM s),
 g AS (SELECT DISTINCT doc_id, CASE WHEN len(a) <= 5 THEN t ELSE a[i] || a[i + 1] || a[i + 2] || a[i + 3] || a[i + 4] END g FROM (SELECT doc_id, t, a, unnest(range(1, greatest(len(a) - 3, 2))) i FROM c)),
 z AS (SELECT doc_id, count(*) n FROM g GROUP BY 1),
 x AS (SELECT l.doc_id "left", r.doc_id "right", count(*) c FROM g l JOIN g r ON l.g = r.g AND l.doc_id < r.doc_id GROUP BY 1, 2),
 p AS (SELECT "left", "right", c / (a.n + b.n - c) prompt_sim FROM x JOIN z a ON a.doc_id = "left" JOIN z b ON b.doc_id = "right" WHERE c / (a.n + b.n - c) >= 0.55)"""
-_L = f"""e AS (SELECT d.doc_id, source, lang, len(string_split(coalesce(text, ''), chr(10))) lines, v FROM documents d LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings) ON vec_id = doc_id),
-q AS (SELECT "left", "right", prompt_sim, coalesce(list_cosine_similarity(a.v, b.v), 0.0) embedding_sim, a.lang IS NOT DISTINCT FROM b.lang same_name,
- 0.55 * prompt_sim + 0.25 * (a.source IS NOT DISTINCT FROM b.source)::INT + 0.2 * least(a.lines, b.lines) / greatest(a.lines, b.lines) structural
- FROM p JOIN e a ON a.doc_id = "left" JOIN e b ON b.doc_id = "right"),
-k AS (SELECT *, round(greatest(prompt_sim, structural, 0.45 * prompt_sim + 0.3 * structural + 0.25 * embedding_sim), 4) combined FROM q),
-lab AS (SELECT * FROM (SELECT *, {rules.DUPLICATE} "label" FROM k) WHERE "label" IS NOT NULL),
-h AS (SELECT "left" d, "right" o, combined, "label" FROM lab UNION ALL SELECT "right", "left", combined, "label" FROM lab)"""
 ORACLE = {
-    "jaccard_pairs": f'WITH {_N} SELECT "left", "right", round(prompt_sim, 4) prompt_sim FROM p',
-    "duplicate_labels": f'WITH {_N}, {_L} SELECT "left", "right", round(prompt_sim, 4) prompt_sim, round(embedding_sim, 4) embedding_sim, round(structural, 4) structural, combined, "label" FROM lab',
-    "nearest_neighbor": f'WITH {_N}, {_L} SELECT d doc_id, o closest, combined, "label" FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY combined DESC, least(d, o), greatest(d, o)) r FROM h) WHERE r = 1',
-    "duplicate_report": f'WITH {_N}, {_L}, m AS (SELECT d, max(combined) best FROM h GROUP BY 1) SELECT "left", "right", "label", greatest(a.best, b.best) similarity FROM lab JOIN m a ON a.d = "left" JOIN m b ON b.d = "right"',
+    "jaccard_pairs": f"""WITH {_N}, h AS (SELECT doc_id, {_T} t FROM documents) SELECT "left", "right", round(prompt_sim, 4) prompt_sim FROM p
+ UNION ALL SELECT s.doc_id, h.doc_id, 1.0 FROM s JOIN h ON h.t = s.t AND h.doc_id <> s.doc_id""",
+    "text_classes": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_T}) class_id, count(*) OVER (PARTITION BY {_T}) class_size FROM documents",
     "duplicate_clusters": f"""WITH RECURSIVE {_N}, y AS (SELECT "left" a, "right" b FROM p UNION ALL SELECT "right", "left" FROM p),
  w AS (SELECT a node, a reach FROM y UNION SELECT w.node, y.b FROM w JOIN y ON y.a = w.reach), root AS (SELECT node, min(reach) root FROM w GROUP BY 1),
- f AS (SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY """ + r"""trim(regexp_replace(lower(coalesce(text, '')), '[ \t\r\n]+', ' ', 'g'), ' ')""" + """) first FROM documents d),
+ f AS (SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY {_T}) first FROM documents d),
  u AS (SELECT doc_id, coalesce(root, first) cluster_id FROM f LEFT JOIN root ON node = first) SELECT doc_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) cluster_size FROM u""",
     "cross_corpus_overlap": r"""WITH w AS (SELECT 0 k, doc_id id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') w FROM documents UNION ALL SELECT 1, item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') FROM benchmark),
  s AS (SELECT DISTINCT k, id, array_to_string(w[i : i + 4], ' ') s FROM (SELECT k, id, w, unnest(range(1, len(w) - 3)) i FROM w WHERE len(w) >= 5)),
  n AS (SELECT id, count(*) n FROM s WHERE k = 1 GROUP BY 1), f AS (SELECT d.id doc_id, b.id item_id, count(*) shared FROM s d JOIN s b ON d.s = b.s AND d.k = 0 AND b.k = 1 GROUP BY 1, 2)
  SELECT doc_id, item_id, shared, round(shared / n, 4) overlap FROM f JOIN n ON n.id = item_id WHERE 2 * shared >= n""",
 }
-#: The same over all pairs.
-ORACLE |= {f"all_{n}": ORACLE[n].replace(_N, _N.replace(" WHERE c / (a.n + b.n - c) >= 0.55)", ")")) for n in ("duplicate_labels", "nearest_neighbor", "duplicate_report")}
