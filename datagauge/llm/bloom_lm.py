@@ -8,8 +8,8 @@ their counts, and one unknown word with mass u, the share of words seen once.
 
 The filter has a segment for each bucket, ``BITS`` bits an entry at any size. Up to ``MAX_FILTER_BYTES`` it is broadcast. A larger one stays
 in its table: documents are dealt into chunks, a chunk's distinct n-grams go to the segments they fall in, and the levels read there come back to the
-chunk, so that a task holds a chunk or a few segments, and the scores are those of the broadcast filter. The unigram baseline uses exact counts: words that make up at least 1 / ``HEAD`` of all
-tokens (at most ``HEAD`` words) are broadcast, all others are joined.
+chunk, so that a task holds a chunk or a few segments, and the scores are those of the broadcast filter. The unigram baseline uses exact counts: those of
+the most frequent words, ``HEAD`` at most, are broadcast, all others are joined.
 
 Null and empty texts hold the end token alone. Without learning documents every known count is 0. Repeated rows each count
 and each get their row; extra columns are ignored.
@@ -32,12 +32,12 @@ BASE = 1.5
 LEVELS = 80
 BITS = 8.0
 HASHES = 5
-MAX_FILTER_BYTES = 256 << 20
-HEAD = 1 << 21
-#: Bytes of input to a bucket of n-grams or a chunk of documents, buckets probed together, and n-grams that a task holds before it hands them on.
+MAX_FILTER_BYTES = 128 << 20
+HEAD = 1 << 20
+#: Bytes of text to a bucket of n-grams or a chunk of documents, buckets that a task builds or probes together, and n-grams that a task holds before it hands them on.
 BUCKET_BYTES = 4 << 20
-SPAN = 16
-HELD = 1 << 22
+SPAN = 4
+HELD = 1 << 20
 
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
@@ -133,11 +133,11 @@ def _position(one: np.ndarray, two: np.ndarray, i: int, bits: np.ndarray | np.ui
     return (((one + _U(i) * two) & _U(0xFFFFFFFF)) * bits) >> _U(32)
 
 
-STATS = 2 + LEVELS + 1
+STATS = 2 + 2 * (LEVELS + 1)
 
 
-def _builder(order: int):
-    """Per bucket: its filter segment, unigram counts, and for each order the n-grams, those seen once and the tokens by level."""
+def _builder(order: int, bits_each: float):
+    """Per bucket: its filter segment, unigram counts, and for each order the n-grams, those seen once, the tokens and the n-grams by level."""
 
     def run(table: pa.Table) -> pa.Table:
         stats = np.zeros((order, STATS), np.int64)
@@ -150,13 +150,15 @@ def _builder(order: int):
             counts = np.concatenate([np.frombuffer(counts_in[i], np.uint32) for i in rows]) if len(rows) else np.zeros(0, np.uint32)
             keys, inverse = np.unique(keys, return_inverse=True)
             counts = np.bincount(inverse, counts, len(keys)).astype(np.int64)
-            level = levels(counts)
+            del inverse
+            level = levels(counts).astype(np.uint8)
             found.append((keys, counts, level))
             real = keys != _BOS
             stats[o - 1, 0], stats[o - 1, 1] = real.sum(), (counts[real] == 1).sum()
-            stats[o - 1, 2:] = np.bincount(level, counts, LEVELS + 1).astype(np.int64)
+            stats[o - 1, 2 : 3 + LEVELS] = np.bincount(level, counts, LEVELS + 1).astype(np.int64)
+            stats[o - 1, 3 + LEVELS :] = np.bincount(level[real], minlength=LEVELS + 1)
         entries = sum(int(f[2].sum()) for f in found)
-        bits = max(64, math.ceil(entries * BITS / 64) * 64)
+        bits = max(64, math.ceil(entries * bits_each / 64) * 64)
         plane = np.zeros(bits, bool)
         for o, (keys, _, level) in enumerate(found, 1):
             j = 1
@@ -265,8 +267,13 @@ class BloomModel:
         self.filter, self.words, self.tokens, self.order, self.n_buckets = filter_, words, tokens, order, n_buckets
         self.types = int(stats[0, 0])
         self.unknown = min(max(stats[0, 1] / max(tokens, 1), 0.5 / (tokens + 1)), 0.5) if tokens else 1.0
-        self.mass = float((stats[0, 2:] / np.maximum(MEANS, 1) * MEANS).sum()) if tokens else 1.0
-        self.kappa = [self._pull(stats[o - 1, 2:], stats[o, 1] / max(1, stats[o, 2:].sum())) for o in range(1, order)]
+        by_level = stats[:, 2 : 3 + LEVELS]
+        self.mass = float((by_level[0] / np.maximum(MEANS, 1) * MEANS).sum()) if tokens else 1.0
+        self.kappa = [self._pull(by_level[o - 1], stats[o, 1] / max(1, by_level[o].sum())) for o in range(1, order)]
+        # The least count of the lowest level from which on there are at most HEAD words.
+        above = np.cumsum(stats[0, 3 + LEVELS :][::-1])[::-1]
+        fits = np.flatnonzero(above[1:] <= HEAD)
+        self.least = int(LOWS[fits[0]]) if len(fits) else int(tokens) + 1
 
     @staticmethod
     def _pull(tokens: np.ndarray, novel: float) -> float:
@@ -278,18 +285,18 @@ class BloomModel:
         return lo
 
     @classmethod
-    def fit(cls, docs: DataFrame, order: int = ORDER, max_bytes: int = MAX_FILTER_BYTES) -> BloomModel:
+    def fit(cls, docs: DataFrame, order: int = ORDER, max_bytes: int = MAX_FILTER_BYTES, bits: float = BITS) -> BloomModel:
         text = docs.select("text")
 
         def count(batches):
             for batch in batches:
                 n = textkernel.word_counts(batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array([int(n.sum()) + len(n)])], names=["n"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(n.sum()) + len(n)]), pa.array([len(textkernel.raw(batch.column(0))[0]) + 16 * len(n)])], names=["n", "bytes"])
 
-        tokens = text.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-        n_buckets = store.parts_for(text, BUCKET_BYTES)
+        tokens, n_bytes = (x or 0 for x in text.mapInArrow(count, "n long, bytes long").agg(F.sum("n"), F.sum("bytes")).first())
+        n_buckets = store.parts_for(n_bytes, BUCKET_BYTES, 16 * SPAN)
         rows = text.mapInArrow(_counter(order, n_buckets), "bucket int, order int, keys binary, counts binary")
-        built = rows.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_builder(order), "bucket int, segment binary, keys binary, counts binary, stats array<long>")
+        built = rows.repartition(-(-n_buckets // SPAN), "bucket").groupBy("bucket").applyInArrow(_builder(order, bits), "bucket int, segment binary, keys binary, counts binary, stats array<long>")
         built = store.materialize(built, "bloom")
         stats, size = np.zeros((order, STATS), np.int64), 0
         for r in built.select("stats", F.length("segment").alias("size")).toLocalIterator():
@@ -327,7 +334,9 @@ def log_probabilities(filter_: Filter | Answers, order: int, unknown: float, mas
     for o, (key, _, there) in enumerate(ngrams(tokens, bounds, order), 2):
         seen = np.zeros(len(tokens))
         look = np.flatnonzero(there & (context > 0))
-        seen[look] = np.minimum(MEANS[filter_.levels(key[look], o)], context[look])
+        # Each once and in order, so that the probes of a segment stand together.
+        asked, back = np.unique(key[look], return_inverse=True)
+        seen[look] = np.minimum(MEANS[filter_.levels(asked, o)][back], context[look])
         k = kappa[o - 2]
         p = np.where(there & (context > 0), (seen + k * p) / (context + k), p)
         context = np.concatenate(([0.0], seen[:-1]))
@@ -338,7 +347,7 @@ def log_probabilities(filter_: Filter | Answers, order: int, unknown: float, mas
 def score(docs: DataFrame, model: BloomModel, keep: list[str]) -> DataFrame:
     """The columns ``keep``, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
     spark = docs.sparkSession
-    least = model.tokens // HEAD + 1  # counted as often: HEAD words at most
+    least = model.least
     head = model.counted(least, None).toArrow()
     keys, counts = head["key"].to_numpy().view(_U), head["c"].to_numpy()
     order_ = np.argsort(keys)
@@ -382,7 +391,7 @@ def score(docs: DataFrame, model: BloomModel, keep: list[str]) -> DataFrame:
     if model.filter is not None:
         rows = texts.mapInArrow(run, schema)
     else:
-        n_chunks, parts = store.parts_for(docs, BUCKET_BYTES), -(-n_buckets // SPAN)
+        n_chunks, parts = store.parts_for(store.text_bytes(docs), BUCKET_BYTES), -(-n_buckets // SPAN)
         # By their content, so that a repeated task deals alike.
         dealt = texts.withColumn("chunk", F.pmod(F.xxhash64(*keep, "__text"), F.lit(n_chunks))).repartition(n_chunks, "chunk")
         order = model.order
