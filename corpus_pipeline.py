@@ -36,8 +36,9 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates by five-word shingles."""
     docs = docs.select(*COLUMNS)
-    ids = minhash.link(docs, SHINGLE).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
-    ids = store.materialize(ids.select("doc_id", "rows"), "pipeline-kept")
+    with store.scope() as keep:
+        ids = minhash.link(docs, SHINGLE).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
+        ids = keep(store.materialize(ids.select("doc_id", "rows"), "pipeline-kept"))
     once = docs.join(ids.where("rows = 1"), "doc_id", "left_semi")
     # Only rows that repeat an id are aggregated with their texts.
     rest = [c for c in COLUMNS if c != "doc_id"]
@@ -48,9 +49,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, each as often as it is taken."""
     docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs, F.array("source"))[0].groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("taken_copies").alias("copies")).where("copies > 0")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
+    with store.scope() as keep:
+        # By id, source and text: null ids stand on many rows.
+        taken = mixing.mix(docs, F.array("source"))[0].groupBy(F.col("doc_id").alias("taken_id"), F.col("mark"), F.col("own")[0].alias("taken_source")).agg(F.max("taken_copies").alias("copies")).where("copies > 0")
+        taken = keep(store.materialize(taken, "pipeline-taken"))
+    same = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("mark")) & F.col("source").eqNullSafe(F.col("taken_source"))
+    return docs.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,5 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written and read again."""
     docs = store.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with store.scope() as keep:
+            after = keep(store.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        store.drop(docs)  # a table of the stage before; the input itself is not one
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
