@@ -6,12 +6,22 @@ import ast
 import json
 import math
 import re
+import warnings
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REFUSALS = ("as an ai", "i cannot", "i can't help")
+# What a refusal holds, notes on how code was found, beginnings of a line of code.
+REFUSALS = ("i can't help", "i cannot help", "i can’t provide", "i cannot provide", "sorry, but", "as an ai")
+NOTES = {
+    "no_code": "Model returned an empty response.",
+    "refusal": "Model refused or declined to answer.",
+    "fence": "Extracted the largest fenced code block.",
+    "suffix": "Extracted the earliest parseable Python module that preserves top-level imports and helpers.",
+    "malformed_response": "No runnable Python function was found in the model output.",
+}
+BEGINS = re.compile(r"""(?:from|import|def|async[ ]def|class)[ ]|[@#]|\"{3}|'{3}|[A-Za-z_][A-Za-z0-9_]*\s*=""")
 
 
 def same(expected: object, actual: object) -> bool:
@@ -31,46 +41,100 @@ def same(expected: object, actual: object) -> bool:
     return expected == actual
 
 
-def _parsed(text: str | None) -> tuple[bool, object]:
+def mismatch(expected: object, actual: object) -> str:
+    """Kind of a difference: of the types (whole and decimal numbers are two), or of the values."""
+    return "incorrect_output" if type(expected) is type(actual) else "format_mismatch"
+
+
+def loosely_same(expected: object, actual: object) -> bool:
+    """Plain equality, once results that are JSON texts are read."""
+    if isinstance(actual, str):
+        try:
+            actual = json.loads(actual)
+        except ValueError:
+            pass
+    return expected == actual
+
+
+def _json(text: str | None) -> tuple[bool, object]:
     try:
         return True, json.loads(text)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return False, None
 
 
 @F.pandas_udf(T.BooleanType())
 def typed_equal(expected: pd.Series, actual: pd.Series) -> pd.Series:
     """Whether two JSON texts hold the same typed value; false if either is not JSON."""
-    return pd.Series([all(x[0] for x in pair) and same(pair[0][1], pair[1][1]) for pair in zip(map(_parsed, expected), map(_parsed, actual), strict=True)], dtype=bool)
+    return pd.Series([all(x[0] for x in pair) and same(pair[0][1], pair[1][1]) for pair in zip(map(_json, expected), map(_json, actual), strict=True)], dtype=bool)
 
 
-def extract(response: str | None) -> tuple[str, str]:
-    """(status, code): the largest fenced block, else the longest part from a code-like line on that parses."""
-    text = (response or "").strip()
-    if not text:
-        return "no_code", ""
-    fences = re.findall(r"```[A-Za-z]*\n(.*?)```", text, re.S)
-    if fences:
-        return "ok", max(fences, key=len).strip()
-    if any(r in text.lower() for r in REFUSALS):
-        return "refusal", ""
-    rows = text.split("\n")
-    begins = [i for i, x in enumerate(rows) if re.match(r"(def |class |import |from |@|[A-Za-z_]\w* *=)", x)]
-    for i in begins:
-        for j in range(len(rows), i, -1):
+def parsed(text: str) -> ast.Module | None:
+    """The syntax tree; None for what is no Python, or too deep for the parser."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def _defines(tree: ast.Module | None) -> bool:
+    return tree is not None and any(isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef) for x in tree.body)
+
+
+def suffix(text: str) -> str:
+    """The first part, from a line that looks like code to the furthest line, that parses and defines a function; empty without one.
+
+    The end moves back line by line, but at once to the line of the parser's error where that is earlier: every part that holds it has the same error.
+    """
+    rows = text.splitlines()
+    if not any(x.lstrip().startswith(("def ", "async def ")) for x in rows):
+        return ""
+    for begin in (i for i, x in enumerate(rows) if BEGINS.match(x.lstrip())):
+        end = len(rows)
+        while end > begin:
+            part = "\n".join(rows[begin:end]).strip()
             try:
-                body = ast.parse(part := "\n".join(rows[i:j])).body
-            except (SyntaxError, ValueError):
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    tree = ast.parse(part)
+            except SyntaxError as e:
+                at = begin + (e.lineno or 0) - 1
+                # The lines up to the error's are whole where the tokenizer got through them.
+                end = min(end - 1, at + 1) if begin < at < end - 1 else end - 1
+                continue
+            except (ValueError, RecursionError, MemoryError):
+                end -= 1
                 continue
-            if any(isinstance(x, ast.FunctionDef | ast.ClassDef) for x in body):
-                return "ok", part.strip()
-            break
-    return "malformed_response", ""
+            if _defines(tree):
+                return part
+            # It parses without a function: of shorter parts one that defines one must hold its lines.
+            end -= 1
+            if not any(re.match(r"(async\s+)?def ", x if i else x.lstrip()) for i, x in enumerate(rows[begin:end])):
+                break
+    return ""
 
 
-@F.pandas_udf(T.StructType([T.StructField("status", T.StringType()), T.StructField("code", T.StringType())]))
+def extract(response: str | None) -> tuple[str, str, str]:
+    """(status, code, note): a refusal has no code; then the largest fenced block, else the first part that parses."""
+    text = (response or "").strip()
+    if not text:
+        return "no_code", "", NOTES["no_code"]
+    lowered = text.lower()
+    if any(r in lowered for r in REFUSALS):
+        return "refusal", "", NOTES["refusal"]
+    fences = re.findall(r"```(?:python)?\s*(.*?)```", text, re.I | re.S)
+    if fences and (best := max(fences, key=len).strip()):
+        return "ok", best, NOTES["fence"]
+    if part := suffix(text):
+        return "ok", part, NOTES["suffix"]
+    return "malformed_response", "", NOTES["malformed_response"]
+
+
+@F.pandas_udf(T.StructType([T.StructField("status", T.StringType()), T.StructField("code", T.StringType()), T.StructField("note", T.StringType())]))
 def extract_code(response: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([extract(r) for r in response], columns=["status", "code"])
+    return pd.DataFrame([extract(r) for r in response], columns=["status", "code", "note"])
 
 
 @F.pandas_udf(T.StructType([T.StructField("parses", T.BooleanType()), T.StructField("functions", T.IntegerType()), T.StructField("classes", T.IntegerType()), T.StructField("first_function", T.StringType()), T.StructField("arity", T.IntegerType())]))
@@ -78,11 +142,11 @@ def code_facts(code: pd.Series) -> pd.DataFrame:
     """Facts of the syntax tree; nulls and zeros where the text doesn't parse."""
     out = []
     for text in code:
-        try:
-            nodes = list(ast.walk(ast.parse(text or "")))
-        except (SyntaxError, ValueError):
+        tree = parsed(text or "")
+        if tree is None:
             out.append((False, 0, 0, None, None))
             continue
+        nodes = list(ast.walk(tree))
         defs = sorted((x for x in nodes if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)), key=lambda x: x.lineno)
         out.append((True, len(defs), sum(isinstance(x, ast.ClassDef) for x in nodes), defs[0].name if defs else None, len(defs[0].args.args) if defs else None))
     return pd.DataFrame(out, columns=["parses", "functions", "classes", "first_function", "arity"]).astype({"arity": "Int32"})
@@ -95,13 +159,8 @@ SIGNATURE = T.StructType([T.StructField("functions", _INT), T.StructField("class
 def _tree(code: str) -> ast.Module | None:
     """The syntax tree of a module, or of its first ``def`` line alone with an empty body."""
     line = re.search(r"^[ \t]*(def[ \t]+\w+[ \t]*\(.*\)[^:\n]*):?", code, re.M)
-    for text in (code, f"{line[1].rstrip()}: pass" if line else None):
-        try:
-            if text is not None:
-                return ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            continue
-    return None
+    tree = parsed(code)
+    return tree if tree is not None or not line else parsed(f"{line[1].rstrip()}: pass")
 
 
 def _not_json(node: ast.AST) -> bool:

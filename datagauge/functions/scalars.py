@@ -80,10 +80,11 @@ def counts_text(counts: Column) -> Column:
     return F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, "none").otherwise(F.array_join(pairs, "; "))
 
 
-def test_cell(status: Column, detail: Column) -> Column:
-    """What a result shows in a table of tests."""
-    d = F.when(_text(detail) == "", "").otherwise(F.concat(F.lit(":"), detail))
-    return F.when(status == "pass", "PASS").when(status == "timeout", "TIMEOUT").when(status == "fail", F.concat(F.lit("FAIL"), d)).otherwise(F.concat(F.lit("ERROR"), d))
+def test_cell(status: Column, failure: Column, exception: Column) -> Column:
+    """What a result shows in a table of tests; statuses outside the ladder in capitals."""
+    named = lambda other, *cs: F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cs), F.lit(other))
+    s = F.lower(_text(status))
+    return F.when(s == "pass", "PASS").when(s == "fail", F.concat(F.lit("FAIL:"), named("incorrect_output", failure))).when(s == "timeout", "TIMEOUT").when(s == "error", F.concat(F.lit("ERROR:"), named("error", failure, exception))).otherwise(F.upper(s))
 
 
 def execution_failure(exception: Column) -> Column:

@@ -70,6 +70,11 @@ def merge_sections(sections: list[DataFrame], key: str) -> DataFrame:
     return reduce(two, sections)
 
 
+#: What a reviewer fills in, a finding's parts in each of three slots.
+ANSWERS = ("BenchmarkTrustCheck", "FailureAttribution", "PipelineCalibrationCheck", "FinalAction")
+FINDINGS = tuple(n.format(i) for i in (1, 2, 3) for n in ("Finding{}DefectType", "Finding{}Severity", "Finding{}Confidence", "Notes-Finding{}"))
+
+
 def reviews(rows: DataFrame) -> DataFrame:
     """Reviews with today's column names; an older column fills one that is missing."""
     for name, older in OLDER.items():
@@ -78,6 +83,61 @@ def reviews(rows: DataFrame) -> DataFrame:
     return rows.drop(*OLDER.values())
 
 
+def context_text(efficacy: Column, signal: Column, category: Column, reason: Column) -> Column:
+    """What earlier stages found, blanks as n/a."""
+    shown = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "n/a").otherwise(c)
+    parts = (("Stage 2: ", efficacy), ("benchmark_quality=", signal), ("failure_category=", category), ("Stage 3 reason=", reason))
+    return F.concat_ws("; ", *(F.concat(F.lit(k), shown(v)) for k, v in parts))
+
+
+def review_details(selected: DataFrame, answered: DataFrame, key: str = "Index") -> DataFrame:
+    """The selection with every answer and finding (blank without a review) and whether the review is completed or pending."""
+    names = [*ANSWERS, "SummaryConfidence", *FINDINGS]
+    given = answered.select(key, F.lit(True).alias("__done"), *((F.col(f"`{n}`") if n in answered.columns else F.lit("")).cast("string").alias(n) for n in names))
+    rows = selected.join(given, key, "left")
+    status = F.when(F.col("__done"), "completed").otherwise("pending")
+    return rows.select(*selected.columns, *(F.coalesce(f"`{n}`", F.lit("")).alias(n) for n in names), status.alias("ReviewStatus"))
+
+
+def review_packet(selected: DataFrame, samples: DataFrame, key: str = "Index") -> DataFrame:
+    """What a reviewer gets: the selection with the samples' whole texts (Prompt, StarterCode, IdealResponse) and a blank column for every answer, note and finding."""
+    blanks = [n for a in ANSWERS for n in (a, f"Notes-{a}")] + ["SummaryConfidence", *FINDINGS]
+    texts = ("Prompt", "StarterCode", "IdealResponse")
+    return selected.join(samples.select(key, *texts), key).select(*selected.columns, *texts, *(F.lit("").alias(n) for n in blanks))
+
+
+def admitted(candidates: DataFrame, samples: DataFrame, stage3: DataFrame, stage1: DataFrame, stage2: DataFrame, key: str = "Index") -> DataFrame:
+    """Candidates that are samples and have a row of the third stage, with what the first two stages know of them, if anything."""
+    rows = candidates.join(samples.select(key), key, "left_semi").join(stage3, key)
+    return rows.join(stage1, key, "left").join(stage2, key, "left")
+
+
+def failed_attempts(tests: DataFrame) -> DataFrame:
+    """Tests of models that are not passed, by sample, target and attempt in order. ``tests``: Index, target, attempt, source, status; runs of the ideal response don't count."""
+    bad = ~F.lower(F.trim(F.coalesce("status", F.lit("")))).isin("ok", "pass", "passed", "success")
+    return tests.where(F.col("source").startswith("model_candidate") & bad).orderBy("Index", "target", "attempt", "visibility", "case_index")
+
+
+def dominant_failures(tests: DataFrame) -> DataFrame:
+    """(Index, failure_type, n): the most frequent kind among the models' failed tests, the first by name of equals; blanks and the ideal response's runs don't count."""
+    rows = tests.where(F.col("source").startswith("model_candidate") & (F.trim(F.coalesce("failure_type", F.lit(""))) != ""))
+    n = rows.groupBy("Index", "failure_type").agg(F.count("*").alias("n"))
+    return n.groupBy("Index").agg(F.min_by(F.struct("failure_type", "n"), F.struct(-F.col("n"), "failure_type")).alias("b")).select("Index", "b.*")
+
+
+def top_titles(samples: DataFrame, title: str, most: int = 10) -> DataFrame:
+    """The most frequent titles, those seen first among equals (by ``Index``)."""
+    return samples.groupBy(title).agg(F.count("*").alias("n"), F.min("Index").alias("seen")).orderBy(F.desc("n"), "seen").limit(most).select(title, "n")
+
+
+#: The order of each table of a run.
+SORTS = {"samples": ["Index"], "models": ["Index", "target"], "attempts": ["Index", "target", "attempt"], "tests": ["Index", "source", "target", "attempt", "visibility", "case_index"]}
+
+
+def canonical(rows: DataFrame, name: str) -> DataFrame:
+    return rows.orderBy(*(c for c in SORTS[name] if c in rows.columns))
+
+
 def evidence(tests: DataFrame, key: str) -> DataFrame:
     """Per ``key``: tests, failures, the mix of visibilities and failures as text, the first ``SHOWN`` failures.
 
@@ -86,18 +146,20 @@ def evidence(tests: DataFrame, key: str) -> DataFrame:
     blank = lambda c, other: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", other).otherwise(F.trim(F.col(c)))
     ok = F.coalesce("passed", F.lit(False))
     rows = tests.select(key, blank("visibility", "unknown").alias("visibility"), "case_index", ok.alias("ok"), F.when(~ok, blank("failure_type", "mismatch")).alias("failure"))
-    kinds = rows.groupBy(key, "visibility", "failure").agg(F.count("*").alias("n"))
-    totals = kinds.groupBy(key).agg(F.sum("n").alias("n_tests"), F.coalesce(F.sum(F.when(F.col("failure").isNotNull(), F.col("n"))), F.lit(0)).alias("n_failed"))
+    # A key has a row for each of its few kinds; their texts are made within it.
+    kinds = rows.groupBy(key, "visibility", "failure").agg(F.count("*").alias("n")).groupBy(key).agg(F.collect_list(F.struct("visibility", "failure", "n")).alias("__k"))
+    total = lambda items: F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    bad = F.filter("__k", lambda x: x["failure"].isNotNull())
 
-    def mix(c: str) -> DataFrame:
-        each = kinds.where(F.col(c).isNotNull()).groupBy(key, c).agg(F.sum("n").alias("n")).groupBy(key)
-        return each.agg(scalars.counts_text(F.map_from_entries(F.collect_list(F.struct(c, "n")))).alias(c))
+    def mix(items: Column, c: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(items, lambda x: x[c])))
+        return scalars.counts_text(F.map_from_entries(F.transform(names, lambda v: F.struct(v, total(F.filter(items, lambda x: x[c] == v))))))
 
+    base = kinds.select(key, total(F.col("__k")).alias("n_tests"), total(bad).alias("n_failed"), mix(F.col("__k"), "visibility").alias("visibility"), mix(bad, "failure").alias("failures"))
     w = Window.partitionBy(key).orderBy("visibility", "case_index", "failure")
     label = F.concat(F.col("visibility"), F.lit(" test"), F.coalesce(F.concat(F.lit(" "), F.col("case_index").cast("string")), F.lit("")), F.lit(": "), F.col("failure"))
     shown = rows.where("NOT ok").withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= SHOWN).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__place", label.alias("label")))), lambda x: x["label"]), "; ").alias("shown"))
-    out = totals.join(mix("visibility"), key, "left").join(mix("failure"), key, "left").join(shown, key, "left")
-    return out.select(key, "n_tests", "n_failed", "visibility", F.coalesce("failure", F.lit("none")).alias("failures"), F.coalesce("shown", F.lit("")).alias("shown"))
+    return base.join(shown, key, "left").select(key, "n_tests", "n_failed", "visibility", "failures", F.coalesce("shown", F.lit("")).alias("shown"))
 
 
 def completion(selected: DataFrame, answers: DataFrame, columns: list[str]) -> DataFrame:

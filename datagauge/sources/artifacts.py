@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SHEET_ROWS = 1 << 20
 _NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 # Fills by the beginning of a cell.
-FILLS = {"PASS": "FFC6EFCE", "FAIL": "FFFFC7CE", "PARTIAL": "FFFFEB9C"}
+FILLS = {"PASS": "FFC6EFCE", "FAIL": "FFFFC7CE", "PARTIAL": "FFFFEB9C", "Usable": "FFC6E0B4", "Needs Fixing": "FFFFF2CC", "Unusable": "FFF4CCCC"}
 
 
 def fingerprint(*parts: Column, version: str = "1") -> Column:
@@ -28,6 +28,18 @@ def split_cached(requests: DataFrame, cache: DataFrame, on: tuple[str, ...] = ("
     return requests.join(cache, list(on)), requests.join(cache, list(on), "left_anti")
 
 
+def current(cache: DataFrame, version: str) -> DataFrame:
+    """The entries of a cache (version, others) that this version wrote; an older cache counts as empty."""
+    return cache.where(F.col("version") == version)
+
+
+def attach_cached(rows: DataFrame, cache: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (fingerprint, others) with their cached values, and the cache with what ``fetch`` made of the missing ones, each asked once."""
+    missing = rows.join(cache, "fingerprint", "left_anti").dropDuplicates(["fingerprint"])
+    known = cache.unionByName(fetch(missing).select(*cache.columns))
+    return rows.join(known, "fingerprint", "left"), known
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``new``, and those of ``old`` whose key it does not hold (null keys are equal)."""
     same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
@@ -62,6 +74,32 @@ def run_batches(spark: SparkSession, root: str, rows: DataFrame, key: str, size:
     return spark.read.parquet(*paths) if paths else step(rows)
 
 
+def upsert_locked(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Upserts rows into a table that one writer at a time may change: a lock file beside it is made first, which fails where there is one."""
+    spark = df.sparkSession
+    fs, lock = _fs(spark, f"{path}.lock")
+    fs.create(lock, False).close()  # not overwritten: a file system refuses the second writer
+    try:
+        there = fs.exists(_fs(spark, path)[1])
+        replace_versioned(upsert(spark.read.parquet(path), df, keys) if there else df, path)
+    finally:
+        fs.delete(lock, False)
+
+
+def run_checkpointed(todo: DataFrame, done: str, step: Callable[[DataFrame], DataFrame], key: str = "request_id", size: int = 100, most: int | None = None) -> int:
+    """Appends ``step`` of batches of ``size`` requests to the checkpoint ``done`` (JSON lines), leaving out ids that it holds, for ``most`` batches at most; returns how many ran."""
+    spark, n = todo.sparkSession, 0
+    while most is None or n < most:
+        fs, at = _fs(spark, done)
+        left = todo.join(spark.read.json(done).select(key), key, "left_anti") if fs.exists(at) else todo
+        batch = left.orderBy(key).limit(size)
+        if batch.isEmpty():
+            break
+        append_rows(step(batch), done)
+        n += 1
+    return n
+
+
 def replace_versioned(df: DataFrame, path: str, keep: int = 1) -> str | None:
     """Writes a table beside the old one, moves the old one to a stamped name and keeps the newest ``keep`` of those; returns that name."""
     spark, stamp = df.sparkSession, f"{time.time_ns():020d}"
@@ -85,24 +123,25 @@ def _letters(i: int) -> str:
             return out
 
 
-def _sheet(names: list[str], rows: Iterator, styles: dict[str, int]) -> Iterator[str]:
+def _sheet(names: list[str], rows: Iterator, styles: dict[str, int], percents: frozenset[int]) -> Iterator[str]:
     yield f'<worksheet xmlns="{_NS}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><sheetData>'
     yield _row(1, names, styles)
     for n, row in enumerate(rows, 2):
         if n > SHEET_ROWS:
             raise ValueError(f"a sheet holds {SHEET_ROWS} rows at most")
-        yield _row(n, row, styles)
+        yield _row(n, row, styles, percents)
     yield "</sheetData></worksheet>"
 
 
-def _row(n: int, row, styles: dict[str, int]) -> str:
+def _row(n: int, row, styles: dict[str, int], percents: frozenset[int] = frozenset()) -> str:
     cells = []
     for i, v in enumerate(row):
         at = f"{_letters(i)}{n}"
         if v is None:
             continue
         if isinstance(v, int | float) and not isinstance(v, bool) and v == v and abs(v) != float("inf"):
-            cells.append(f'<c r="{at}"><v>{v!r}</v></c>')
+            percent = f' s="{1 + len(FILLS)}"' if i in percents else ""
+            cells.append(f'<c r="{at}"{percent}><v>{v!r}</v></c>')
             continue
         text = "".join(c for c in str(v) if c in "\t\n\r" or c >= " ")
         style = next((s for p, s in styles.items() if text.startswith(p)), 0)
@@ -110,11 +149,11 @@ def _row(n: int, row, styles: dict[str, int]) -> str:
     return f'<row r="{n}">{"".join(cells)}</row>'
 
 
-def write_workbook(path: str, sheets: dict[str, DataFrame]) -> None:
-    """A workbook on the driver with a frozen header and verdict colours; rows stream through, and a table beyond a sheet's bound raises."""
+def write_workbook(path: str, sheets: dict[str, DataFrame], percent: tuple[str, ...] = ()) -> None:
+    """A workbook on the driver with a frozen header, verdict colours and percentages in the columns ``percent``; rows stream through, and a table beyond a sheet's bound raises."""
     styles = {p: i for i, p in enumerate(FILLS, 1)}
     fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in FILLS.values())
-    formats = "".join(f'<xf fillId="{i}" applyFill="1"/>' for i in range(2, 2 + len(FILLS)))
+    formats = "".join(f'<xf fillId="{i}" applyFill="1"/>' for i in range(2, 2 + len(FILLS))) + '<xf numFmtId="9" applyNumberFormat="1"/>'
     rel, kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "application/vnd.openxmlformats-officedocument.spreadsheetml"
     pack = "http://schemas.openxmlformats.org/package/2006"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
@@ -123,10 +162,10 @@ def write_workbook(path: str, sheets: dict[str, DataFrame]) -> None:
         z.writestr("_rels/.rels", f'<Relationships xmlns="{pack}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{pack}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + f'<Relationship Id="s" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{_NS}"><fonts count="1"><font/></fonts><fills count="{2 + len(FILLS)}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellXfs count="{1 + len(FILLS)}"><xf/>{formats}</cellXfs></styleSheet>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{_NS}"><fonts count="1"><font/></fonts><fills count="{2 + len(FILLS)}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellXfs count="{2 + len(FILLS)}"><xf/>{formats}</cellXfs></styleSheet>')
         for i, df in enumerate(sheets.values(), 1):
             with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
-                for text in _sheet(df.columns, df.toLocalIterator(), styles):
+                for text in _sheet(df.columns, df.toLocalIterator(), styles, frozenset(i for i, c in enumerate(df.columns) if c in percent)):
                     f.write(text.encode())
 
 

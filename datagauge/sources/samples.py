@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,11 @@ ROW = "question_title string, question_content string, difficulty string, starte
 
 
 def parse_indices(raw: str | None) -> list[int] | None:
-    """Indices of a list parted by commas or white space; None for an empty text; anything else raises ValueError."""
-    parts = re.split(r"[,\s]+", (raw or "").strip())
+    """Indices of a list parted by commas or white space, or of the file that it names; None for an empty text; anything else raises ValueError."""
+    text = (raw or "").strip()
+    if text and not re.fullmatch(r"[-\d,\s]+", text) and Path(text).is_file():
+        text = Path(text).read_text(encoding="utf-8-sig")
+    parts = re.split(r"[,\s]+", text)
     return [int(p) for p in parts if p] or None
 
 
@@ -37,17 +41,25 @@ def decode(value: Column, schema: str, strict: bool = True) -> Column:
     return F.from_json(value, schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
 
 
-def read_samples(spark: SparkSession, path: str, indices: list[int] | None = None, limit: int | None = None, strict: bool = True) -> DataFrame:
-    """Samples as ``operators.checks`` takes them, with Index and title; all, those at ``indices``, or the first ``limit``."""
+def read_samples(spark: SparkSession, path: str, indices: list[int] | None = None, limit: int | None = None, strict: bool = True, offset: int = 0) -> DataFrame:
+    """Samples as ``operators.checks`` takes them, with Index, position and title; all, or ``limit`` from ``offset`` on.
+
+    ``indices`` go before both: a row for each, repeated where an index is, ``position`` its place in the list; one that is out of range raises IndexError.
+    """
     lines = numbered_lines(spark, path)
     if indices is not None:
-        lines = lines.where(F.col("Index").isin(sorted(set(indices))))
-    elif limit is not None:
-        lines = lines.where(F.col("Index") < limit)
-    rows = lines.select("Index", decode(F.col("value"), ROW, strict).alias("r")).select("Index", "r.*")
+        wanted = spark.createDataFrame([(i, n) for n, i in enumerate(indices)], "Index long, position long")
+        lacking = wanted.join(lines, "Index", "left_anti").select("Index").distinct().collect()
+        if lacking:
+            raise IndexError(f"no samples {sorted(r[0] for r in lacking)}")
+        lines = lines.join(F.broadcast(wanted), "Index")  # the list is the caller's own
+    else:
+        lines = lines.where(F.col("Index") >= offset).withColumn("position", F.col("Index") - offset)
+        lines = lines if limit is None else lines.where(F.col("position") < limit)
+    rows = lines.select("Index", "position", decode(F.col("value"), ROW, strict).alias("r")).select("Index", "position", "r.*")
     tests = [F.coalesce(decode(F.col(f"{x}_test_cases"), TESTS, strict), F.array().cast(TESTS)).alias(x) for x in ("public", "private")]
     name = decode(F.col("metadata"), "func_name string", strict)["func_name"]
-    return rows.select("Index", F.col("Index").alias("sample_id"), F.col("question_title").alias("title"), F.col("question_content").alias("prompt"), F.col("starter_code").alias("starter"), F.col("ideal_response").alias("ideal"), name.alias("function_name"), "difficulty", *tests)
+    return rows.select("Index", "position", F.col("Index").alias("sample_id"), F.col("question_title").alias("title"), F.col("question_content").alias("prompt"), F.col("starter_code").alias("starter"), F.col("ideal_response").alias("ideal"), name.alias("function_name"), "difficulty", *tests)
 
 
 def test_rows(samples: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def test_pair_signals(spark):
     assert set(got) == {(1, 2), (5, 6)}
     both = got[1, 2]
     assert (both["lexical"], both["structural"], both["combined"], both["label"]) == (1.0, 1.0, 1.0, "semantic_duplicate")
-    assert abs(both["e"] - 0.99995) < 1e-5
+    assert abs(both["embedding"] - 0.99995) < 1e-5
     assert got[5, 6]["label"] == "template_overlap"
 
 
@@ -65,7 +65,7 @@ def test_scalars(spark):
     assert [one(scalars.ratio_verdict, "double", v) for v in (1.0, 0.5, 0.49)] == ["PASS", "PARTIAL", "FAIL"]
     assert one(scalars.compact_notes, "array<string>", ["a\nb", " ", "a b", None, "c", "d"]) == "a b; c"
     assert [one(scalars.counts_text, "map<string,int>", v) for v in ({"b": 2, "a": 1}, {}, None)] == ["a=1; b=2", "none", "none"]
-    assert [one(lambda c, s=s: scalars.test_cell(F.lit(s), c), value=v) for s, v in (("pass", None), ("fail", "x"), ("timeout", "y"), ("crash", None))] == ["PASS", "FAIL:x", "TIMEOUT", "ERROR"]
+    assert [one(lambda c, s=s: scalars.test_cell(F.lit(s), c, F.lit("E")), value=v) for s, v in (("pass", None), ("fail", "x"), ("fail", " "), ("timeout", "y"), ("error", None), ("crash", None))] == ["PASS", "FAIL:x", "FAIL:incorrect_output", "TIMEOUT", "ERROR:E", "CRASH"]
     assert [one(scalars.execution_failure, value=v) for v in ("SyntaxError", None)] == ["syntax_error", "runtime_error"]
     assert [one(lambda c, f=f: scalars.incomplete_reason(c, F.lit(f), F.lit("done")), value=v) for v, f in (("max", "stop"), (None, "length"), (None, "stop"))] == ["max", "length", ""]
     assert [one(scalars.repaired, value=v) for v in ("cafÃ©\r\nx\ry", "Ã", "日Ã©", "café", None)] == ["café\nx\ny", "Ã", "日Ã©", "café", ""]

@@ -24,7 +24,7 @@ def folder(tmp_path_factory):
 def test_samples_are_numbered_over_files(spark, folder):
     rows = samples.read_samples(spark, folder).orderBy("Index").collect()
     assert [(r["Index"], r["title"], len(r["public"]), r["function_name"]) for r in rows] == [(i, f"t{i}", i, "f") for i in range(4)]
-    assert [r["Index"] for r in samples.read_samples(spark, folder, indices=[3, 1, 1]).orderBy("Index").collect()] == [1, 3]
+    assert [r["Index"] for r in samples.read_samples(spark, folder, indices=[3, 1, 1]).orderBy("position").collect()] == [3, 1, 1]
     assert samples.read_samples(spark, folder, limit=2).count() == 2
     tests = samples.test_rows(samples.read_samples(spark, folder))
     assert sorted((r["Index"], r["case_index"]) for r in tests.collect()) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3)]
