@@ -6,7 +6,7 @@ that names an identity group, every term is swapped in turn for each other one o
 the squared change of the logit, averaged over a document's swaps, so that the mere naming of a group does not move the score.
 
 Null and empty texts have no features and score by the bias alone; without labels, or with one class only, every score is the
-smoothed share of toxic labels. A repeated label row counts once (its largest value). Repeated documents each get their row; extra
+smoothed share of toxic labels (a quarter without labels, so that nothing is predicted toxic). A repeated label row counts once (its largest value). Repeated documents each get their row; extra
 columns are ignored.
 """
 
@@ -182,10 +182,10 @@ class ToxicityModel:
         weights, total = np.zeros(len(TIMES) * BUCKETS), sum(n.values())
         toxic = sum(v for k, v in n.items() if k > 0)
         if not 0 < toxic < total:
-            share = (toxic + 0.5) / (total + 1.0)
+            share = (toxic + 0.5) / (total + 2.0)
             return cls(weights, float(np.log(share / (1 - share))))
         rows = rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text")
-        counts = vectors.summed(rows.select(F.col("toxic").cast("string").alias("slot"), "text"), _count, len(weights))
+        counts = vectors.summed(rows.select(F.col("toxic").cast("string").alias("slot"), "text"), _count, len(weights), few=True)
         none = np.zeros(len(weights), np.int64)
         chosen = choose(counts.get("0", none), counts.get("1", none), total - toxic, toxic)
         del counts

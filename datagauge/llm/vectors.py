@@ -22,11 +22,11 @@ def emit(vectors: dict[str | None, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["slot", "piece", "counts"])
 
 
-def summed(df: DataFrame, count: Callable, length: int) -> dict[str | None, np.ndarray]:
+def summed(df: DataFrame, count: Callable, length: int, few: bool = False) -> dict[str | None, np.ndarray]:
     """Runs ``count`` (mapInArrow, emitting by ``emit``) over ``df``; the sums by slot.
 
     Pieces are added up as they stream, so that a task holds one vector of each slot at most. What comes to the
-    driver is slots x length counters, whatever the input.
+    driver is slots x length counters, whatever the input. ``few``: ``df`` has few partitions whatever the input, so one step of adding does.
     """
 
     def add(batches):
@@ -43,9 +43,11 @@ def summed(df: DataFrame, count: Callable, length: int) -> dict[str | None, np.n
 
     pieces = -(-length // PIECE)
     parts = df.mapInArrow(count, SCHEMA)
-    # Two steps: spread over many tasks first, so that no task reads what every task of a large input emits.
-    spread = parts.withColumn("salt", F.spark_partition_id() % 16).repartition(16 * pieces, "slot", "piece", "salt").select("slot", "piece", "counts")
-    rows = spread.mapInArrow(add, SCHEMA).repartition(pieces, "slot", "piece").mapInArrow(add, SCHEMA).collect()
+    if not few:
+        # Two steps: spread over many tasks first, so that no task reads what every task of a large input emits.
+        spread = parts.withColumn("salt", F.spark_partition_id() % 16).repartition(16 * pieces, "slot", "piece", "salt").select("slot", "piece", "counts")
+        parts = spread.mapInArrow(add, SCHEMA)
+    rows = parts.repartition(min(pieces, 16), "slot", "piece").mapInArrow(add, SCHEMA).collect()
     out: dict[str | None, np.ndarray] = {}
     for slot, piece, counts in rows:
         x = np.frombuffer(counts, np.int64)
