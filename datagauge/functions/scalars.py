@@ -113,3 +113,25 @@ def json_object(c: Column) -> Column:
         return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v))
 
     return F.coalesce(parsed(c), parsed(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
+
+
+def to_float(c: Column, other: float | None = 0.0) -> Column:
+    """A number of a text; what is none, blank or null gives ``other`` (0, null or minus infinity, as the caller orders such rows)."""
+    value = F.trim(c.cast("string")).try_cast("double")
+    return value if other is None else F.coalesce(value, F.lit(other))
+
+
+def to_int(c: Column) -> Column:
+    """A whole number of a text, decimals cut off; 0 for what is none or does not fit."""
+    value = F.trim(c.cast("string")).try_cast("double")
+    return F.coalesce(F.when(~F.isnan(value), value).try_cast("long"), F.lit(0))
+
+
+def to_bool(c: Column) -> Column:
+    """Whether a text is ``true``, whatever its case and the spaces around it."""
+    return F.lower(F.trim(_text(c.cast("string")))) == "true"
+
+
+def printable(c: Column) -> Column:
+    """Without the control characters that workbooks and XML don't allow; tabs and line ends stay."""
+    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")

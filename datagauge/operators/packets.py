@@ -135,6 +135,41 @@ def q_code_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.when(F.col("x.status").isin("no_code", "refusal"), F.col("x.note")).otherwise("other").alias("note"))
 
 
+#: What a dataset's profile summarises and counts.
+NUMBERS = ("n_words", "n_lines", "score", "rate", "public", "private", "oracle", "redundancy", "n_attempts", "spread", "deviation", "gap")
+KINDS = ("lang", "difficulty", "efficacy", "failure_category", "quality_signal", "variance", "disagreement", "sensitivity", "contradiction", "priority", "utility", "regime")
+
+
+def q_dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve numeric summaries of the enriched samples: count, mean, least, quartiles, most."""
+    rows = audit.signals(spark, sf_dir).unpivot([], [F.col(c).cast("double").alias(c) for c in NUMBERS], "metric", "v")
+    quartiles = F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    found = rows.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), quartiles.alias("q"))
+    return found.select("metric", "n", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("mean", "least", "most")), *(F.round(F.col("q")[i], 4).alias(k) for i, k in enumerate(("q1", "median", "q3"))))
+
+
+def q_dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve frequency tables of the enriched samples in one aggregate, and each as text."""
+    rows = audit.signals(spark, sf_dir).unpivot([], list(KINDS), "field", "value")
+    n = rows.groupBy("field", "value").agg(F.count("*").alias("n"))
+    return n.groupBy("field").agg(F.count("*").alias("n_values"), F.sum("n").alias("n"), F.md5(scalars.counts_text(F.map_from_entries(F.collect_list(F.struct(F.coalesce("value", F.lit("None")).alias("value"), "n"))))).alias("counts"))
+
+
+def q_test_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of the event payloads as tests: by first sign, how many are no object, and how many hold a literal of Python."""
+    p = F.trim(F.coalesce("props", F.lit("")))
+    rows = table(spark, sf_dir, "events").groupBy(F.substring(p, 1, 1).alias("first_char"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(~p.startswith("{")).alias("n_no_object"), F.count_if(p.rlike("True|False|None")).alias("n_python"))
+
+
+def q_safe_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the part table as numbers and truth values, and without control signs."""
+    size, name = F.col("p_size").cast("string"), F.split_part("p_name", F.lit(" "), F.lit(1))
+    odd = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(" "), size, F.lit(".75 "))).when(F.col("p_partkey") % 7 == 0, name).when(F.col("p_partkey") % 11 == 0, "").otherwise(size)
+    truth = F.when(F.col("p_partkey") % 3 == 0, " TRUE ").otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.to_float(odd).alias("number"), scalars.to_float(odd, None).alias("number_or_null"), scalars.to_int(odd).alias("whole"), scalars.to_bool(truth).alias("truth"), scalars.printable(F.concat(F.lit("a\u0001\t"), F.col("p_name"))).alias("printable"))
+
+
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 _B = "coalesce(text, '')"
 _LINES = "t AS (SELECT l_orderkey \"Index\", l_linenumber case_index, " + ", ".join(f"{v} {k}" for k, v in _TESTS.items()) + " FROM lineitem)"
@@ -152,6 +187,10 @@ def _toks(t: str) -> str:
 
 
 ORACLE = {
+    "dataset_profile": f"WITH {audit._S}, w AS (UNPIVOT (SELECT " + ", ".join(f"{c}::DOUBLE {c}" for c in NUMBERS) + " FROM s) ON COLUMNS(*) INTO NAME metric VALUE v) SELECT metric, count(*) n, round(avg(v) + 1e-9, 4) mean, round(min(v) + 1e-9, 4) least, round(max(v) + 1e-9, 4) most, round(quantile_cont(v, 0.25), 4) q1, round(quantile_cont(v, 0.5), 4) median, round(quantile_cont(v, 0.75), 4) q3 FROM w GROUP BY 1",
+    "dataset_counts": f"WITH {audit._S}, w AS (" + " UNION ALL ".join(f"SELECT '{c}' field, coalesce({c}, 'None') v, count(*) n FROM s GROUP BY 2" for c in KINDS) + ") SELECT field, count(*) n_values, sum(n)::BIGINT n, md5(string_agg(v || '=' || n, '; ' ORDER BY v)) counts FROM w GROUP BY 1",
+    "test_shapes": "SELECT left(p, 1) first_char, count(*) n, count(*) FILTER (NOT starts_with(p, '{')) n_no_object, count(*) FILTER (contains(p, 'True') OR contains(p, 'False') OR contains(p, 'None')) n_python FROM (SELECT trim(coalesce(props, ''), ' ') p FROM events) GROUP BY 1",
+    "safe_casts": "SELECT p_partkey, coalesce(v, 0) \"number\", v number_or_null, coalesce(trunc(v)::BIGINT, 0) whole, p_partkey % 3 = 0 truth, 'a' || chr(9) || p_name printable FROM (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN p_size + 0.75::DOUBLE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size::DOUBLE END v FROM part)",
     "test_columns": f"WITH {_LINES} SELECT \"Index\", {_LABEL} \"label\", CASE visibility WHEN 'public' THEN 0 ELSE 1 END kind, case_index + 1 \"number\", {_CELL} cell, 'sample' || \"Index\" || '_attempt1_' || visibility || '_' || case_index request_id FROM t",
     "test_note_requests": f"""WITH {_LINES}, u AS (SELECT *, {_LABEL} lb, {_CELL} ce FROM (SELECT DISTINCT * FROM t)), v AS (SELECT *, visibility = 'private' k, '- ' || lb || ': result=' || ce || CASE WHEN failure_type <> '' THEN '; failure_type=' || failure_type ELSE '' END || CASE WHEN exception <> '' THEN '; exception_type=' || exception ELSE '' END line FROM u WHERE ce <> 'PASS')
  SELECT "Index", 'stage2:' || "Index" || ':m' request_id, count(*) n, first(lb ORDER BY k, case_index, lb, line) first_column, md5(string_agg(line, chr(10) ORDER BY k, case_index, lb, line)) evidence FROM v GROUP BY 1""",

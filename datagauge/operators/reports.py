@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,21 +22,41 @@ TOTALS = {
     "strong_static_n": "sum(CASE WHEN contradiction = 'high_static_low_dynamic' THEN 1 ELSE 0 END)",
     "fragile_n": "sum(CASE WHEN sensitivity = 'high' THEN 1 ELSE 0 END)",
     "exemplar_n": "sum(CASE WHEN exemplar THEN 1 ELSE 0 END)",
+    "volatile_n": "sum(CASE WHEN variance = 'volatile' THEN 1 ELSE 0 END)",
+    "differing_n": "sum(CASE WHEN disagreement NOT IN ('aligned', 'single_model') THEN 1 ELSE 0 END)",
+    "outlier_n": "sum(CASE WHEN n_outliers > 0 THEN 1 ELSE 0 END)",
 }
 SCORECARD = (
     ("size", "n", "n >= 100"),
     ("efficacy_spread", "labels_n", "labels_n >= 3"),
     ("redundancy", "redundant_n", "redundant_n = 0"),
+    ("variance", "volatile_n", "volatile_n = 0"),
+    ("disagreement", "differing_n", "differing_n = 0"),
     ("thresholds", "fragile_n", "fragile_n = 0"),
+    ("outliers", "outlier_n", "outlier_n = 0"),
     ("contradictions", "contradictory_n", "contradictory_n = 0"),
     ("suspicion", "suspicious_n", "suspicious_n < 0.08 * n"),
     ("exemplars", "exemplar_n", "exemplar_n > 0"),
 )
-#: Name, count shown, when it is stated; the first four of either kind are.
+#: Name, count shown, when it is stated; the first four of either kind are. Then the statement, in which {0} is the count and {1} its share in per cent.
 FINDINGS = {
-    "risk": (("suspicious", "suspicious_n", "suspicious_n >= 0.08 * n"), ("redundant", "redundant_n", "redundant_n > 0"), ("strong_static_weak_dynamic", "strong_static_n", "strong_static_n > 0"), ("fragile", "fragile_n", "fragile_n > 0")),
-    "advice": (("deduplicate", "redundant_n", "redundant_n > 0"), ("caveat_fragile", "fragile_n", "fragile_n > 0"), ("refresh_easiest", "low_n", "low_n >= 0.2 * n"), ("review_suspicious_first", "suspicious_n", "suspicious_n > 0")),
+    "risk": (
+        ("suspicious", "suspicious_n", "suspicious_n >= 0.08 * n", "{1}% of samples are already flagged as suspicious or broken."),
+        ("redundant", "redundant_n", "redundant_n > 0", "{0} samples appear materially redundant or template-recycled."),
+        ("strong_static_weak_dynamic", "strong_static_n", "strong_static_n > 0", "{0} samples look strong statically but fail dynamically."),
+        ("volatile", "volatile_n", "volatile_n > 0", "{0} samples show volatile repeated-attempt behavior."),
+        ("disagreement", "differing_n", "differing_n > 0", "{0} samples show material cross-model disagreement."),
+    ),
+    "advice": (
+        ("deduplicate", "redundant_n", "redundant_n > 0", "Deduplicate or downweight near-identical prompt templates before using aggregate scores."),
+        ("caveat_unstable", "volatile_n", "volatile_n > 0", "Treat unstable repeated-attempt samples as caveated benchmark signal, not clean difficulty evidence."),
+        ("triage_by_disagreement", "differing_n", "differing_n > 0", "Use cross-model disagreement to triage ambiguous benchmark items before trusting aggregate conclusions."),
+        ("refresh_easiest", "low_n", "low_n >= 0.2 * n", "Refresh the easiest items: the benchmark shows noticeable saturation."),
+        ("review_suspicious_first", "suspicious_n", "suspicious_n > 0", "Stage 4 should start with suspicious benchmark-defect candidates, not random sampling."),
+    ),
 }
+#: Findings of a kind that a report states.
+STATED = 4
 DISAGREEMENT = "CASE WHEN n_differ >= 2 OR priorities > 1 THEN 'strong_disagreement' WHEN n_differ = 1 THEN 'moderate_disagreement' ELSE 'aligned' END"
 
 
@@ -49,8 +71,20 @@ def q_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("position"), F.lit(name).alias("finding"), F.col(shown).alias("samples"), F.expr(on).alias("on")) for kind, of in FINDINGS.items() for i, (name, shown, on) in enumerate(of, 1)]
-    return totals(audit.signals(spark, sf_dir)).select(F.inline(F.array(*rows))).where("on").drop("on")
+    """The first four risks and pieces of advice that hold, in words."""
+    share = lambda c: F.format_string("%.1f", 100 * F.col(c) / F.col("n"))
+
+    def words(text: str, shown: str):
+        parts = [share(shown) if p == "{1}" else F.col(shown).cast("string") if p == "{0}" else F.lit(p) for p in re.split(r"(\{[01]\})", text) if p]
+        return F.concat(*parts)
+
+    one = totals(audit.signals(spark, sf_dir))
+    out = None
+    for kind, of in FINDINGS.items():
+        rows = F.array(*(F.when(F.expr(on), F.struct(F.lit(name).alias("finding"), F.col(shown).alias("samples"), words(text, shown).alias("statement"))) for name, shown, on, text in of))
+        part = one.select(F.lit(kind).alias("kind"), F.posexplode(F.slice(F.array_compact(rows), 1, STATED)).alias("at", "f")).select("kind", (F.col("at") + 1).alias("position"), "f.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def judges(judgments: DataFrame, key: str) -> DataFrame:
@@ -115,7 +149,7 @@ _J = """WITH e AS (SELECT user_id, event_type u, hour(ts) < 12 r, CASE WHEN "val
 c AS (SELECT user_id, count(*) n_judgments, count(DISTINCT p) priorities, (count(DISTINCT u) > 1)::INT + (count(DISTINCT r) > 1)::INT + (count(DISTINCT p) > 1)::INT n_differ, min(p) k FROM e GROUP BY 1)"""
 ORACLE = {
     "scorecard": _G + " UNION ALL ".join(f"SELECT '{m}' measure, {f} found, CASE WHEN {g} THEN 'PASS' ELSE 'REVIEW' END verdict FROM g" for m, f, g in SCORECARD),
-    "findings": _G + " UNION ALL ".join(f"SELECT '{k}' kind, {i} \"position\", '{m}' finding, {s} samples FROM g WHERE {on}" for k, of in FINDINGS.items() for i, (m, s, on) in enumerate(of, 1)),
+    "findings": _G + ", w AS (" + " UNION ALL ".join(f"SELECT '{k}' kind, {i} i, '{m}' finding, {s} samples, replace(replace('{t}', '{{0}}', {s}::VARCHAR), '{{1}}', printf('%.1f', 100 * {s} / n)) statement FROM g WHERE {on}" for k, of in FINDINGS.items() for i, (m, s, on, t) in enumerate(of, 1)) + ') SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY i) "position", finding, samples, statement FROM w QUALIFY row_number() OVER (PARTITION BY kind ORDER BY i) <= 4',
     "auditor_disagreement": f"{_J} SELECT user_id, n_judgments, {DISAGREEMENT} \"label\", round(n_differ / 3, 4) gap_proxy, (['critical', 'high', 'medium', 'normal'])[k + 1] priority FROM c",
     "model_means": f"WITH {outcomes._ATT} SELECT o_orderpriority model, count(*) n, round(avg(rate) + 1e-9, 4) mean_best, round(avg((rate >= 0.9999)::INT) + 1e-9, 4) solved, count(*) FILTER (suspicious) suspicious FROM m GROUP BY 1",
     "comparison_notes": f"""WITH {outcomes._ATT}, k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) i FROM m),

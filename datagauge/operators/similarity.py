@@ -6,14 +6,17 @@ are joined as hashes. Equal texts stand for one another: a group of copies gives
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
 from ..sources.tables import table, written
 
 LEAST = 0.55
+#: Counters that order grams by how often they occur.
+COUNTERS = 1 << 20
 
 
 def gram_sets(docs: DataFrame) -> DataFrame:
@@ -23,14 +26,34 @@ def gram_sets(docs: DataFrame) -> DataFrame:
     return first.select("doc_id", "copies", F.array_distinct(F.transform(text.ngrams(F.col("t")), lambda g: F.xxhash64(g))).alias("grams")).where(F.size("grams") > 0)
 
 
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(doc_id, n, g): of each set the n - ceil(least n) + 1 grams that are rarest, without those that occur once.
+
+    Any order that all sets share is exact; here it goes by the counts of ``COUNTERS`` hashed counters, whose size no input changes, then by the gram.
+    """
+    counts = sets.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(COUNTERS - 1).cast("int").alias("k")).agg(F.count("*").alias("n")).toArrow()
+    weight = np.zeros(COUNTERS, np.int64)
+    weight[counts["k"].to_numpy()] = counts["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(weight)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            g, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            own = np.repeat(np.arange(len(n)), n)
+            w = shared.value[g & (COUNTERS - 1)]
+            order = np.lexsort((g, w, own))
+            place = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
+            kept = order[(place < np.repeat(n - np.ceil(least * n).astype(np.int64) + 1, n)) & (w[order] > 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[kept])), pa.array(n[own[kept]].astype(np.int32)), pa.array(g[kept])], names=["doc_id", "n", "g"])
+
+    return sets.select("doc_id", "grams").mapInArrow(run, "doc_id long, n int, g long")
+
+
 def similar(sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """(left, right, similarity): all pairs of ``sets`` (doc_id, grams: hashes) with Jaccard of at least ``least``."""
+    """(left, right, similarity): all pairs of ``sets`` (doc_id, grams: distinct hashes) with Jaccard of at least ``least``."""
     sets = written(sets, "grams")
-    size = sets.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    df = size.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = size.join(df, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    w = Window.partitionBy("doc_id").orderBy("df", "g")
-    prefix = ranked.withColumn("k", F.row_number().over(w)).where((F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1) & (F.col("df") > 1)).select("doc_id", "n", "g")
+    prefix = written(_prefixes(sets, least), "prefixes")
     a, b = prefix.toDF("left", "ln", "g"), prefix.toDF("right", "rn", "g")
     pairs = a.join(b, "g").where((F.col("left") < F.col("right")) & (F.least("ln", "rn") >= least * F.greatest("ln", "rn"))).select("left", "right").distinct()
     joined = pairs.join(sets.select(F.col("doc_id").alias("left"), F.col("grams").alias("lg")), "left").join(sets.select(F.col("doc_id").alias("right"), F.col("grams").alias("rg")), "right")
