@@ -202,7 +202,8 @@ def _rest(left: DataFrame, full: DataFrame) -> DataFrame:
     blocks = lambda m, i: F.greatest(F.lit(1), F.ceil(m / MEMBERS), F.ceil(i / ITEMS)).cast("int")
     largest = size.groupBy("cluster").agg(F.max_by(F.struct("label", "members", "items"), F.struct("members", "label")).alias("top"), F.sum("members").alias("m"), F.sum("items").alias("i"))
     largest = largest.select("cluster", F.col("top.label").alias("major"), blocks(F.col("m"), F.col("i")).alias("asked_parts"), blocks(F.col("m") - F.col("top.members"), F.col("i") - F.col("top.items")).alias("asking_parts"))
-    rows = rows.join(largest, "cluster").join(full, "rep")
+    # By merge at every size: the sets of near copies are small as files and large in memory.
+    rows = rows.join(largest, "cluster").join(full.hint("merge"), "rep")
     part = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     columns = ["cluster", "i", "j", "rep", "label", "n", "sketch", "items", "asking"]
