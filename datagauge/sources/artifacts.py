@@ -109,6 +109,10 @@ def replace_versioned(df: DataFrame, path: str, keep: int = 1) -> str | None:
     moved = fs.exists(at) and fs.rename(at, _fs(spark, old)[1])
     if not fs.rename(_fs(spark, fresh)[1], at):
         raise OSError(f"{fresh} could not be moved to {path}")
+    inside = _fs(spark, f"{path}/{fresh.rsplit('/', 1)[-1]}")[1]
+    if fs.exists(inside):  # some file systems move a folder into one that another writer made meanwhile
+        fs.delete(inside, True)
+        raise OSError(f"{path} was replaced by another writer at the same time")
     stamped = sorted(x.getPath().toString() for x in fs.listStatus(at.getParent()) if x.getPath().getName().startswith(at.getName() + ".old-"))
     for name in stamped[: max(0, len(stamped) - keep)]:
         fs.delete(_fs(spark, name)[1], True)
