@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ HELD = 1 << 20
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
 _LEVEL = _U(0xD6E8FEB86659FD93)
+#: Bits of a key that probes leave out, so that keys that travel need six bytes.
+_DROPPED = _U(16)
 _BOS, _EOS = _U(textkernel.mix_int(0xB05)), _U(textkernel.mix_int(0xE05))
 
 
@@ -124,8 +127,8 @@ def _counter(order: int, n_buckets: int):
 
 
 def _slots(keys: np.ndarray, level: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of an entry; the others are sums of them."""
-    h = textkernel.mix(keys + _U(int(_LEVEL) * (level + LEVELS * order) & 0xFFFFFFFFFFFFFFFF))
+    """Two hashes of an entry, by the upper 48 bits of its key; the others are sums of them."""
+    h = textkernel.mix((keys >> _DROPPED) + _U(int(_LEVEL) * (level + LEVELS * order) & 0xFFFFFFFFFFFFFFFF))
     return h >> _U(32), (h & _U(0xFFFFFFFF)) | _U(1)
 
 
@@ -215,6 +218,19 @@ class Answers:
         return self.read[order - 1][np.searchsorted(self.keys[order - 1], keys)]
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys without their dropped bits, a plane for each byte: the upper ones compress to nearly nothing."""
+    planes = (keys >> _DROPPED).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(6, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :6] = planes.T
+    return wide.reshape(-1).view("<u8").astype(_U) << _DROPPED
+
+
 def _distinct(batches, order: int) -> list[np.ndarray]:
     """Sorted keys by order of all that scoring the rows asks for."""
     held = [[np.array([_BOS])], *([np.zeros(0, _U)] for _ in range(1, order))]
@@ -234,9 +250,9 @@ def _asker(order: int, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         keys = _distinct(table.to_batches(), order)
         at = [np.searchsorted(_buckets(k, n_buckets) // SPAN, np.arange(parts + 1)) for k in keys]
-        cells = [[k[a[i] : a[i + 1]].tobytes() for k, a in zip(keys, at, strict=True)] for i in range(parts)]
-        some = [i for i in range(parts) if any(cells[i])]
-        return pa.table([pa.array([table["chunk"][0].as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([cells[i] for i in some], pa.list_(pa.binary()))], names=["chunk", "part", "keys"])
+        some = [i for i in range(parts) if any(a[i] < a[i + 1] for a in at)]
+        cells = [[pack_keys(k[a[i] : a[i + 1]]) for k, a in zip(keys, at, strict=True)] for i in some]
+        return pa.table([pa.array([table["chunk"][0].as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(cells, pa.list_(pa.binary()))], names=["chunk", "part", "keys"])
 
     return run
 
@@ -245,7 +261,7 @@ def _prober(n_buckets: int):
     """Per part: the levels of every chunk's keys, read from the part's segments."""
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = []
+        out, press = [], zstandard.ZstdCompressor(level=1).compress
         if asked.num_rows:
             part = asked["part"][0].as_py()
             own: list[bytes] = [bytes(8)] * min(SPAN, n_buckets - part * SPAN)
@@ -253,7 +269,7 @@ def _prober(n_buckets: int):
                 own[bucket - part * SPAN] = segment
             filter_ = Filter(own, part * SPAN, n_buckets)
             for chunk, keys in zip(asked["chunk"].to_pylist(), asked["keys"], strict=True):
-                out.append((chunk, part, [filter_.levels(np.frombuffer(k.as_py(), _U), o).astype(np.uint8).tobytes() for o, k in enumerate(keys, 1)]))
+                out.append((chunk, part, [press(filter_.levels(unpack_keys(k.as_py()), o).astype(np.uint8).tobytes()) for o, k in enumerate(keys, 1)]))
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.binary())), strict=True)], names=["chunk", "part", "levels"])
 
@@ -401,7 +417,7 @@ def score(docs: DataFrame, model: BloomModel, keep: list[str]) -> DataFrame:
 
         def answered(table: pa.Table, got: pa.Table) -> pa.Table:
             cells = got.sort_by("part")["levels"].to_pylist()
-            answers = Answers(_distinct(table.to_batches(), order), [np.frombuffer(b"".join(c[o] for c in cells), np.uint8) for o in range(order)])
+            answers = Answers(_distinct(table.to_batches(), order), [np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, (c[o] for c in cells))), np.uint8) for o in range(order)])
             return pa.Table.from_batches(scored(table.to_batches(), answers, table["chunk"][0].as_py() << 32))
 
         rows = dealt.groupBy("chunk").cogroup(read.groupBy("chunk")).applyInArrow(answered, schema)
