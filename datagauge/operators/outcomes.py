@@ -38,6 +38,11 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "o_custkey", "o_orderpriority", "ok", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tests", "public_tests", "private_tests")), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rate", "public_rate", "private_rate")))
 
 
+def q_test_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = test_rollup(table(spark, sf_dir, "lineitem"))
+    return rows.select(*(F.round(c, 4).alias(c) if c.endswith("rate") else F.col(c) for c in rows.columns))
+
+
 def label(rows: DataFrame) -> DataFrame:
     """``rows`` of attempts with the outcome of the classifier; they hold no generated tests and no oracle run."""
     none, ok = F.lit(0), F.lit("ok")

@@ -97,7 +97,7 @@ def test_decision(spark):
     use = lambda *u: F.array(*map(F.lit, u))
     run = lambda u, hot=False, eff="High Efficacy", sig="clean_evaluation", con="none", flags=("PASS",) * 4, pr="": one(spark, ladders.decision(use(*u), F.lit(hot), F.lit(eff), F.lit(sig), F.lit(con), *map(F.lit, flags), F.lit(pr)))
     fine = ("Usable",) * 3
-    assert [run(fine, True)["action"], run(("Unusable", "Unusable", "Usable"))["cost"], run(fine, flags=("PASS", "FLAG", "PASS", "PASS"))["action"], run(fine, flags=("PASS", "PASS", "FLAG", "PASS"))["action"], run(fine, flags=("PASS", "PASS", "PASS", "FLAG"))["rationale"][:30], run(("Usable", "Needs Fixing", "Unusable"))["cost"], run(fine)["action"]] == ["FIX_OR_REMOVE", "high", "DEDUPE_OR_DOWNWEIGHT", "DEPRIORITIZE", "Stage 3 surfaced the sample as ", "medium", "KEEP"]
+    assert [run(fine, True)["action"], run(("Unusable", "Unusable", "Usable"))["cost"], run(fine, flags=("PASS", "FLAG", "PASS", "PASS"))["action"], run(fine, flags=("PASS", "PASS", "FLAG", "PASS"))["action"], run(fine, flags=("PASS", "PASS", "PASS", "FLAG"))["rationale"][:30], run(("Usable", "Needs Fixing", "Unusable"))["cost"], run(fine)["action"]] == ["FIX_OR_REMOVE", "high", "DEDUPE_OR_DOWNWEIGHT", "DEPRIORITIZE", "Stage 3 surfaced the sample as", "medium", "KEEP"]
     r = run(fine, con="low_static_high_dynamic", sig="ambiguous_or_brittle", eff="")
     assert r["priority"] == "normal" and r["rationale"].endswith("signal: low_static_high_dynamic. Stage 2 benchmark-quality caveat: ambiguous_or_brittle.") and r["evidence"].count(";") == 3
 
@@ -146,7 +146,7 @@ def test_relationships(spark):
 def test_texts(spark):
     t = lambda c, x: one(spark, c(F.lit(x)))
     assert t(text.template, 'Return 12 items "x"') == "return <<id>> <id> <<id>>"
-    assert t(text.template, "Input: __init__ of  a Function's 'word' __x ab") == "input: <magic> of a function <<id>> word' <id> ab"
+    assert t(text.template, "Input: __init__ of  a Function's 'word' __x ab") == "input: <magic> of a function <<id>> <id>' <id> ab"
     assert t(text.template, "über_x éabc abc") == "über_x éabc <id>"
     assert t(text.normalise, " A B \x0bc\n") == "a b c" and t(text.word_count, "naïve über co") == 3 and t(text.word_count, None) == 0
     assert [t(text.line_count, x) for x in ("\n\n", "a\nb\n", "a\r\nb\rc", "a b\r", None)] == [0, 2, 3, 2, 0]
