@@ -206,8 +206,8 @@ ORACLE = {
     "review_slice": f"""WITH {audit._S}, r AS (SELECT *, {_R} k, count(*) OVER (PARTITION BY source, lang) z FROM s),
  c1 AS (SELECT doc_id id, k FROM r WHERE contradiction <> '' ORDER BY doc_id LIMIT {QUOTAS["contradiction"]}),
  c2 AS (SELECT doc_id id, k FROM r WHERE sensitivity IN ('high', 'moderate') AND doc_id NOT IN (SELECT id FROM c1) ORDER BY k, doc_id LIMIT {QUOTAS["disagreement"]}),
- f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY k, doc_id) i FROM r WHERE redundancy >= 0.55) WHERE i = 1),
- c3 AS (SELECT doc_id id, k FROM f WHERE doc_id NOT IN (SELECT id FROM c1 UNION ALL SELECT id FROM c2) ORDER BY z DESC, k, doc_id LIMIT {QUOTAS["redundancy"]}),
+ fc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY k, doc_id) i FROM r WHERE redundancy >= 0.55) WHERE i = 1),
+ c3 AS (SELECT doc_id id, k FROM fc WHERE doc_id NOT IN (SELECT id FROM c1 UNION ALL SELECT id FROM c2) ORDER BY z DESC, k, doc_id LIMIT {QUOTAS["redundancy"]}),
  c4 AS (SELECT doc_id id, k FROM r WHERE exemplar AND doc_id NOT IN (SELECT id FROM c1 UNION ALL SELECT id FROM c2 UNION ALL SELECT id FROM c3) ORDER BY k, doc_id LIMIT {QUOTAS["baseline"]}),
  u AS (SELECT id, k, 'contradiction' bucket, 0 t FROM c1 UNION ALL SELECT id, k, 'disagreement', 1 FROM c2 UNION ALL SELECT id, k, 'redundancy', 2 FROM c3 UNION ALL SELECT id, k, 'baseline', 3 FROM c4),
  b AS (SELECT * FROM u UNION ALL SELECT doc_id, k, 'backfill', 4 FROM r WHERE doc_id NOT IN (SELECT id FROM u))
