@@ -17,10 +17,10 @@ ENTRY_BYTES = 64 << 20
 class ChunkTable:
     """Ids by chunk: sorted hashes, each with its chunk's bytes and the place and length of its ids in a pool.
 
-    A chunk takes the ids of an entry only if their bytes are equal; one that merely shares the hash of another goes on to the next hash of its own.
+    ``encode``: the ids of chunks, given with their kinds, in a row, and the number of ids of each. A chunk takes the ids of an entry only if their bytes are equal; one that merely shares the hash of another goes on to the next hash of its own.
     """
 
-    def __init__(self, encode: Callable[[list[bytes], list[int]], list[np.ndarray]], entries: int = ENTRIES):
+    def __init__(self, encode: Callable[[list[bytes], list[int]], tuple[np.ndarray, np.ndarray]], entries: int = ENTRIES):
         self.encode, self.entries = encode, entries
         self._clear()
 
@@ -32,22 +32,21 @@ class ChunkTable:
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
     @staticmethod
-    def _put(pool: np.ndarray, used: int, parts: list[np.ndarray]) -> tuple[np.ndarray, int]:
-        need = used + sum(map(len, parts))
+    def _put(pool: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+        need = used + len(more)
         if need > len(pool):
             pool = np.concatenate((pool, np.zeros(max(need, 2 * len(pool)) - len(pool), pool.dtype)))
-        if parts:
-            pool[used:need] = np.concatenate(parts)
+        pool[used:need] = more
         return pool, need
 
     def _add(self, keys: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray, kind: np.ndarray) -> None:
         text = data.tobytes()
         chunks = [text[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        ids = self.encode(chunks, kind.tolist())
-        length, size = np.array([len(x) for x in ids], np.int64), e - s
+        ids, length = self.encode(chunks, kind.tolist())
+        size = e - s
         facts = np.stack((kind.astype(np.int64), self.used_bytes + np.cumsum(size) - size, size, self.used + np.cumsum(length) - length, length))
         self.pool, self.used = self._put(self.pool, self.used, ids)
-        self.bytes, self.used_bytes = self._put(self.bytes, self.used_bytes, [np.frombuffer(b"".join(chunks), np.uint8)])
+        self.bytes, self.used_bytes = self._put(self.bytes, self.used_bytes, np.frombuffer(b"".join(chunks), np.uint8))
         at = np.searchsorted(self.keys, keys)
         self.facts = np.insert(self.facts, at, facts, axis=1)
         self.keys = np.insert(self.keys, at, keys)

@@ -11,6 +11,7 @@ Null and empty texts give the begin and end ids only. Repeated rows each get the
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +39,15 @@ class PieceCodec:
         self.space = self.model.piece_to_id(MARKER)
         self.table = chunktable.ChunkTable(self._encode)
 
-    def _encode(self, chunks: list[bytes], kinds: list[int]) -> list[np.ndarray]:
+    def _encode(self, chunks: list[bytes], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """kind 0: begins a text; 1: begins with a space; 2: follows a line feed or is one."""
         texts = []
         for chunk, kind in zip(chunks, kinds, strict=True):
             text = chunk.decode()
             texts.append(text if kind == 0 else text[1:] if kind == 1 else "\n" + text)
-        out = []
-        for kind, ids, text in zip(kinds, self.model.encode(texts, num_threads=1), texts, strict=True):
-            out.append(np.array(([self.space] if kind == 1 and not text else ids[2:] if kind == 2 else ids), np.int32))
-        return out
+        parts = [([self.space] if kind == 1 and not text else ids[2:] if kind == 2 else ids) for kind, ids, text in zip(kinds, self.model.encode(texts, num_threads=1), texts, strict=True)]
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.fromiter(chain.from_iterable(parts), np.int32, int(length.sum())), length
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents with begin and end ids, and the ids before each document."""

@@ -57,23 +57,37 @@ class WordCodec:
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _encode(self, chunks: list[bytes], kinds: list[int]) -> list[np.ndarray]:
+    def _group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts and the number of each's, in one call: a separator, which is a token of its own, stands between them."""
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {_SEPARATOR} ".join(texts)], add_special_tokens=False)[0].ids, np.int32)
+        mark = ids == self.mark[0] if len(self.mark) == 1 else np.zeros(len(ids), bool)
+        at = np.flatnonzero(mark)
+        if len(at) == len(texts) - 1:
+            return ids[~mark], np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
+        parts = [self._one(t) for t in texts]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _encode(self, chunks: list[bytes], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
         texts = [c.decode() for c in chunks]
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
-        plain = [i for i, t in enumerate(texts) if _SEPARATOR not in t and "<" not in t]
-        for i in set(range(len(texts))) - set(plain):
-            out[i] = self._one(texts[i])
-        for lo in range(0, len(plain), 500):
-            group = plain[lo : lo + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {_SEPARATOR} ".join(texts[i] for i in group)], add_special_tokens=False)[0].ids, np.int32)
-            at = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
-            if len(at) == len(group) - 1:
-                for i, part in zip(group, np.split(ids, at), strict=True):
-                    out[i] = part[1:] if i != group[0] else part
-            else:
-                for i in group:
-                    out[i] = self._one(texts[i])
-        return out
+        plain = np.array([_SEPARATOR not in t and "<" not in t for t in texts], bool)
+        alone = {i: self._one(texts[i]) for i in np.flatnonzero(~plain).tolist()}
+        length = np.zeros(len(texts), np.int64)
+        for i, ids in alone.items():
+            length[i] = len(ids)
+        where = np.flatnonzero(plain)
+        groups = [self._group([texts[i] for i in where[lo : lo + 500].tolist()]) for lo in range(0, len(where), 500)]
+        if groups:
+            length[where] = np.concatenate([n for _, n in groups])
+        start = np.cumsum(length) - length
+        out = np.empty(int(length.sum()), np.int32)
+        if alone:
+            rest = np.ones(len(out), bool)
+            for i, ids in alone.items():
+                out[start[i] : start[i] + len(ids)], rest[start[i] : start[i] + len(ids)] = ids, False
+            out[rest] = np.concatenate([g for g, _ in groups]) if groups else 0
+        elif groups:
+            out[:] = np.concatenate([g for g, _ in groups])
+        return out, length
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each with the end id, and the ids before each document."""
@@ -116,8 +130,9 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     zeros, sizes, ones, body = [], [], [], []
+    one = (1 << np.arange(bits)).astype(x.dtype)
     for level in range(bits - 1, -1, -1):
-        bit = (x >> level) & 1 != 0
+        bit = (x & one[level]).astype(bool)
         low = x[~bit]
         zeros.append(len(low))
         x = np.concatenate((low, x[bit]))
@@ -254,7 +269,7 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             yield file()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    dealt = rows.repartitionByRange(store.parts_for(store.text_bytes(rows), RANGE_BYTES, 12), "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
+    dealt = rows.repartitionByRange(store.parts_for(store.text_bytes(rows), RANGE_BYTES, 4), "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
     return store.materialize(dealt.select("doc_id", "text").mapInArrow(run, FILES), "wavelet")
 
 

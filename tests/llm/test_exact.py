@@ -97,7 +97,8 @@ def test_table_starts_anew():
 
     def encode(chunks, kinds):
         calls.append(len(chunks))
-        return [np.frombuffer(c, np.uint8).astype(np.int32) + 1000 * k for c, k in zip(chunks, kinds, strict=True)]
+        parts = [np.frombuffer(c, np.uint8).astype(np.int32) + 1000 * k for c, k in zip(chunks, kinds, strict=True)]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
 
     table = chunktable.ChunkTable(encode, entries=2)
     data = np.frombuffer(b"abcabcab", np.uint8)
