@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,7 +52,11 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, co
 
 
 def min_cost_flow(arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """Flow on each arc (from, to, capacity, cost), the cheapest of the largest, by shortest augmenting paths with potentials."""
+    """Flow on each arc (from, to, capacity, cost), the cheapest of the largest.
+
+    Primal-dual: shortest distances give potentials, then blocking flows fill all paths of reduced cost 0 before distances are taken anew; so the
+    rounds are as many as path costs that differ, not as paths.
+    """
     to, cap, cost, at = [], [], [], defaultdict(list)
     for u, v, c, w in arcs:
         for a, b, x, y in ((u, v, c, w), (v, u, 0, -w)):
@@ -63,28 +66,51 @@ def min_cost_flow(arcs: list[tuple[int, int, int, int]], source: int, sink: int)
             cost.append(y)
     height: dict[int, int] = defaultdict(int)
     while True:
-        dist, via, heap, tick = {source: 0}, {}, [(0, 0, source)], count(1)
+        dist, heap = {source: 0}, [(0, source)]
         while heap:
-            d, _, u = heapq.heappop(heap)
+            d, u = heapq.heappop(heap)
             if d > dist[u]:
                 continue
             for i in at[u]:
                 if cap[i] and (n := d + cost[i] + height[u] - height[to[i]]) < dist.get(to[i], 1 << 60):
-                    dist[to[i]], via[to[i]] = n, i
-                    heapq.heappush(heap, (n, next(tick), to[i]))
+                    dist[to[i]] = n
+                    heapq.heappush(heap, (n, to[i]))
         if sink not in dist:
             return [cap[2 * i + 1] for i in range(len(arcs))]
         far = max(dist.values())
         for u in list(at):
             height[u] += dist.get(u, far)
-        path, u = [], sink
-        while u != source:
-            path.append(via[u])
-            u = to[via[u] ^ 1]
-        much = min(cap[i] for i in path)
-        for i in path:
-            cap[i] -= much
-            cap[i ^ 1] += much
+        free = lambda i, u: cap[i] and cost[i] + height[u] - height[to[i]] == 0
+        while True:
+            # Steps from the source over free arcs, then one path after another over arcs that lead one step on.
+            level, wave = {source: 0}, [source]
+            while wave and sink not in level:
+                wave = [level.setdefault(to[i], level[u] + 1) and to[i] for u in wave for i in at[u] if to[i] not in level and free(i, u)]
+            if sink not in level:
+                break
+            tried: dict[int, int] = defaultdict(int)
+            path: list[int] = []
+            u = source
+            while True:
+                if u == sink:
+                    much = min(cap[i] for i in path)
+                    for i in path:
+                        cap[i] -= much
+                        cap[i ^ 1] += much
+                    cut = next(k for k, i in enumerate(path) if not cap[i])
+                    u, path = to[path[cut] ^ 1], path[:cut]
+                    continue
+                own = at[u]
+                while tried[u] < len(own) and not (level.get(to[own[tried[u]]]) == level[u] + 1 and free(own[tried[u]], u)):
+                    tried[u] += 1
+                if tried[u] < len(own):
+                    path.append(own[tried[u]])
+                    u = to[path[-1]]
+                elif path:
+                    u = to[path.pop() ^ 1]
+                    tried[u] += 1
+                else:
+                    break
 
 
 Class = tuple[tuple, tuple]
