@@ -111,10 +111,11 @@ def score_correlations(rows: DataFrame, scores: list[str]) -> DataFrame:
 
 def top_rules(found: DataFrame, most: int = TOP) -> DataFrame:
     """The strongest rules with strength and reliability; ties by support, then name."""
-    strength = F.round((F.abs("delta") + 0.5 * F.abs("lift")) * F.greatest("share", F.lit(0.05)), 4)
+    # Ties of sums round up, whatever the order of summing.
+    strength = F.round((F.abs("delta") + 0.5 * F.abs("lift")) * F.greatest("share", F.lit(0.05)) + 1e-9, 4)
     rows = found.withColumn("strength", strength).withColumn("reliability", F.when(F.col("kind") == "section_score", "broad").otherwise(F.expr(rules.RELIABILITY)))
     rows = rows.orderBy(F.desc("strength"), F.desc("n"), "signal").limit(most)
-    return rows.select("signal", "kind", "n", *(F.round(c, 4).alias(c) for c in ("share", "mean_rate", "suspicious_rate", "delta", "lift")), "strength", "reliability")
+    return rows.select("signal", "kind", "n", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("share", "mean_rate", "suspicious_rate", "delta", "lift")), "strength", "reliability")
 
 
 def q_template_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

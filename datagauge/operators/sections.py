@@ -204,7 +204,7 @@ ORACLE = {
  tt AS (SELECT count(*) tn, sum(rate) tr, sum(hot) ts, avg(rate) ar, avg(hot) ah FROM j), ee AS (SELECT "check" signal, count(*) n, sum(rate) r, sum(hot) h FROM sx JOIN j ON j.doc_id = sx.doc_id WHERE bad GROUP BY 1),
  ff AS (SELECT signal, 'failing_check' kind, n, n / tn share, r / n mean_rate, h / n suspicious_rate, r / n - (tr - r) / (tn - n) delta, h / n - (ts - h) / (tn - n) lift FROM ee, tt WHERE tn >= 10 AND n >= greatest(5, ceil(0.03 * tn)) AND tn > n
  UNION ALL """ + " UNION ALL ".join(f"SELECT '{c}', 'section_score', tn, 1.0, ar, ah, CASE WHEN rv = 0 THEN 0 ELSE corr_r END, CASE WHEN hv = 0 THEN 0 ELSE corr_h END FROM tt, (SELECT var_pop({c}) v, var_pop(rate) rv, var_pop(hot) hv, corr({c}, rate) corr_r, corr({c}, hot) corr_h FROM j) WHERE v > 0 AND tn >= 10" for c in [*(f"section_{s}" for s in SECTIONS), "stage", "critical"]) + """),
- gg AS (SELECT *, round((abs(delta) + 0.5 * abs(lift)) * greatest(share, 0.05), 4) strength FROM ff)
- SELECT signal, kind, n, round(share, 4) share, round(mean_rate, 4) mean_rate, round(suspicious_rate, 4) suspicious_rate, round(delta, 4) delta, round(lift, 4) lift, strength, CASE WHEN kind = 'section_score' OR n >= 20 OR share >= 0.15 THEN 'broad' WHEN n >= 10 OR share >= 0.08 THEN 'moderate' ELSE 'narrow' END reliability
+ gg AS (SELECT *, round((abs(delta) + 0.5 * abs(lift)) * greatest(share, 0.05) + 1e-9, 4) strength FROM ff)
+ SELECT signal, kind, n, round(share + 1e-9, 4) share, round(mean_rate + 1e-9, 4) mean_rate, round(suspicious_rate + 1e-9, 4) suspicious_rate, round(delta + 1e-9, 4) delta, round(lift + 1e-9, 4) lift, strength, CASE WHEN kind = 'section_score' OR n >= 20 OR share >= 0.15 THEN 'broad' WHEN n >= 10 OR share >= 0.08 THEN 'moderate' ELSE 'narrow' END reliability
  FROM gg ORDER BY strength DESC, n DESC, signal LIMIT 20""",
 }
