@@ -108,7 +108,12 @@ def eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as a number, zeros beyond the end."""
     wide = np.zeros(len(data) + 8, np.uint8)
     wide[: len(data)] = data
-    return np.ndarray((len(data) + 1,), "<u8", wide, 0, (1,))
+    return _eights(wide)
+
+
+def _eights(wide: np.ndarray) -> np.ndarray:
+    """The same without a copy, of bytes that go on for eight beyond the last position asked for."""
+    return np.ndarray((len(wide) - 7,), "<u8", wide, 0, (1,))
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
@@ -136,9 +141,9 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
 
 
 def same(data: np.ndarray, starts: np.ndarray, size: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether each span's bytes are those of ``other`` from ``at`` on."""
+    """Whether each span's bytes are those of ``other`` from ``at`` on; ``other`` goes on for eight bytes beyond what is compared."""
     out = np.ones(len(starts), bool)
-    one, two = eights(data), eights(other)
+    one, two = eights(data), _eights(other)
     for k in range(0, LONG, 8):
         on = np.flatnonzero((size > k) & (size <= LONG))
         if not len(on):

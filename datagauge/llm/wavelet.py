@@ -50,9 +50,13 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
         self.table = chunktable.ChunkTable(self._encode)
-        self.letter, self.sign = np.zeros(256, bool), np.zeros(256, bool)
-        self.letter[65:91] = self.letter[97:123] = True
-        self.sign[[ord(c) for c in '!"#$%&()*+,-./:;=?@[\\]^_`{}~']] = True
+        #: 0: white space, 1: ASCII letter, 2: ASCII sign at which chunks are cut, 3: other; and by 4 x kind + next kind, whether there is a cut between.
+        self.kinds = np.full(256, 3, np.uint8)
+        self.kinds[~textkernel.WORD] = 0
+        self.kinds[65:91] = self.kinds[97:123] = 1
+        self.kinds[[ord(c) for c in '!"#$%&()*+,-./:;=?@[\\]^_`{}~']] = 2
+        self.cuts = np.zeros(16, bool)
+        self.cuts[[0, 1, 2, 3, 4 * 1 + 2, 4 * 2 + 1]] = True
 
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -91,17 +95,17 @@ class WordCodec:
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each with the end id, and the ids before each document."""
-        inside = ~textkernel.WORD[data]
-        first = inside.copy()
-        letter, sign = self.letter[data], self.sign[data]
-        first[1:] |= inside[:-1] | (letter[1:] & sign[:-1]) | (sign[1:] & letter[:-1])
+        kind = self.kinds[data]
+        first = kind == 0
+        if len(data) > 1:
+            first[1:] |= self.cuts[4 * kind[:-1] + kind[1:]]
         s, e, before = chunktable.cuts(data, at, first)
-        word = ~inside[s]
+        word = kind[s] != 0
         kept = np.concatenate(([0], np.cumsum(word)))
         s, e, before = s[word], e[word], kept[before]
         folded = textkernel.LOWER[data]
-        angle = np.concatenate(([0], np.cumsum(data == 0x3C)))
-        for i in np.flatnonzero(angle[e] > angle[s]).tolist():
+        open_ = np.flatnonzero(data == 0x3C)
+        for i in np.unique(np.searchsorted(s, open_, "right") - 1).tolist():  # no chunk but a word holds the sign
             folded[s[i] : e[i]] = data[s[i] : e[i]]
         ids, length = self.table.ids(folded, s, e, textkernel.hashes(folded, s, e, lower=False), np.zeros(len(s), np.int8))
         inner = textkernel.per_doc(length, before) if len(s) else np.zeros(len(at) - 1, np.int64)
