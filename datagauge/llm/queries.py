@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, crosspolytope, langid, minhash, mixing, pieces, quality, token_rollup, toxicity, wavelet
+from . import bloom_lm, crosspolytope, interactions, langid, minhash, mixing, pieces, quality, token_rollup, toxicity, wavelet
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_minhash_tensor": minhash.op9_minhash_tensor,
     "op10_language_mixture": langid.op10_language_mixture,
+    "op11_filter_interactions": interactions.op11_filter_interactions,
+}
+#: SQL of the operators that it expresses; the others are tested against brute force in tests/llm.
+ORACLE: dict[str, str] = {
+    "op11_filter_interactions": interactions.SQL,
 }
-#: No operator is left that SQL expresses: op1 counts tokens of the public tokenizers. Each is tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
