@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, crosspolytope, hostrep, interactions, langid, minhash, mixing, pieces, quality, token_rollup, toxicity, wavelet
+from . import bloom_lm, crosspolytope, hostrep, interactions, langid, minhash, mixing, pieces, quality, token_rollup, toxicity, validtime, wavelet
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_minhash_tensor": minhash.op9_minhash_tensor,
     "op10_language_mixture": langid.op10_language_mixture,
     "op11_filter_interactions": interactions.op11_filter_interactions,
+    "op12_valid_time": validtime.op12_valid_time,
     "op13_host_reputation": hostrep.op13_host_reputation,
 }
 #: SQL of the operators that it expresses; the others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
     "op11_filter_interactions": interactions.SQL,
+    "op12_valid_time": validtime.SQL,
     "op13_host_reputation": hostrep.SQL,
 }
