@@ -57,10 +57,11 @@ ANSWER = "kind int, batch int, bits int, id long, client long, at long, slot lon
 
 _SALE = ["there", "bits", "id", "client", "at", "slot"]
 _VERSION = ["bits", "id", "client", "at", "slot", "seq", "balance", "op"]
-#: Settings of a start: state in RocksDB, whose changes are written instead of whole snapshots, within a bound of an executor's memory, and without 4 MB reserved on disk for each store.
+#: Settings of a start: state in RocksDB, whose changes are written instead of whole snapshots, within a bound of an executor's memory, without 4 MB reserved on disk for each store; a start runs one batch, so stores are given up when it is committed.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
