@@ -182,13 +182,13 @@ CHECKS = dict(sorted((PROMPT | SOLUTION | COUNTS | FACTS).items()))
 
 
 def render(name: str, judged: str, duck: bool = False) -> str:
-    """SQL of a check's verdict; ``judged`` is the SQL of the judge's verdict."""
+    """SQL of a check's verdict; ``judged`` is the SQL of the judge's verdict. Spark's reads the columns of ``patterns.matched``."""
 
     def hits(m: re.Match) -> str:
+        if not duck:
+            return f"m_{m[2]}" if m[1] == "#" else f"(m_{m[2]} > 0)"
         column, pattern = PATTERNS[m[2]]
-        if duck:
-            return f"len(regexp_extract_all({column}, '{pattern}'))" if m[1] == "#" else f"regexp_matches({column}, '{pattern}')"
-        return f"regexp_count({column}, r'{pattern}')" if m[1] == "#" else f"regexp_like({column}, r'{pattern}')"
+        return f"len(regexp_extract_all({column}, '{pattern}'))" if m[1] == "#" else f"regexp_matches({column}, '{pattern}')"
 
     *ladder, last = CHECKS[name]
     cases = "".join(f" WHEN {re.sub('([#@])([a-z_]+)', hits, cond.replace('$judged', judged))} THEN '{verdict}'" for cond, verdict in ladder)

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import checks, ladders
-from ..sources.tables import table
+from ..functions import checks, ladders, patterns
+from ..sources.tables import spread, table
 from . import profile
 
 QUEUE = 15
@@ -241,7 +241,7 @@ def q_refine_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """The checks of a prompt's text; what a judge decides is UNCLEAR, all are for a null text."""
-    rows = docs.select("doc_id", F.col("text").alias("prompt"), F.lit("medium").alias("difficulty"))
+    rows = patterns.matched(docs.select("doc_id", F.col("text").alias("prompt"), F.lit("medium").alias("difficulty")), checks.PROMPT)
     return rows.select("doc_id", *(F.when(F.col("prompt").isNull(), "UNCLEAR").otherwise(F.expr(checks.render(n, "'UNCLEAR'"))).alias(c) for c, n in CHECKS.items()))
 
 

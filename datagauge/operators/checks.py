@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checks, code
-from ..sources.tables import table
+from ..functions import checks, code, patterns
+from ..sources.tables import spread, table
 
 TESTS = "array<struct<input:string,output:string,testtype:string>>"
 SAMPLES = f"sample_id long, prompt string, starter string, ideal string, function_name string, difficulty string, public {TESTS}, private {TESTS}, run_ok boolean, run_passed int, run_total int, judgments map<string,string>"
@@ -24,7 +24,7 @@ EDGES = r"(?i)(empty|invalid|error|duplicate|single element|no path|start equals
 LIMITS = r"(?i)(must|at least|at most|deadline|time window|capacity|security|availability|priority|group|service time)"
 IMPORTED = r"\b(List|Dict|Set|Tuple|Any|Optional|Union|defaultdict|heapq|math|cmath|gcd|json)\b"
 LITERAL = r"\b(True|False|None)\b|\{\s*'|:\s*'|'[,\]}]"
-STUB = r"^(import |from |def |\x22{3}|'{3})|^(pass|\.\.\.)$"
+STUB = r'''^(import |from |def |"{3}|'{3})|^(pass|\.\.\.)$'''
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -102,7 +102,7 @@ def facts(samples: DataFrame) -> DataFrame:
 
 def verdicts(samples: DataFrame) -> DataFrame:
     """sample_id and a column for each of the 76 checks, under its own name (with a dot: quote it)."""
-    rows = facts(samples)
+    rows = patterns.matched(facts(samples), checks.CHECKS)
     return rows.select("sample_id", *(F.expr(checks.render(n, f"coalesce(try_element_at(judgments, '{n}'), 'UNCLEAR')")).alias(n) for n in checks.CHECKS))
 
 
@@ -123,15 +123,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter: a document's text is prompt and solution, its quality the judgment, its length the difficulty."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select("doc_id", text.alias("prompt"), text.alias("ideal"), F.expr(_LEVEL).alias("difficulty"), F.expr(_JUDGED).alias("judged"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").join(labels, "doc_id", "left").select("doc_id", text.alias("prompt"), text.alias("ideal"), F.expr(_LEVEL).alias("difficulty"), F.expr(_JUDGED).alias("judged"))
 
 
 def q_prompt_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", *(F.expr(checks.render(n, "judged")).alias(_column(n)) for n in checks.PROMPT))
+    rows = patterns.matched(_documents(spark, sf_dir), checks.PROMPT)
+    return rows.select("doc_id", *(F.expr(checks.render(n, "judged")).alias(_column(n)) for n in checks.PROMPT))
 
 
 def q_solution_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", *(F.expr(checks.render(n, "judged")).alias(_column(n)) for n in checks.SOLUTION))
+    rows = patterns.matched(_documents(spark, sf_dir), checks.SOLUTION)
+    return rows.select("doc_id", *(F.expr(checks.render(n, "judged")).alias(_column(n)) for n in checks.SOLUTION))
 
 
 def q_suite_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checks, ladders, scalars
-from ..sources.tables import table
+from ..functions import checks, ladders, patterns, scalars
+from ..sources.tables import spread, table
 from . import audit, profile
 
 # Scores of verdicts, sections, those whose failures are critical, imperfect verdicts.
@@ -143,7 +143,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter: every document with its 76 verdicts and the runtime of its solution."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     text = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select("doc_id", text.alias("prompt"), text.alias("ideal"), text.alias("starter"), *(F.expr(v).alias(k) for k, v in GIVEN.items()))
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id").join(labels, "doc_id", "left").select("doc_id", text.alias("prompt"), *(F.expr(v).alias(k) for k, v in GIVEN.items()))
+    rows = patterns.matched(rows, checks.CHECKS, {"ideal": "prompt", "starter": "prompt"}).withColumn("ideal", F.col("prompt"))
     return rows.select("doc_id", F.concat_ws("/", "run_passed", "run_total").alias("runtime"), *(F.expr(checks.render(n, "judged")).alias(n) for n in checks.CHECKS))
 
 

@@ -38,6 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer partitions than cores, dealt anew by ``key``: a small file of one row group is read by one task. Larger scans stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Rows read back from the folder that the cluster names for checkpoints; a temporary one in local mode where it names none."""
     spark = df.sparkSession
