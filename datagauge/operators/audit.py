@@ -47,7 +47,7 @@ _USABLE = ("CASE quality WHEN 0 THEN 'Unusable' WHEN 1 THEN 'Usable' ELSE 'Needs
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: the ladders' inputs and their results. Texts are read once for their features and once for their copies' marks."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     features = profile.flagged(profile.features(docs)).select("doc_id", "n_words", "n_lines", F.col("flags").alias("outliers"))
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("t"))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -187,38 +187,26 @@ def q_decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queues(rows: DataFrame) -> DataFrame:
-    """The five top lists; each is a bounded sort."""
-    critical = F.col("priority") != "critical"
+    """The five top lists from one pass: a row enters each list that it fits under a key of (number, text, id), and the ranked window keeps ``QUEUE`` of a list in every task before it shuffles."""
+    c, one, no_text = F.col, F.lit(0.0), F.lit("")
     lists = {
-        "defect": (F.col("defect"), [critical, F.col("defect_reason"), F.col("doc_id")], F.col("defect_reason")),
-        "redundancy": (F.col("redundancy") >= ladders.REDUNDANT, [F.desc("redundancy"), F.col("doc_id")], F.format_string("similarity %.4f", "redundancy")),
+        "defect": (c("defect"), (c("priority") != "critical").cast("double"), c("defect_reason"), c("doc_id"), c("defect_reason")),
+        "redundancy": (c("redundancy") >= ladders.REDUNDANT, -c("redundancy"), no_text, c("doc_id"), F.format_string("similarity %.4f", "redundancy")),
         # The reference sorts this list in reverse: weak static scores first, then the largest ids.
-        "contradiction": (F.col("contradiction") != "", [F.desc(F.col("contradiction") != "high_static_low_dynamic"), F.desc("doc_id")], F.col("contradiction")),
-        "trivial": (F.col("trivial"), [F.col("priority"), F.col("doc_id")], F.lit("near-saturated pass rate with otherwise clean Stage 1 signals")),
-        "exemplar": (F.col("exemplar"), [F.col("priority"), F.col("doc_id")], F.lit("clean, interpretable, non-redundant evaluation candidate")),
+        "contradiction": (c("contradiction") != "", (c("contradiction") == "high_static_low_dynamic").cast("double"), no_text, -c("doc_id"), c("contradiction")),
+        "trivial": (c("trivial"), one, c("priority"), c("doc_id"), F.lit("near-saturated pass rate with otherwise clean Stage 1 signals")),
+        "exemplar": (c("exemplar"), one, c("priority"), c("doc_id"), F.lit("clean, interpretable, non-redundant evaluation candidate")),
     }
-    out = None
-    for name, (on, order, reason) in lists.items():
-        one = rows.where(on).orderBy(*order).limit(QUEUE).withColumn("position", F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))).select(F.lit(name).alias("queue"), "position", "doc_id", reason.alias("reason"), "priority", "utility")
-        out = one if out is None else out.unionByName(one)
-    return out
+    fits = F.array(*(F.when(on, F.struct(F.lit(n).alias("queue"), number.alias("number"), text.alias("text"), at.alias("at"), reason.alias("reason"))) for n, (on, number, text, at, reason) in lists.items()))
+    found = rows.select("doc_id", "priority", "utility", F.inline(F.filter(fits, lambda x: x.isNotNull())))
+    ranked = found.withColumn("position", F.row_number().over(Window.partitionBy("queue").orderBy("number", "text", "at")))
+    return ranked.where(c("position") <= QUEUE).select("queue", "position", "doc_id", "reason", "priority", "utility")
 
 
 def q_audit_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queues(signals(spark, sf_dir))
 
 
-def q_review_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 suspicious, 8 redundant, 6 contradicting and 4 exemplary samples, each bucket without what one before it took."""
-    rows = signals(spark, sf_dir).select("doc_id", F.expr("CASE WHEN suspicious THEN 'suspicious' WHEN redundancy >= 0.55 THEN 'redundant' WHEN contradiction <> '' THEN 'contradiction' WHEN exemplar THEN 'exemplar' END").alias("bucket")).where("bucket IS NOT NULL")
-    quotas = {"suspicious": 8, "redundant": 8, "contradiction": 6, "exemplar": 4}
-    out = None
-    for bucket, quota in quotas.items():  # buckets are disjoint: a sample stands in the first that it fits
-        one = rows.where(F.col("bucket") == bucket).orderBy("doc_id").limit(quota)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def escalate(current: Column, requested: Column) -> Column:
     """The requested priority only where it is more urgent; unknown ones change nothing."""
     return F.when(ladders.rank(requested) < ladders.rank(current), requested).otherwise(current)
@@ -250,7 +238,7 @@ CHECKS = {"check_" + n.replace(".", "_"): n for n in checks.PROMPT}
 
 
 def q_regex_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(table(spark, sf_dir, "documents"))
+    return verdicts(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def q_cache_miss_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +337,6 @@ ORACLE = {
  concat_ws('; ', CASE k WHEN 1 THEN 'sample_results.csv::Suspicious; enriched_samples.csv::BenchmarkDefectCandidate' WHEN 3 THEN 'enriched_samples.csv::RedundancyStatus' WHEN 4 THEN 'enriched_samples.csv::TrivialityCheck' WHEN 5 THEN 'enriched_samples.csv::ExemplarCheck' WHEN 7 THEN 'guideline_audit.xlsx::Summary; sample_results.csv::ModelAEfficacyLabel' ELSE 'guideline_audit.xlsx::Summary' END,
  CASE WHEN contradiction <> '' THEN 'enriched_samples.csv::ContradictionCheck' END, CASE WHEN quality_signal <> 'clean_evaluation' THEN 'sample_results.csv::ModelABenchmarkQualitySignal' END) evidence, CASE k WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 6 THEN 'medium' ELSE 'low' END cost FROM c""",
     "audit_queues": f"WITH {_S} " + " UNION ALL ".join("SELECT * FROM (" + _q(*x) + ")" for x in (("defect", "defect", "priority <> 'critical', defect_reason, doc_id", "defect_reason"), ("redundancy", "redundancy >= 0.55", "redundancy DESC, doc_id", "printf('similarity %.4f', redundancy)"), ("contradiction", "contradiction <> ''", "(contradiction <> 'high_static_low_dynamic') DESC, doc_id DESC", "contradiction"), ("trivial", "trivial", "priority, doc_id", "'near-saturated pass rate with otherwise clean Stage 1 signals'"), ("exemplar", "exemplar", "priority, doc_id", "'clean, interpretable, non-redundant evaluation candidate'"))),
-    "review_selection": f"WITH {_S}, b AS (SELECT doc_id, CASE WHEN suspicious THEN 'suspicious' WHEN redundancy >= 0.55 THEN 'redundant' WHEN contradiction <> '' THEN 'contradiction' WHEN exemplar THEN 'exemplar' END bucket FROM s) SELECT doc_id, bucket FROM b WHERE bucket IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY doc_id) <= CASE bucket WHEN 'contradiction' THEN 6 WHEN 'exemplar' THEN 4 ELSE 8 END",
     "refine_priority": f"WITH {_S} SELECT doc_id, CASE WHEN n_models <= 1 AND source = 'src0' THEN (['critical', 'high', 'medium', 'normal'])[greatest({_R}, 1)] ELSE priority END priority FROM s",
     "regex_checks": f"WITH {_V} SELECT * FROM v",
     "cache_miss_split": "SELECT doc_id, sha256(coalesce(text, '')) IN (SELECT sha256(coalesce(text, '')) FROM benchmark) hit FROM documents",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..sources.tables import table, written
+from ..sources.tables import spread, table, written
 
 METRICS = ("n_chars", "n_words", "n_lines")
 
@@ -17,7 +17,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def q_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_lines", "size_band", "line_band")
+    return features(spread(table(spark, sf_dir, "documents"), "doc_id")).select("doc_id", "n_words", "n_lines", "size_band", "line_band")
 
 
 def summary(name: str, value: Column) -> list[Column]:
@@ -26,7 +26,7 @@ def summary(name: str, value: Column) -> list[Column]:
 
 
 def q_numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features(table(spark, sf_dir, "documents"))
+    rows = features(spread(table(spark, sf_dir, "documents"), "doc_id"))
     one = rows.agg(*(c for m in METRICS for c in summary(m, F.col(m).cast("double"))))
     parts = [one.select(F.lit(m).alias("metric"), F.col(f"{m}_n").alias("n"), F.col(f"{m}_mean").alias("mean"), F.col(f"{m}_min").alias("least"), F.col(f"{m}_max").alias("most"), *(F.round(F.col(f"{m}_q")[i], 4).alias(q) for i, q in enumerate(("q1", "median", "q3")))) for m in METRICS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -54,7 +54,7 @@ def flagged(rows: DataFrame) -> DataFrame:
 
 
 def q_iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagged(features(table(spark, sf_dir, "documents"))).where("flags <> ''").select("doc_id", "flags")
+    return flagged(features(spread(table(spark, sf_dir, "documents"), "doc_id"))).where("flags <> ''").select("doc_id", "flags")
 
 
 def q_outlier_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def pearson(a: str, b: str) -> Column:
 
 
 def q_pearson_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id").withColumns({m: F.col(m).cast("double") for m in METRICS})
+    rows = features(spread(table(spark, sf_dir, "documents"), "doc_id")).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id").withColumns({m: F.col(m).cast("double") for m in METRICS})
     return rows.agg(*(F.round(pearson(m, "quality"), 4).alias(f"{m}_r") for m in METRICS))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ladders, rules, scalars
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import audit, outcomes
 
 #: Totals over the samples, and what they show; ANSI SQL, also used as such.
@@ -125,13 +125,13 @@ def q_comparison_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_imperfect_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each check that a document does not pass, as (document, check, verdict)."""
-    rows = audit.verdicts(table(spark, sf_dir, "documents"))
+    rows = audit.verdicts(spread(table(spark, sf_dir, "documents"), "doc_id"))
     names = list(audit.CHECKS)
     return rows.unpivot(["doc_id"], names, "check", "verdict").where("verdict IN ('FAIL', 'PARTIAL', 'UNCLEAR')").select("doc_id", "check", "verdict")
 
 
 def q_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.verdicts(table(spark, sf_dir, "documents")).unpivot([], list(audit.CHECKS), "check", "verdict").groupBy("check", "verdict").agg(F.count("*").alias("n"))
+    return audit.verdicts(spread(table(spark, sf_dir, "documents"), "doc_id")).unpivot([], list(audit.CHECKS), "check", "verdict").groupBy("check", "verdict").agg(F.count("*").alias("n"))
 
 
 def q_text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,35 +15,40 @@ from . import audit
 
 QUOTAS = {"contradiction": 8, "disagreement": 8, "redundancy": 6, "baseline": 4}
 MOST = 30
+#: Of the query ``review_selection``.
+SMALLER, SMALLER_MOST = {"contradiction": 6, "disagreement": 5, "redundancy": 7, "baseline": 4}, 20
 SHOWN = 8
 #: Columns of reviews and the older names that fill them.
 OLDER = {"BenchmarkTrustCheck": "GroundTruthValidity", "Notes-BenchmarkTrustCheck": "Notes-GroundTruthValidity", "DefectType": "ErrorType", "SummaryConfidence": "ReviewConfidence"}
 
 
 def select_review(rows: DataFrame, quotas: dict[str, int] | None = None, most: int = MOST) -> DataFrame:
-    """(id, bucket) of the samples to review.
+    """(id, bucket) of the samples to review, in order of bucket and id.
 
-    ``rows``: id, priority, contradictory, differs, redundant, exemplary (boolean), cluster_id, cluster_size. A bucket takes
-    the first of its order that no earlier one took; the redundant stand for their cluster by its first alone; what is left of ``most`` goes
-    by priority. Each step is a bounded sort, and what is chosen has at most ``most`` rows or the quotas' sum.
+    ``rows``: id, priority, contradictory, disagrees, varies, redundant, exemplary (boolean), cluster_id, cluster_size. A bucket takes
+    the first of its order that no earlier one took: contradictions by id; disagreements by urgency, those of models before those of attempts alone; the redundant
+    by their cluster's size, each cluster by its first alone; of normal priority exemplars before others. What is left of ``most`` goes by urgency, and a selection that
+    is larger loses what was chosen last. Each step is a bounded sort, and what is chosen has at most ``most`` rows or the quotas' sum.
     """
     quotas = QUOTAS | (quotas or {})
-    rows = rows.withColumn("rank", ladders.rank(F.col("priority")))
+    rows = written(rows.withColumn("rank", ladders.rank(F.col("priority"))), "review-rows")
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     first = F.min_by(F.struct("id", "rank"), F.struct("rank", "id"))
     per_cluster = rows.where("redundant").groupBy("cluster_id").agg(first.alias("f"), F.max("cluster_size").alias("cluster_size")).select("f.*", "cluster_size")
     pools = {
-        "contradiction": (rows.where("contradictory"), ["id"]),
-        "disagreement": (rows.where("differs"), ["rank", "id"]),
-        "redundancy": (per_cluster, [F.desc("cluster_size"), "rank", "id"]),
-        "baseline": (rows.where("exemplary"), ["rank", "id"]),
-        "backfill": (rows, ["rank", "id"]),
+        "contradiction": (rows.where("contradictory"), [F.col("id")]),
+        "disagreement": (rows.where("disagrees or varies"), [F.col("rank"), no("disagrees"), no("varies"), F.col("id")]),
+        "redundancy": (per_cluster, [F.desc("cluster_size"), F.col("rank"), F.col("id")]),
+        "baseline": (rows.where("priority = 'normal'"), [no("exemplary"), F.col("id")]),
+        "backfill": (rows, [F.col("rank"), F.col("id")]),
     }
     chosen = None
     for turn, (bucket, (pool, order)) in enumerate(pools.items()):
         left = pool if chosen is None else pool.join(F.broadcast(chosen.select("id")), "id", "left_anti")
-        one = left.orderBy(*order).limit(quotas.get(bucket, most)).select("id", F.lit(bucket).alias("bucket"), F.lit(turn).alias("turn"), "rank")
+        one = left.orderBy(*order).limit(quotas.get(bucket, most))
+        one = one.select("id", F.lit(bucket).alias("bucket"), F.lit(turn).alias("turn"), F.row_number().over(Window.partitionBy(F.lit(turn)).orderBy(*order)).alias("place"))
         chosen = written(one if chosen is None else chosen.unionByName(one), "review")
-    return chosen.orderBy("turn", "rank", "id").limit(most).select("id", "bucket")
+    return chosen.orderBy("turn", "place").limit(most).select("id", "bucket").orderBy("bucket", "id")
 
 
 def with_reviewed(selected: DataFrame, reviewed: DataFrame) -> DataFrame:
@@ -174,13 +179,26 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
 
 
+def _candidates(rows: DataFrame, cluster: Column, size: Column | str) -> DataFrame:
+    """What ``select_review`` takes, from signals; contradictions are those of their queue."""
+    queued = audit.queues(rows).where("queue = 'contradiction'").select(F.col("doc_id").alias("id"), F.lit(True).alias("contradictory"))
+    flags = {"disagrees": "disagreement NOT IN ('aligned', 'single_model')", "varies": "variance <> 'stable'", "redundant": f"redundancy >= {ladders.REDUNDANT}", "exemplary": "exemplar"}
+    rows = rows.select(F.col("doc_id").alias("id"), "priority", *(F.expr(v).alias(k) for k, v in flags.items()), cluster.alias("cluster_id"), size.alias("cluster_size"))
+    return rows.join(F.broadcast(queued), "id", "left")
+
+
 def q_review_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adapter: a source and language are a cluster, a sensitive threshold is a disagreement."""
+    """Adapter: a source and language are a cluster."""
     rows = audit.signals(spark, sf_dir)
     size = rows.groupBy("source", "lang").agg(F.count("*").alias("cluster_size")).withColumns({"s": F.col("source"), "l": F.col("lang")}).drop("source", "lang")
     rows = rows.join(size, rows["source"].eqNullSafe(size["s"]) & rows["lang"].eqNullSafe(size["l"]))
-    cluster = F.to_json(F.struct("source", "lang"))
-    return select_review(rows.select(F.col("doc_id").alias("id"), "priority", F.expr("contradiction <> '' contradictory"), F.expr("sensitivity IN ('high', 'moderate') differs"), F.expr("redundancy >= 0.55 redundant"), F.col("exemplar").alias("exemplary"), cluster.alias("cluster_id"), "cluster_size"))
+    return select_review(_candidates(rows, F.to_json(F.struct("source", "lang")), F.col("cluster_size")))
+
+
+def q_review_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adapter: each sample is a cluster of its own. Smaller quotas, and fewer in all than they sum to."""
+    rows = _candidates(audit.signals(spark, sf_dir), F.col("doc_id"), F.lit(1))
+    return select_review(rows, SMALLER, SMALLER_MOST).select(F.col("id").alias("doc_id"), "bucket")
 
 
 def q_merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,16 +220,27 @@ def q_review_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 _R = audit._R
 _L = "l AS (SELECT doc_id, max(quality) quality, max(toxic) toxic FROM labels GROUP BY 1)"
+
+
+def _selection(cluster: str, size: str, quotas: dict[str, int], most: int, shown: str) -> str:
+    taken = lambda *names: " AND doc_id NOT IN (" + " UNION ALL ".join(f"SELECT id FROM {n}" for n in names) + ")"
+    pick = lambda pool, on, order, quota: f"SELECT doc_id id, row_number() OVER (ORDER BY {order}) place FROM {pool} WHERE {on} ORDER BY {order} LIMIT {quota}"
+    other, differs = "disagreement NOT IN ('aligned', 'single_model')", "variance <> 'stable'"
+    return f"""WITH {audit._S}, r AS (SELECT *, {_R} k, {size} z FROM s),
+ qc AS (SELECT doc_id FROM r WHERE contradiction <> '' ORDER BY (contradiction <> 'high_static_low_dynamic') DESC, doc_id DESC LIMIT {audit.QUEUE}),
+ c1 AS ({pick("qc", "true", "doc_id", quotas["contradiction"])}),
+ c2 AS ({pick("r", f"({other} OR {differs})" + taken("c1"), f"k, NOT ({other}), NOT ({differs}), doc_id", quotas["disagreement"])}),
+ fc AS (SELECT * FROM r WHERE redundancy >= 0.55 QUALIFY row_number() OVER (PARTITION BY {cluster} ORDER BY k, doc_id) = 1),
+ c3 AS ({pick("fc", "true" + taken("c1", "c2"), "z DESC, k, doc_id", quotas["redundancy"])}),
+ c4 AS ({pick("r", "priority = 'normal'" + taken("c1", "c2", "c3"), "NOT exemplar, doc_id", quotas["baseline"])}),
+ c5 AS ({pick("r", "true" + taken("c1", "c2", "c3", "c4"), "k, doc_id", most)}),
+ u AS (SELECT id, place, 'contradiction' bucket, 0 t FROM c1 UNION ALL SELECT id, place, 'disagreement', 1 FROM c2 UNION ALL SELECT id, place, 'redundancy', 2 FROM c3 UNION ALL SELECT id, place, 'baseline', 3 FROM c4 UNION ALL SELECT id, place, 'backfill', 4 FROM c5)
+ SELECT {shown}, bucket FROM (SELECT * FROM u ORDER BY t, place LIMIT {most})"""
+
+
 ORACLE = {
-    "review_slice": f"""WITH {audit._S}, r AS (SELECT *, {_R} k, count(*) OVER (PARTITION BY source, lang) z FROM s),
- c1 AS (SELECT doc_id id, k FROM r WHERE contradiction <> '' ORDER BY doc_id LIMIT {QUOTAS["contradiction"]}),
- c2 AS (SELECT doc_id id, k FROM r WHERE sensitivity IN ('high', 'moderate') AND doc_id NOT IN (SELECT id FROM c1) ORDER BY k, doc_id LIMIT {QUOTAS["disagreement"]}),
- fc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY k, doc_id) i FROM r WHERE redundancy >= 0.55) WHERE i = 1),
- c3 AS (SELECT doc_id id, k FROM fc WHERE doc_id NOT IN (SELECT id FROM c1 UNION ALL SELECT id FROM c2) ORDER BY z DESC, k, doc_id LIMIT {QUOTAS["redundancy"]}),
- c4 AS (SELECT doc_id id, k FROM r WHERE exemplar AND doc_id NOT IN (SELECT id FROM c1 UNION ALL SELECT id FROM c2 UNION ALL SELECT id FROM c3) ORDER BY k, doc_id LIMIT {QUOTAS["baseline"]}),
- u AS (SELECT id, k, 'contradiction' bucket, 0 t FROM c1 UNION ALL SELECT id, k, 'disagreement', 1 FROM c2 UNION ALL SELECT id, k, 'redundancy', 2 FROM c3 UNION ALL SELECT id, k, 'baseline', 3 FROM c4),
- b AS (SELECT * FROM u UNION ALL SELECT doc_id, k, 'backfill', 4 FROM r WHERE doc_id NOT IN (SELECT id FROM u))
- SELECT id, bucket FROM b ORDER BY t, k, id LIMIT {MOST}""",
+    "review_slice": _selection("source, lang", "count(*) OVER (PARTITION BY source, lang)", QUOTAS, MOST, "id"),
+    "review_selection": _selection("doc_id", "1", SMALLER, SMALLER_MOST, "id doc_id"),
     "merged_sections": f"""WITH {_L}, x AS (SELECT coalesce(d.doc_id, vec_id) doc_id, lang, CASE WHEN vec_id IS NOT NULL THEN e.label WHEN d.doc_id IS NOT NULL THEN -1 END v FROM documents d FULL JOIN embeddings e ON vec_id = d.doc_id)
  SELECT coalesce(x.doc_id, l.doc_id) doc_id, lang, CASE WHEN l.doc_id IS NOT NULL THEN quality ELSE v END "label", toxic FROM x FULL JOIN l ON l.doc_id = x.doc_id""",
     "failure_evidence": f"""WITH t AS (SELECT l_orderkey o, CASE WHEN l_linestatus = 'F' THEN 'public' ELSE 'private' END v, l_linenumber c, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_discount > 0.05 THEN 'format' ELSE 'mismatch' END END f FROM lineitem),

@@ -2,15 +2,24 @@
 
 from datagauge.operators import review
 
-ROW = "id long, priority string, contradictory boolean, differs boolean, redundant boolean, exemplary boolean, cluster_id long, cluster_size long"
+ROW = "id long, priority string, contradictory boolean, disagrees boolean, varies boolean, redundant boolean, exemplary boolean, cluster_id long, cluster_size long"
+NO = (False,) * 5
 
 
 def test_select_review(spark):
-    rows = [(1, "normal", True, True, False, False, 1, 1), (2, "normal", True, False, False, False, 2, 1), (3, "high", False, True, True, False, 3, 2), (4, "critical", False, True, True, False, 3, 2), (5, "odd", False, False, True, True, 5, 9), (6, None, None, None, None, None, None, None), (7, "high", False, False, False, False, 7, 1)]
+    rows = [
+        (1, "normal", True, True, False, False, False, 1, 1), (2, "normal", True, False, False, False, False, 2, 1),
+        (3, "high", False, True, True, True, False, 3, 2), (4, "critical", False, False, True, True, False, 3, 2), (10, "critical", False, True, False, False, False, 10, 1),
+        (5, "odd", False, False, False, True, True, 5, 9), (6, None, None, None, None, None, None, None, None), (7, "high", *NO, 7, 1), (8, "normal", *NO, 8, 1), (9, "normal", False, False, False, False, True, 9, 1),
+    ]
     table = spark.createDataFrame(rows, ROW)
-    got = [tuple(r) for r in review.select_review(table, {"contradiction": 1, "disagreement": 1, "redundancy": 2, "baseline": 1}, 5).collect()]
-    # The first of cluster 3 is taken already, so the cluster gives none.
-    assert got == [(1, "contradiction"), (4, "disagreement"), (5, "redundancy"), (3, "backfill"), (7, "backfill")]
+    select = lambda quotas, most: [tuple(r) for r in review.select_review(table, quotas, most).collect()]
+    quotas = {"contradiction": 1, "disagreement": 2, "redundancy": 2, "baseline": 2}
+    # Models that disagree come before attempts that vary (10, 4); the first of cluster 3 is taken already, so the cluster gives none; exemplars before other
+    # normal samples (9, 2); then the most urgent of the rest.
+    assert select(quotas, 7) == [(3, "backfill"), (2, "baseline"), (9, "baseline"), (1, "contradiction"), (4, "disagreement"), (10, "disagreement"), (5, "redundancy")]
+    # A selection that is too large loses what was chosen last.
+    assert select(quotas, 5) == [(9, "baseline"), (1, "contradiction"), (4, "disagreement"), (10, "disagreement"), (5, "redundancy")]
     assert review.select_review(table.limit(0)).collect() == []
     more = review.with_reviewed(spark.createDataFrame([(1, "x")], "id long, bucket string"), spark.createDataFrame([(1,), (9,), (9,)], "id long"))
     assert sorted(map(tuple, more.collect())) == [(1, "x"), (9, "reviewed")]
