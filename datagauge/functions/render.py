@@ -137,10 +137,23 @@ def distribution_text(summary: Column) -> Column:
     return F.when(summary.isNull(), "none").otherwise(F.concat_ws(", ", *parts))
 
 
+@F.pandas_udf(StringType())
+def sorted_json(texts: pd.Series) -> pd.Series:
+    """JSON texts with the keys of every object in order; what is no JSON stays as it is."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True)
+        except (ValueError, RecursionError):
+            return text
+
+    return texts.map(one)
+
+
 def compact_json(value: Column, limit: int = 160) -> Column:
-    """A JSON text on one line, cut at ``limit``; nulls, empty texts, empty strings and empty objects give an empty text."""
+    """A JSON text on one line with keys in order, cut at ``limit``; nulls, empty texts, empty strings and empty objects give an empty text."""
     t = F.coalesce(value, F.lit(""))
-    return F.when(t.isin("", "null", '""', "{}"), "").otherwise(scalars.shortened(t, limit))
+    return F.when(t.isin("", "null", '""', "{}"), "").otherwise(scalars.shortened(sorted_json(t), limit))
 
 
 def case_label(visibility: Column, case_index: Column) -> Column:

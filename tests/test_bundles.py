@@ -182,7 +182,7 @@ def test_case_context_and_requests(spark):
     note = judge.test_notes(spark.createDataFrame(results, "Index long, target string, attempt int, visibility string, case_index int, status string, failure_type string, exception string, message string, expected string, actual string")).first()
     assert note["allowed_columns"] == ["Public_12", "Private_01"] and note["request_id"] == "stage2:1:m"
     first, second = note["evidence"].split("\n")
-    assert first.startswith("- Public_12: result=ERROR:KeyError; exception_type=KeyError; exception_message=long") and first.endswith("...") and second == '- Private_01: result=FAIL:incorrect_output; expected={"a":1}; actual=2'
+    assert first.startswith("- Public_12: result=ERROR:KeyError; exception_type=KeyError; exception_message=long") and first.endswith("...") and second == '- Private_01: result=FAIL:incorrect_output; expected={"a": 1}; actual=2'
 
 
 def test_rendering(spark):
@@ -193,6 +193,8 @@ def test_rendering(spark):
     assert [r["h"] for r in spark.createDataFrame([("x",), (None,)], "t string").select(render.markdown_html("t").alias("h")).collect()] == ["<p>x</p>", '<p class="muted">Empty</p>']
     summary = F.struct(F.lit(3).alias("count"), F.lit(1.5).alias("mean"), F.lit(2).alias("median"), F.lit(None).cast("int").alias("q1"), F.lit(3).alias("q3"))
     assert one(spark, render.distribution_text(summary)) == "count=3, mean=1.5, median=2, q1=None, q3=3"
+    assert one(spark, render.compact_json(F.lit('{"b":1, "a": {"d": "ü", "c": [2,  1]}}'))) == '{"a": {"c": [2, 1], "d": "ü"}, "b": 1}'
+    assert one(spark, render.compact_json(F.lit("{not  json"))) == "{not json"
     assert [one(spark, render.compact_json(F.lit(x))) for x in ("{}", None, '"a"', "1" * 200)] == ["", "", '"a"', "1" * 157 + "..."]
     assert [one(spark, render.case_label(F.lit(v), F.lit(i))) for v, i in (("public", 0), ("generated", 101), ("", 8))] == ["Public_01", "Generated_102", "Test_09"]
     assert [tuple(one(spark, render.case_order(F.lit(x)))) for x in ("Public_02", "Private_01", "Odd_x")] == [(0, 2), (1, 1), (9, 999)]
