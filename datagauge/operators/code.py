@@ -188,7 +188,7 @@ def label_generated(samples: DataFrame, cases: DataFrame, timeout: float = 10.0,
 
 
 def rates(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Per ``keys``: tests, rate, tests and rate by visibility, and the most frequent failure type (the first by name of equals)."""
+    """Per ``keys``: tests, rate, tests and rate by visibility, and the most frequent failure type (of equals the one seen first: public tests before private and generated ones, by their number)."""
     ok = F.col("status") == "pass"
     parts = []
     for v in ("public", "private", "generated"):
@@ -196,8 +196,9 @@ def rates(results: DataFrame, keys: list[str]) -> DataFrame:
         parts += [F.count_if(mine).alias(f"n_{v}"), F.coalesce(F.try_divide(F.count_if(mine & ok), F.count_if(mine)), F.lit(0.0)).alias(f"{v}_rate")]
     provided = F.col("visibility").isin("public", "private")
     base = results.groupBy(*keys).agg(F.count("*").alias("n_tests"), F.coalesce(F.try_divide(F.count_if(ok), F.count("*")), F.lit(0.0)).alias("rate"), F.coalesce(F.try_divide(F.count_if(ok & provided), F.count_if(provided)), F.lit(0.0)).alias("provided_rate"), *parts)
-    kinds = results.where("coalesce(failure_type, '') <> ''").groupBy(*keys, "failure_type").agg(F.count("*").alias("n"))
-    top = kinds.groupBy(*keys).agg(F.min_by("failure_type", F.struct(-F.col("n"), "failure_type")).alias("dominant"))
+    place = F.struct(F.expr("array_position(array('public', 'private', 'generated'), visibility)"), "case_index")
+    kinds = results.where("coalesce(failure_type, '') <> ''").groupBy(*keys, "failure_type").agg(F.count("*").alias("n"), F.min(place).alias("seen"))
+    top = kinds.groupBy(*keys).agg(F.min_by("failure_type", F.struct(-F.col("n"), "seen")).alias("dominant"))
     return base.join(top, keys, "left").withColumn("dominant", F.coalesce("dominant", F.lit("")))
 
 

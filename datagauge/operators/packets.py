@@ -194,7 +194,7 @@ ORACLE = {
     "test_columns": f"WITH {_LINES} SELECT \"Index\", {_LABEL} \"label\", CASE visibility WHEN 'public' THEN 0 ELSE 1 END kind, case_index + 1 \"number\", {_CELL} cell, 'sample' || \"Index\" || '_attempt1_' || visibility || '_' || case_index request_id FROM t",
     "test_note_requests": f"""WITH {_LINES}, u AS (SELECT *, {_LABEL} lb, {_CELL} ce FROM (SELECT DISTINCT * FROM t)), v AS (SELECT *, visibility = 'private' k, '- ' || lb || ': result=' || ce || CASE WHEN failure_type <> '' THEN '; failure_type=' || failure_type ELSE '' END || CASE WHEN exception <> '' THEN '; exception_type=' || exception ELSE '' END line FROM u WHERE ce <> 'PASS')
  SELECT "Index", 'stage2:' || "Index" || ':m' request_id, count(*) n, first(lb ORDER BY k, case_index, lb, line) first_column, md5(string_agg(line, chr(10) ORDER BY k, case_index, lb, line)) evidence FROM v GROUP BY 1""",
-    "candidate_failures": f"WITH {_LINES} SELECT \"Index\", failure_type, n FROM (SELECT \"Index\", failure_type, count(*) n, row_number() OVER (PARTITION BY \"Index\" ORDER BY count(*) DESC, failure_type) k FROM t WHERE case_index % 2 = 1 AND failure_type <> '' GROUP BY 1, 2) WHERE k = 1",
+    "candidate_failures": f"WITH {_LINES} SELECT \"Index\", failure_type, n FROM (SELECT \"Index\", failure_type, count(*) n, row_number() OVER (PARTITION BY \"Index\" ORDER BY count(*) DESC, min(row(visibility, case_index))) k FROM t WHERE case_index % 2 = 1 AND failure_type <> '' GROUP BY 1, 2) WHERE k = 1",
     "case_contexts": """WITH f AS (SELECT CASE WHEN l_linenumber >= 5 THEN l_suppkey ELSE l_partkey END "Index", CASE WHEN l_linenumber >= 5 THEN 'generated' WHEN l_linenumber = 4 THEN 'other' WHEN l_linestatus = 'F' THEN 'public' ELSE 'private' END visibility, count(*) n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
  SELECT "Index", visibility, 0 case_index, 'x' expected, n, coalesce(CASE WHEN visibility IN ('public', 'private') THEN p_name WHEN visibility = 'generated' THEN s_name END, '') input, CASE visibility WHEN 'public' THEN coalesce(p_brand, '') WHEN 'private' THEN coalesce(p_type, '') WHEN 'generated' THEN coalesce(s_nationkey::VARCHAR, '') ELSE 'x' END output,
  coalesce(CASE WHEN visibility IN ('public', 'private') THEN p_type WHEN visibility = 'generated' AND s_suppkey IS NOT NULL THEN 'edge' END, '') focus FROM f LEFT JOIN part ON p_partkey = "Index" LEFT JOIN supplier ON s_suppkey = "Index\"""",

@@ -124,10 +124,12 @@ def failed_attempts(tests: DataFrame) -> DataFrame:
 
 
 def dominant_failures(tests: DataFrame) -> DataFrame:
-    """(Index, failure_type, n): the most frequent kind among the models' failed tests, the first by name of equals; blanks and the ideal response's runs don't count."""
-    rows = tests.where(F.col("source").startswith("model_candidate") & (F.trim(F.coalesce("failure_type", F.lit(""))) != ""))
-    n = rows.groupBy("Index", "failure_type").agg(F.count("*").alias("n"))
-    return n.groupBy("Index").agg(F.min_by(F.struct("failure_type", "n"), F.struct(-F.col("n"), "failure_type")).alias("b")).select("Index", "b.*")
+    """(Index, failure_type, n): the most frequent kind among the models' failed tests, of equals the one seen first in the order of ``SORTS``; blanks and the ideal response's runs don't count."""
+    kind = F.trim(F.coalesce("failure_type", F.lit("")))
+    rows = tests.where(F.col("source").startswith("model_candidate")).withColumn("failure_type", kind).where("failure_type <> ''")
+    seen = F.min(F.struct(*(c for c in SORTS["tests"] if c in tests.columns)))
+    n = rows.groupBy("Index", "failure_type").agg(F.count("*").alias("n"), seen.alias("seen"))
+    return n.groupBy("Index").agg(F.min_by(F.struct("failure_type", "n"), F.struct(-F.col("n"), "seen")).alias("b")).select("Index", "b.*")
 
 
 def top_titles(samples: DataFrame, title: str, most: int = 10) -> DataFrame:
