@@ -217,7 +217,7 @@ def mix(docs: DataFrame, sources: Column, weights: tuple[int, ...] = WEIGHTS, co
     at_edge = placed.where("edge").withColumn("upto", F.sum("size").over(w))
     at_edge = at_edge.withColumn("extra", F.when(F.col("upto") - F.col("size") / 2 <= F.col("cut_left"), 1).otherwise(0)).drop("upto")
     every = placed.where("not edge").unionByName(at_edge)
-    return every.select("doc_id", "own", "pattern", F.col("m1").alias("mark"), "size", (F.col("whole") + F.col("extra")).cast("long").alias("taken_copies")), dict(held), wanted
+    return every.select("doc_id", "own", "pattern", F.col("m1").alias("mark"), "size", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long").alias("taken_copies")), dict(held), wanted
 
 
 def _first_beyond(sums: DataFrame, at: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -44,12 +45,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
-    if _scopes:
-        _scopes[-1].append(out)
+    if _scopes.get():
+        _scopes.get()[-1].append(out)
     return out
 
 
-_scopes: list[list[DataFrame]] = []
+#: Open scopes of the running thread, the innermost last.
+_scopes: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 @contextlib.contextmanager
@@ -57,14 +59,15 @@ def scope():
     """Deletes what is materialized inside when it ends, but for the tables given to the function that it yields."""
     made: list[DataFrame] = []
     kept: list[DataFrame] = []
-    _scopes.append(made)
+    outer = _scopes.get()
+    _scopes.set((*outer, made))
     try:
         yield lambda df: kept.append(df) or df
     finally:
-        _scopes.pop()
+        _scopes.set(outer)
         drop(*(df for df in made if not any(df is k for k in kept)))
-        if _scopes:
-            _scopes[-1].extend(kept)
+        if outer:
+            outer[-1].extend(kept)
 
 
 def drop(*written: DataFrame) -> None:

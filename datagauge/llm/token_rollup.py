@@ -53,14 +53,14 @@ class TokenRollup:
         covered = self._covered()
         return fs.exists(at) or (covered is not None and not covered.where(F.col("batch") == batch_id).isEmpty())
 
-    def _covered(self) -> DataFrame | None:
+    def _covered(self, snapshots: list[str] | None = None) -> DataFrame | None:
         """Ids of the batches in the latest snapshot: as many as were ever committed, so they stay a table."""
-        snapshots = self._folders("snapshot")
+        snapshots = self._folders("snapshot") if snapshots is None else snapshots
         return self.spark.read.schema("batch string").parquet(f"{self.root}/snapshot/{snapshots[-1]}/covered") if snapshots else None
 
-    def _new(self) -> list[str]:
+    def _new(self, snapshots: list[str] | None = None, listed: list[str] | None = None) -> list[str]:
         """Ids of the deltas since the latest snapshot (and of a few before, until ``compact`` deletes them)."""
-        folders, covered = self._folders("delta"), self._covered()
+        folders, covered = self._folders("delta") if listed is None else listed, self._covered(snapshots)
         if covered is None or not folders:
             return folders
         names = self.spark.createDataFrame([(b,) for b in folders], "batch string")
@@ -96,24 +96,31 @@ class TokenRollup:
             return False
         return True
 
-    def _deltas(self) -> DataFrame:
-        snapshots = self._folders("snapshot")
-        paths = [f"{self.root}/delta/{b}" for b in self._new()]
-        paths += [f"{self.root}/snapshot/{snapshots[-1]}/totals"] if snapshots else []
-        return self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-
     def totals(self) -> DataFrame:
         """n_docs and n_tokens of every (source, lang, tokenizer) that has any."""
-        return self._deltas().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        snapshots = self._folders("snapshot")
+        return self._totals(snapshots, self._new(snapshots))
+
+    def _totals(self, snapshots: list[str], new: list[str]) -> DataFrame:
+        """The last of ``snapshots`` and the deltas ``new``, summed."""
+        paths = [f"{self.root}/delta/{b}" for b in new] + [f"{self.root}/snapshot/{s}/totals" for s in snapshots[-1:]]
+        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Writes a snapshot of the totals with the ids it covers, and deletes the deltas that the snapshot before covered; batches committed meanwhile stay deltas."""
-        new, covered, staged = self._new(), self._covered(), f"{self.root}/staging/{uuid.uuid4().hex}"
-        old = sorted(set(self._folders("delta")) - set(new))
-        self.totals().write.parquet(f"{staged}/totals")
+        """Writes a snapshot of the totals with the ids it covers, and deletes the deltas that the snapshot before covered.
+
+        Snapshots and deltas are listed once: a batch committed meanwhile is in neither the totals nor the ids and stays a delta, and of two
+        that compact at once, the second finds its number taken and changes nothing.
+        """
+        snapshots = self._folders("snapshot")
+        listed = self._folders("delta")
+        new, covered, staged = self._new(snapshots, listed), self._covered(snapshots), f"{self.root}/staging/{uuid.uuid4().hex}"
+        old = sorted(set(listed) - set(new))
+        self._totals(snapshots, new).write.parquet(f"{staged}/totals")
         ids = self.spark.createDataFrame([(b,) for b in new], "batch string")
         (ids if covered is None else ids.unionByName(covered)).write.parquet(f"{staged}/covered")
-        if self._publish(staged, "snapshot", f"{len(self._folders('snapshot')):08d}"):
+        if self._publish(staged, "snapshot", f"{len(snapshots):08d}"):
             for b in old:
                 fs, at = store.filesystem(self.spark, f"{self.root}/delta/{b}")
                 fs.delete(at, True)
