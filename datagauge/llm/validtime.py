@@ -291,7 +291,9 @@ class Enrichment:
 
     def start(self) -> None:
         """Runs the two stages over what is new, on the checkpoint, and ends."""
-        with _settings(self.spark):
+        # A partition beyond the number of pieces would load and commit two empty stores.
+        partitions = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.pieces)
+        with _settings(self.spark, {**SETTINGS, "spark.sql.shuffle.partitions": str(partitions)}):
             sales, changes = (self.spark.readStream.schema(ROW).parquet(f"{self.root}/feed/{n}") for n in ("sales", "changes"))
             released = sales.groupBy("piece").transformWithStateInPandas(Gate(), ROW, "append", "none")
             answers = released.unionByName(changes).groupBy("piece").transformWithStateInPandas(Versions(), ANSWER, "append", "none")
@@ -312,9 +314,9 @@ class Enrichment:
 
 
 @contextlib.contextmanager
-def _settings(spark: SparkSession):
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    for k, v in SETTINGS.items():
+def _settings(spark: SparkSession, settings: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield

@@ -109,6 +109,6 @@ def test_empty_tables_and_an_empty_first_batch(spark, monkeypatch):
 
 def test_settings_are_given_back(spark):
     before = {k: spark.conf.get(k, None) for k in validtime.SETTINGS}
-    with validtime._settings(spark):
+    with validtime._settings(spark, validtime.SETTINGS):
         assert all(spark.conf.get(k) == v for k, v in validtime.SETTINGS.items())
     assert {k: spark.conf.get(k, None) for k in validtime.SETTINGS} == before
