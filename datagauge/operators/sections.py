@@ -187,6 +187,14 @@ _V = "sv AS (SELECT doc_id, run_passed || '/' || run_total runtime, " + ", ".joi
 _U = _V + ", su AS (UNPIVOT sv ON COLUMNS(* EXCLUDE (doc_id, runtime)) INTO NAME \"check\" VALUE verdict), sx AS (SELECT *, CASE verdict WHEN 'PASS' THEN 1.0 WHEN 'PARTIAL' THEN 0.5 WHEN 'UNCLEAR' THEN 0.25 WHEN 'FAIL' THEN 0.0 END v, verdict IN ('FAIL', 'PARTIAL', 'UNCLEAR') bad FROM su)"
 _SCORED = f"""{_U}, sc AS (SELECT doc_id, coalesce(round(avg(v), 4), 0.0) score, {", ".join(f"round(avg(v) FILTER (starts_with(\"check\", '{s}')), 4) section_{s}" for s in SECTIONS)},
  count(*) FILTER (verdict = 'FAIL' AND (starts_with("check", '3.') OR starts_with("check", '4_') OR starts_with("check", '6.'))) critical_fails, {", ".join(f"count(*) FILTER (verdict = '{v}') n_{v.lower()}" for v in VERDICTS)} FROM sx GROUP BY 1)"""
+#: Every relationship, beside the samples' ladders (s).
+RELATED = f"""WITH {audit._S}, {_SCORED}, j AS (SELECT sc.doc_id, rate, suspicious::INT hot, sc.score stage, critical_fails critical, {", ".join(f"coalesce(section_{s}, 0) section_{s}" for s in SECTIONS)} FROM sc JOIN s ON s.doc_id = sc.doc_id),
+ tt AS (SELECT count(*) tn, sum(rate) tr, sum(hot) ts, avg(rate) ar, avg(hot) ah FROM j), ee AS (SELECT "check" signal, count(*) n, sum(rate) r, sum(hot) h FROM sx JOIN j ON j.doc_id = sx.doc_id WHERE bad GROUP BY 1),
+ ff AS (SELECT signal, 'failing_check' kind, n, n / tn share, r / n mean_rate, h / n suspicious_rate, r / n - (tr - r) / (tn - n) delta, h / n - (ts - h) / (tn - n) lift FROM ee, tt WHERE tn >= 10 AND n >= greatest(5, ceil(0.03 * tn)) AND tn > n
+ UNION ALL """ + " UNION ALL ".join(f"SELECT '{c}', 'section_score', tn, 1.0, ar, ah, CASE WHEN rv = 0 THEN 0 ELSE corr_r END, CASE WHEN hv = 0 THEN 0 ELSE corr_h END FROM tt, (SELECT var_pop({c}) v, var_pop(rate) rv, var_pop(hot) hv, corr({c}, rate) corr_r, corr({c}, hot) corr_h FROM j) WHERE v > 0 AND tn >= 10" for c in [*(f"section_{s}" for s in SECTIONS), "stage", "critical"]) + """),
+ gg AS (SELECT *, round((abs(delta) + 0.5 * abs(lift)) * greatest(share, 0.05) + 1e-9, 4) strength FROM ff),
+ related AS (SELECT signal, kind, n, round(share + 1e-9, 4) share, round(mean_rate + 1e-9, 4) mean_rate, round(suspicious_rate + 1e-9, 4) suspicious_rate, round(delta + 1e-9, 4) delta, round(lift + 1e-9, 4) lift, strength, CASE WHEN kind = 'section_score' OR n >= 20 OR share >= 0.15 THEN 'broad' WHEN n >= 10 OR share >= 0.08 THEN 'moderate' ELSE 'narrow' END reliability
+ FROM gg)"""
 ORACLE = {
     "sample_verdicts": f'WITH {_U} SELECT doc_id, "check", verdict FROM su',
     "verdict_scores": f"WITH {_SCORED} SELECT * FROM sc",
@@ -201,11 +209,5 @@ ORACLE = {
  CASE WHEN "3.3_json_encoded" = 'FAIL' OR "3.3_string_fields" = 'FAIL' OR "6.2_no_extra_parameters" = 'FAIL' OR (al AND de) OR ("4_cross_verified_dry_run" = 'FAIL' AND al) OR ("3.3_json_escaping_valid" = 'FAIL' AND ("3.3_input_json_object" = 'FAIL' OR "3.3_output_json_object" = 'FAIL')) THEN 'Unusable' WHEN tb THEN 'Needs Fixing' ELSE 'Usable' END tests FROM ug""",
     "failing_checks": f"""WITH {_U}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, bad ORDER BY "check") i FROM sx)
  SELECT doc_id, coalesce(string_agg("check", '; ' ORDER BY "check") FILTER (bad AND i <= 8), '') first_checks, count(*) FILTER (bad) n, {", ".join(f"count(*) FILTER (verdict = '{v}' AND (starts_with(\"check\", '1.') OR starts_with(\"check\", '7_'))) prompt_{v.lower()}" for v in IMPERFECT)} FROM k GROUP BY 1""",
-    "check_relationships": f"""WITH {audit._S}, {_SCORED}, j AS (SELECT sc.doc_id, rate, suspicious::INT hot, sc.score stage, critical_fails critical, {", ".join(f"coalesce(section_{s}, 0) section_{s}" for s in SECTIONS)} FROM sc JOIN s ON s.doc_id = sc.doc_id),
- tt AS (SELECT count(*) tn, sum(rate) tr, sum(hot) ts, avg(rate) ar, avg(hot) ah FROM j), ee AS (SELECT "check" signal, count(*) n, sum(rate) r, sum(hot) h FROM sx JOIN j ON j.doc_id = sx.doc_id WHERE bad GROUP BY 1),
- ff AS (SELECT signal, 'failing_check' kind, n, n / tn share, r / n mean_rate, h / n suspicious_rate, r / n - (tr - r) / (tn - n) delta, h / n - (ts - h) / (tn - n) lift FROM ee, tt WHERE tn >= 10 AND n >= greatest(5, ceil(0.03 * tn)) AND tn > n
- UNION ALL """ + " UNION ALL ".join(f"SELECT '{c}', 'section_score', tn, 1.0, ar, ah, CASE WHEN rv = 0 THEN 0 ELSE corr_r END, CASE WHEN hv = 0 THEN 0 ELSE corr_h END FROM tt, (SELECT var_pop({c}) v, var_pop(rate) rv, var_pop(hot) hv, corr({c}, rate) corr_r, corr({c}, hot) corr_h FROM j) WHERE v > 0 AND tn >= 10" for c in [*(f"section_{s}" for s in SECTIONS), "stage", "critical"]) + """),
- gg AS (SELECT *, round((abs(delta) + 0.5 * abs(lift)) * greatest(share, 0.05) + 1e-9, 4) strength FROM ff)
- SELECT signal, kind, n, round(share + 1e-9, 4) share, round(mean_rate + 1e-9, 4) mean_rate, round(suspicious_rate + 1e-9, 4) suspicious_rate, round(delta + 1e-9, 4) delta, round(lift + 1e-9, 4) lift, strength, CASE WHEN kind = 'section_score' OR n >= 20 OR share >= 0.15 THEN 'broad' WHEN n >= 10 OR share >= 0.08 THEN 'moderate' ELSE 'narrow' END reliability
- FROM gg ORDER BY strength DESC, n DESC, signal LIMIT 20""",
+    "check_relationships": f"{RELATED} SELECT * FROM related ORDER BY strength DESC, n DESC, signal LIMIT 20",
 }
