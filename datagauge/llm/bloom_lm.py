@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -360,6 +361,11 @@ def log_probabilities(filter_: Filter | Answers, order: int, unknown: float, mas
     return np.log10(p)
 
 
+def in_order(table: pa.Table, by: list[str]) -> pa.Table:
+    """Rows in the order of their content, so that a repeated task numbers them alike; equal rows stand for one another."""
+    return table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in by]))
+
+
 def score(docs: DataFrame, model: BloomModel, keep: list[str]) -> DataFrame:
     """The columns ``keep``, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
     spark = docs.sparkSession
@@ -418,7 +424,7 @@ def score(docs: DataFrame, model: BloomModel, keep: list[str]) -> DataFrame:
         def answered(table: pa.Table, got: pa.Table) -> pa.Table:
             cells = got.sort_by("part")["levels"].to_pylist()
             answers = Answers(_distinct(table.to_batches(), order), [np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, (c[o] for c in cells))), np.uint8) for o in range(order)])
-            return pa.Table.from_batches(scored(table.to_batches(), answers, table["chunk"][0].as_py() << 32))
+            return pa.Table.from_batches(scored(in_order(table, [*keep, "__text"]).to_batches(), answers, table["chunk"][0].as_py() << 32))
 
         rows = dealt.groupBy("chunk").cogroup(read.groupBy("chunk")).applyInArrow(answered, schema)
     joined = rows.join(model.counted(1, least), "key", "left")

@@ -1,7 +1,8 @@
 """Counterfactually regularised toxicity classifier.
 
 A text's features are the hashed letter runs (A-Z as a-z) and their first 4, 5 and 6 bytes, each present or not, and again whether it
-is there at least as often as each of ``TIMES``. A logistic model is fitted on a bounded sample of labelled documents (``LABELLED`` at most). For every such document
+is there at least as often as each of ``TIMES``. A logistic model is fitted on a bounded sample of labelled ids (about ``LABELLED`` at most, a row each: of an id on several rows the text whose
+hash is smallest). For every such document
 that names an identity group, every term is swapped in turn for each other one of its line, and the loss holds ``FAIRNESS`` times
 the squared change of the logit, averaged over a document's swaps, so that the mere naming of a group does not move the score.
 
@@ -175,7 +176,9 @@ class ToxicityModel:
         """``labels``: doc_id and toxic; ``docs``: doc_id and text."""
         known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         sample = vectors.bounded(known, "doc_id", labelled)
-        rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
+        # A row an id, however many rows repeat it: the bound of ids is one of rows.
+        first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+        rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), first.alias("text")).select("toxic", "text")
         # At most about ``labelled`` texts: few tasks, so that few count vectors are summed.
         rows = store.materialize(rows, "toxicity-labelled").coalesce(TASKS)
         n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}

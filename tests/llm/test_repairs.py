@@ -1,10 +1,13 @@
-"""A commit within a compaction, two compactions at once, empty texts of a repeated source, scopes of two threads."""
+"""A commit within a compaction, two compactions at once, empty texts of a repeated source, scopes of two threads, repeated labelled ids, the order of numbered rows."""
 
+import random
 import threading
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from datagauge.llm import mixing, store, token_rollup
+from datagauge.llm import bloom_lm, mixing, store, token_rollup, toxicity
 
 CHANGES = "source string, lang string, tokenizer string, sign int, n_tokens long"
 
@@ -75,3 +78,21 @@ def test_scopes_of_threads(spark):
     ended.set()
     t.join()
     assert counts == [5]
+
+
+def test_a_labelled_id_on_many_rows_is_fitted_once(spark):
+    rows = [(i, f"vile rotten word{i}" if i % 2 else f"kind gentle word{i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    once = toxicity.ToxicityModel.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    again = toxicity.ToxicityModel.fit(spark.createDataFrame(rows + [rows[3]] * 200 + [rows[4]] * 90 + [(None, "kind"), (77, "vile")], "doc_id long, text string"), labels)
+    assert np.allclose(once.weights, again.weights) and abs(once.bias - again.bias) < 1e-9 and np.abs(once.weights).max() > 0
+
+
+def test_numbered_rows_are_in_the_order_of_their_content():
+    rows = [(1, True, "b"), (1, False, "b"), (None, None, None), (None, None, "a"), (2, True, ""), (2, True, ""), (1, True, None)]
+    seen = set()
+    for seed in range(6):
+        random.Random(seed).shuffle(rows)
+        table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "held_out": pa.array([r[1] for r in rows], pa.bool_()), "__text": pa.array([r[2] for r in rows], pa.string())})
+        seen.add(repr(bloom_lm.in_order(table, ["doc_id", "held_out", "__text"]).to_pylist()))
+    assert len(seen) == 1
