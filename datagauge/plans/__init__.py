@@ -1,8 +1,8 @@
 """All queries on the shared tables."""
 
 from ..operators import audit, checks, code, outcomes, packets, pairs, profile, reports, review, sections, similarity
-from ..streaming import rollup
+from ..streaming import resumable, rollup
 
-_PARTS = (outcomes, profile, similarity, pairs, audit, sections, reports, review, checks, code, packets, rollup)
+_PARTS = (outcomes, profile, similarity, pairs, audit, sections, reports, review, checks, code, packets, rollup, resumable)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}

@@ -44,15 +44,20 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(2 * cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Rows read back from the folder that the cluster names for checkpoints; a temporary one in local mode where it names none."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the folder that the cluster names for checkpoints; a temporary one in local mode where it names none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="datagauge-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/datagauge/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/datagauge/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Rows read back from a new folder of ``scratch``."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,12 @@ def stream(spark: SparkSession, path: str, schema, late: str = "10 minutes") ->
 
 def merge(total: DataFrame, batch: DataFrame) -> DataFrame:
     """Adds a batch's rollup to a total: sums are additive, so batches may come in any order."""
-    return total.unionByName(batch).groupBy("hour", "event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
+    return combined(total.unionByName(batch))
+
+
+def combined(parts: DataFrame) -> DataFrame:
+    """One rollup of the rows of several."""
+    return parts.groupBy("hour", "event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
 def q_incremental_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
