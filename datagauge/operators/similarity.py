@@ -1,33 +1,84 @@
 """Similar texts: candidate pairs by a prefix filter, exact similarity, clusters; overlap with another corpus.
 
-A pair with Jaccard t or more shares a gram among the n - ceil(t n) + 1 rarest of either set, so joining on these loses nothing. Grams
-are joined as hashes. Equal texts stand for one another: a group of copies gives a pair of each copy with its first row, and the pairs of that row stand for theirs.
+A pair with Jaccard t or more shares a gram among the n - ceil(t n) + 1 rarest of either set (of the smaller one fewer do), so joining on these loses nothing.
+Both prefixes are longer by a part ``EXTRA`` of the set: what a pair shares beyond them is bounded by their lengths, so it has to share as many grams
+within them as that bound falls short of what it needs, and few pairs that are not similar do. Sets are joined within classes of size, which also
+splits common grams. None of this loses a pair. Grams are joined as hashes.
+Equal texts stand for one another: a group of copies gives a pair of each copy with its first row, and the pairs of that row stand for theirs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.tables import table, written
+from ..sources.tables import spread, table, written
 
 LEAST = 0.55
 #: Counters that order grams by how often they occur.
 COUNTERS = 1 << 20
+#: By which part of a set its prefix is longer than one shared gram needs.
+EXTRA = 0.05
+#: Code points that the kernel takes at once (a longer text alone).
+RANGE = 1 << 21
+#: A code point that no text holds.
+_NONE = np.uint64((1 << 21) - 1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits."""
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def window_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the windows of five characters of each text, and how many each has; of a shorter text one window, of an empty one none."""
+    size = np.array([len(t) for t in texts], np.int64)
+    room = np.where(size > 0, np.maximum(size, 5), 0)
+    c = np.full(int(room.sum()), _NONE, np.uint64)
+    begin = np.cumsum(room) - room
+    at = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+    c[at] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    n = np.maximum(room - 4, 0)
+    own = np.repeat(np.arange(len(texts)), n)
+    i = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+    first = c[i] | c[i + 1] << np.uint64(21) | c[i + 2] << np.uint64(42)
+    h = _mixed(_mixed(first) ^ (c[i + 3] | c[i + 4] << np.uint64(21)))
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    return h[new].view(np.int64), np.bincount(own[new], minlength=len(texts))
+
+
+def _grams(batches):
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        ends = np.cumsum([len(t) for t in texts])
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + RANGE, "right")))
+            h, n = window_hashes(texts[low:high])
+            part = batch.slice(low, high - low)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(h))], names=["doc_id", "copies", "grams"])
+            low = high
 
 
 def gram_sets(docs: DataFrame) -> DataFrame:
-    """id, its 5-gram hashes, and the id of the first row with the same normalised text."""
-    rows = docs.select("doc_id", text.normalise(F.coalesce("text", F.lit(""))).alias("t"))
-    first = rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    return first.select("doc_id", "copies", F.array_distinct(F.transform(text.ngrams(F.col("t")), lambda g: F.xxhash64(g))).alias("grams")).where(F.size("grams") > 0)
+    """id, copies, and the 5-gram hashes of the first row of each normalised text that is not empty."""
+    rows = spread(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), text.normalise(F.coalesce("text", F.lit(""))).alias("t")).where("t <> ''")
+    first = written(rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "texts")
+    return spread(first, "doc_id").select("doc_id", "copies", "t").mapInArrow(_grams, "doc_id long, copies long, grams array<bigint>")
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(doc_id, n, g): of each set the n - ceil(least n) + 1 grams that are rarest, without those that occur once.
+    """(doc_id, n, g, at): of each set the n - ceil(least n) + 1 + ceil(EXTRA n) grams that are rarest, without those that occur once, and their places among all.
 
     Any order that all sets share is exact; here it goes by the counts of ``COUNTERS`` hashed counters, whose size no input changes, then by the gram.
     """
@@ -44,25 +95,40 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
             w = shared.value[g & (COUNTERS - 1)]
             order = np.lexsort((g, w, own))
             place = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
-            kept = order[(place < np.repeat(n - np.ceil(least * n).astype(np.int64) + 1, n)) & (w[order] > 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[kept])), pa.array(n[own[kept]].astype(np.int32)), pa.array(g[kept])], names=["doc_id", "n", "g"])
+            long = n - np.ceil(least * n).astype(np.int64) + 1 + np.ceil(EXTRA * n).astype(np.int64)
+            on = np.flatnonzero((place < np.repeat(long, n)) & (w[order] > 1))
+            kept = order[on]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[kept])), pa.array(n[own[kept]].astype(np.int32)), pa.array(g[kept]), pa.array(place[on].astype(np.int32))], names=["doc_id", "n", "g", "at"])
 
-    return sets.select("doc_id", "grams").mapInArrow(run, "doc_id long, n int, g long")
+    return sets.select("doc_id", "grams").mapInArrow(run, "doc_id long, n int, g long, at int")
 
 
 def similar(sets: DataFrame, least: float = LEAST) -> DataFrame:
     """(left, right, similarity): all pairs of ``sets`` (doc_id, grams: distinct hashes) with Jaccard of at least ``least``."""
     sets = written(sets, "grams")
-    prefix = written(_prefixes(sets, least), "prefixes")
-    a, b = prefix.toDF("left", "ln", "g"), prefix.toDF("right", "rn", "g")
-    pairs = a.join(b, "g").where((F.col("left") < F.col("right")) & (F.least("ln", "rn") >= least * F.greatest("ln", "rn"))).select("left", "right").distinct()
+    prefix = spread(written(_prefixes(sets, least), "prefixes"), "g")
+    # Two sets as similar as that differ in size by less than a class: the smaller one meets its own class and the next.
+    size_class = F.floor(F.log("n") / (1e-9 - math.log(least))).cast("int")
+    share = least / (1 + least)
+    rows = prefix.withColumn("k", size_class)
+    extra = lambda n: F.ceil(F.lit(EXTRA) * F.col(n)) + 1
+    small_prefix = lambda n: F.floor(F.col(n) * (1 - 2 * share) + 1e-6) + extra(n)
+    a = rows.where(F.col("at") < small_prefix("n")).select("doc_id", "n", "g", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k")).toDF("small", "sn", "g", "k")
+    b = rows.select("doc_id", "n", "g", "k").toDF("large", "bn", "g", "k")
+    ordered = (F.col("small") != F.col("large")) & ((F.col("sn") < F.col("bn")) | ((F.col("sn") == F.col("bn")) & (F.col("small") < F.col("large"))))
+    matches = a.join(b, ["g", "k"]).where(ordered & (F.col("sn") >= least * F.col("bn")))
+    found = matches.groupBy("small", "large", "sn", "bn").agg(F.count("*").alias("c"))
+    # What a pair can share beyond the prefixes, and what it has to share at all, less a little for rounding.
+    beyond = F.greatest(F.col("sn") - small_prefix("sn"), F.ceil(F.lit(least) * F.col("bn")) - extra("bn"))
+    pairs = found.where(F.col("c") + beyond >= (F.col("sn") + F.col("bn")) * share - 1e-6).select(F.least("small", "large").alias("left"), F.greatest("small", "large").alias("right")).distinct()
     joined = pairs.join(sets.select(F.col("doc_id").alias("left"), F.col("grams").alias("lg")), "left").join(sets.select(F.col("doc_id").alias("right"), F.col("grams").alias("rg")), "right")
     return joined.select("left", "right", text.jaccard(F.col("lg"), F.col("rg")).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """(left, right): the first row of each normalised text that is not empty, with every other row that holds it."""
-    rows = docs.select("doc_id", F.sha2(text.normalise("text"), 256).alias("t")).where(text.normalise("text") != "")
+    # Written, so that each text is normalised once.
+    rows = written(spread(docs, "doc_id").select("doc_id", F.sha2(text.normalise("text"), 256).alias("t")), "hashes").where(F.col("t") != F.sha2(F.lit(""), 256))
     first = rows.groupBy("t").agg(F.min("doc_id").alias("left"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(first, "t").where("doc_id <> left").select("left", F.col("doc_id").alias("right"))
 
