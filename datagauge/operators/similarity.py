@@ -108,7 +108,7 @@ def similar(sets: DataFrame, least: float = LEAST) -> DataFrame:
     sets = written(sets, "grams")
     prefix = spread(written(_prefixes(sets, least), "prefixes"), "g")
     # Two sets as similar as that differ in size by less than a class: the smaller one meets its own class and the next.
-    size_class = F.floor(F.log("n") / (1e-9 - math.log(least))).cast("int")
+    size_class = F.floor(F.log("n") / (1e-9 - math.log(least)))
     share = least / (1 + least)
     rows = prefix.withColumn("k", size_class)
     extra = lambda n: F.ceil(F.lit(EXTRA) * F.col(n)) + 1
@@ -119,7 +119,7 @@ def similar(sets: DataFrame, least: float = LEAST) -> DataFrame:
     matches = a.join(b, ["g", "k"]).where(ordered & (F.col("sn") >= least * F.col("bn")))
     found = matches.groupBy("small", "large", "sn", "bn").agg(F.count("*").alias("c"))
     # What a pair can share beyond the prefixes, and what it has to share at all, less a little for rounding.
-    beyond = F.greatest(F.col("sn") - small_prefix("sn"), F.ceil(F.lit(least) * F.col("bn")) - extra("bn"))
+    beyond = F.greatest(F.lit(0), F.col("sn") - small_prefix("sn"), F.ceil(F.lit(least) * F.col("bn")) - extra("bn"))
     pairs = found.where(F.col("c") + beyond >= (F.col("sn") + F.col("bn")) * share - 1e-6).select(F.least("small", "large").alias("left"), F.greatest("small", "large").alias("right")).distinct()
     joined = pairs.join(sets.select(F.col("doc_id").alias("left"), F.col("grams").alias("lg")), "left").join(sets.select(F.col("doc_id").alias("right"), F.col("grams").alias("rg")), "right")
     return joined.select("left", "right", text.jaccard(F.col("lg"), F.col("rg")).alias("similarity")).where(F.col("similarity") >= least)
