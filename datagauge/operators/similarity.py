@@ -77,14 +77,19 @@ def gram_sets(docs: DataFrame) -> DataFrame:
     return spread(first, "doc_id").select("doc_id", "copies", "t").mapInArrow(_grams, "doc_id long, copies long, grams array<bigint>")
 
 
-def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(doc_id, n, g, at): of each set the n - ceil(least n) + 1 + ceil(EXTRA n) grams that are rarest, without those that occur once, and their places among all.
-
-    Any order that all sets share is exact; here it goes by the counts of ``COUNTERS`` hashed counters, whose size no input changes, then by the gram.
-    """
+def counters(sets: DataFrame) -> np.ndarray:
+    """How often the grams of each of ``COUNTERS`` hashed counters, whose size no input changes, occur."""
     counts = sets.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(COUNTERS - 1).cast("int").alias("k")).agg(F.count("*").alias("n")).toArrow()
     weight = np.zeros(COUNTERS, np.int64)
     weight[counts["k"].to_numpy()] = counts["n"].to_numpy()
+    return weight
+
+
+def prefixes(sets: DataFrame, least: float, weight: np.ndarray, most_rare: int = 2) -> DataFrame:
+    """(doc_id, n, g, at): of each set the n - ceil(least n) + 1 + ceil(EXTRA n) grams that are rarest, without those counted fewer than ``most_rare`` times, and their places among all.
+
+    Any order that all sets share is exact; here it goes by ``weight``, then by the gram. Sets that ``weight`` did not count need ``most_rare`` = 0.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(weight)
 
     def run(batches):
@@ -96,31 +101,35 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
             order = np.lexsort((g, w, own))
             place = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
             long = n - np.ceil(least * n).astype(np.int64) + 1 + np.ceil(EXTRA * n).astype(np.int64)
-            on = np.flatnonzero((place < np.repeat(long, n)) & (w[order] > 1))
+            on = np.flatnonzero((place < np.repeat(long, n)) & (w[order] >= most_rare))
             kept = order[on]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[kept])), pa.array(n[own[kept]].astype(np.int32)), pa.array(g[kept]), pa.array(place[on].astype(np.int32))], names=["doc_id", "n", "g", "at"])
 
     return sets.select("doc_id", "grams").mapInArrow(run, "doc_id long, n int, g long, at int")
 
 
-def similar(sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """(left, right, similarity): all pairs of ``sets`` (doc_id, grams: distinct hashes) with Jaccard of at least ``least``."""
-    sets = written(sets, "grams")
-    prefix = spread(written(_prefixes(sets, least), "prefixes"), "g")
+def sharing(smaller: DataFrame, larger: DataFrame, least: float) -> DataFrame:
+    """(left, right) of the pairs, of a set of ``smaller`` and one of ``larger`` (rows of ``prefixes`` under one order), that share enough grams to reach ``least``, the set of ``smaller`` being the smaller one (of equals, the smaller id)."""
     # Two sets as similar as that differ in size by less than a class: the smaller one meets its own class and the next.
     size_class = F.floor(F.log("n") / (1e-9 - math.log(least)))
     share = least / (1 + least)
-    rows = prefix.withColumn("k", size_class)
     extra = lambda n: F.ceil(F.lit(EXTRA) * F.col(n)) + 1
     small_prefix = lambda n: F.floor(F.col(n) * (1 - 2 * share) + 1e-6) + extra(n)
-    a = rows.where(F.col("at") < small_prefix("n")).select("doc_id", "n", "g", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k")).toDF("small", "sn", "g", "k")
-    b = rows.select("doc_id", "n", "g", "k").toDF("large", "bn", "g", "k")
+    a = smaller.withColumn("k", size_class).where(F.col("at") < small_prefix("n")).select("doc_id", "n", "g", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k")).toDF("small", "sn", "g", "k")
+    b = larger.select("doc_id", "n", "g", size_class.alias("k")).toDF("large", "bn", "g", "k")
     ordered = (F.col("small") != F.col("large")) & ((F.col("sn") < F.col("bn")) | ((F.col("sn") == F.col("bn")) & (F.col("small") < F.col("large"))))
     matches = a.join(b, ["g", "k"]).where(ordered & (F.col("sn") >= least * F.col("bn")))
     found = matches.groupBy("small", "large", "sn", "bn").agg(F.count("*").alias("c"))
     # What a pair can share beyond the prefixes, and what it has to share at all, less a little for rounding.
     beyond = F.greatest(F.lit(0), F.col("sn") - small_prefix("sn"), F.ceil(F.lit(least) * F.col("bn")) - extra("bn"))
-    pairs = found.where(F.col("c") + beyond >= (F.col("sn") + F.col("bn")) * share - 1e-6).select(F.least("small", "large").alias("left"), F.greatest("small", "large").alias("right")).distinct()
+    return found.where(F.col("c") + beyond >= (F.col("sn") + F.col("bn")) * share - 1e-6).select(F.least("small", "large").alias("left"), F.greatest("small", "large").alias("right")).distinct()
+
+
+def similar(sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """(left, right, similarity): all pairs of ``sets`` (doc_id, grams: distinct hashes) with Jaccard of at least ``least``."""
+    sets = written(sets, "grams")
+    prefix = spread(written(prefixes(sets, least, counters(sets)), "prefixes"), "g")
+    pairs = sharing(prefix, prefix, least)
     joined = pairs.join(sets.select(F.col("doc_id").alias("left"), F.col("grams").alias("lg")), "left").join(sets.select(F.col("doc_id").alias("right"), F.col("grams").alias("rg")), "right")
     return joined.select("left", "right", text.jaccard(F.col("lg"), F.col("rg")).alias("similarity")).where(F.col("similarity") >= least)
 
