@@ -21,6 +21,7 @@ ADAPTER = {
     "rate": "(n_chars % 101) / 100.0",
     "generation": "CASE WHEN coalesce(text, '') = '' OR doc_id % 37 = 5 THEN 'no_code' ELSE 'ok' END",
     "probe": "CASE WHEN doc_id % 31 = 7 THEN 'error' ELSE 'ok' END",
+    "n_public": "5",
     "n_private": "CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 10 END",
     "n_generated": "CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END",
     "public": "CASE WHEN doc_id % 13 = 4 THEN 1.0 WHEN doc_id % 10 = 0 THEN 0.9 ELSE (n_chars % 101) / 100.0 END",
@@ -60,7 +61,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def laddered(rows: DataFrame) -> DataFrame:
     """``rows`` with the result of every ladder: outcome, threshold, variance, disagreement, contradiction, priority, exemplar, utility, regime, reasons."""
     c = F.col
-    rows = rows.withColumn("o", ladders.efficacy(c("generation"), c("probe"), c("rate"), c("public"), c("private"), c("generated"), F.lit(5), c("n_private"), c("n_generated"), c("oracle"), c("dominant")))
+    rows = rows.withColumn("o", ladders.efficacy(c("generation"), c("probe"), c("rate"), c("public"), c("private"), c("generated"), c("n_public"), c("n_private"), c("n_generated"), c("oracle"), c("dominant")))
     rows = rows.select("*", *(c(f"o.{n}").alias(n) for n in ("difficulty", "failure_category", "quality_signal", "efficacy", "needs_audit")), (c("o.suspicious") | c("toxic")).alias("suspicious")).drop("o")
     rows = rows.withColumns({
         "oracle": F.coalesce("oracle", F.lit(1.0)),
@@ -179,11 +180,15 @@ def q_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir).where("exemplar").select("doc_id", "score", "efficacy")
 
 
-def q_decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, c = signals(spark, sf_dir), F.col
+def decided(usable: Column) -> Column:
+    """The decision on a row of ``laddered``. ``usable``: array of the usability of prompt, ideal response and tests."""
+    c = F.col
     on = lambda cond: F.when(cond, "FLAG").otherwise("PASS")
-    found = ladders.decision(F.array(*map(F.expr, _USABLE)), c("suspicious"), c("efficacy"), c("quality_signal"), c("contradiction"), on((c("priority") == "critical") & c("defect")), on(c("redundancy") >= ladders.REDUNDANT), on(c("trivial")), on(c("exemplar")), c("priority"))
-    return rows.select("doc_id", found.alias("d")).select("doc_id", "d.*")
+    return ladders.decision(usable, c("suspicious"), c("efficacy"), c("quality_signal"), c("contradiction"), on((c("priority") == "critical") & c("defect")), on(c("redundancy") >= ladders.REDUNDANT), on(c("trivial")), on(c("exemplar")), c("priority"))
+
+
+def q_decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals(spark, sf_dir).select("doc_id", decided(F.array(*map(F.expr, _USABLE))).alias("d")).select("doc_id", "d.*")
 
 
 def queues(rows: DataFrame) -> DataFrame:
@@ -261,13 +266,14 @@ def q_json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 _GIVEN = ", ".join(f"({v}){'::DOUBLE' if k in _FLOATS else ''} {k}" for k, v in ADAPTER.items())
-#: The ladders once more, in SQL of their own.
-_S = f"""{profile._F}, {profile._O},
+#: The rows' inputs, from the tables and the adapter.
+_GIVEN_ROWS = f"""{profile._F}, {profile._O},
 s0 AS (SELECT d.*, quality, coalesce(toxic = 1, false) toxic, count(*) OVER (PARTITION BY coalesce(text, '')) copies, n_words, n_lines, flags outliers FROM documents d
  LEFT JOIN (SELECT doc_id, max(quality) quality, max(toxic) toxic FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id JOIN f ON f.doc_id = d.doc_id JOIN o ON o.doc_id = d.doc_id),
-s1 AS (SELECT doc_id, lang, source, quality, toxic, n_words, n_lines, outliers, {_GIVEN} FROM s0),
-s2 AS (SELECT *, CASE WHEN generation <> 'ok' THEN 1 WHEN probe <> 'ok' THEN 2 WHEN oracle < 1 THEN 3 WHEN public = 1 AND private = 0 AND n_private > 0 THEN 4
- WHEN n_private > 0 AND abs(public - private) >= 0.5 AND greatest(public, private) >= 0.75 THEN 5 WHEN n_generated > 0 AND public >= 0.9 AND generated <= 0.4 THEN 6 WHEN rate >= 0.95 THEN 7
+s1 AS (SELECT doc_id, lang, source, quality, toxic, n_words, n_lines, outliers, {_GIVEN} FROM s0)"""
+#: The ladders once more over s1, in SQL of their own.
+LADDERS = """s2 AS (SELECT *, CASE WHEN generation <> 'ok' THEN 1 WHEN probe <> 'ok' THEN 2 WHEN oracle < 1 THEN 3 WHEN public = 1 AND private = 0 AND n_private > 0 THEN 4
+ WHEN n_public > 0 AND n_private > 0 AND abs(public - private) >= 0.5 AND greatest(public, private) >= 0.75 THEN 5 WHEN n_generated > 0 AND public >= 0.9 AND generated <= 0.4 THEN 6 WHEN rate >= 0.95 THEN 7
  WHEN rate >= 0.25 THEN CASE WHEN dominant = 'format_mismatch' THEN CASE WHEN rate > 0.8 THEN 8 ELSE 9 END WHEN rate > 0.8 THEN 10 ELSE 11 END WHEN rate = 0 THEN 12 ELSE 13 END o FROM s1),
 s3 AS (SELECT s2.* REPLACE (coalesce(oracle, 1.0) AS oracle),
  CASE WHEN o <= 3 THEN 'unknown' WHEN o = 7 THEN 'trivial' WHEN o = 12 THEN 'extreme' ELSE 'reasonable' END difficulty,
@@ -276,7 +282,7 @@ s3 AS (SELECT s2.* REPLACE (coalesce(oracle, 1.0) AS oracle),
  CASE WHEN o <= 2 THEN 'Inconclusive' WHEN o <= 5 THEN 'Suspicious (Needs Audit)' WHEN o IN (6, 9, 11) THEN 'High Efficacy' WHEN o = 7 THEN 'Low Efficacy' ELSE 'Moderate Efficacy' END efficacy,
  o IN (3, 4, 5, 8, 9) needs_audit, o IN (3, 4, 5, 8, 9) OR toxic suspicious, CASE WHEN outliers = '' THEN 0 ELSE len(string_split(outliers, ';')) END n_outliers,
  abs(rate - 0.25::DOUBLE) d1, abs(rate - 0.8::DOUBLE) d2, abs(rate - 0.95::DOUBLE) d3,
- CASE WHEN n_attempts = 1 THEN 'stable' WHEN ok_rate < 1 OR spread >= 0.35 OR deviation >= 0.15 THEN 'volatile' WHEN spread >= 0.2 OR deviation >= 0.08 THEN 'moderate' ELSE 'stable' END variance,
+ CASE WHEN n_attempts = 0 THEN 'unknown' WHEN n_attempts = 1 THEN 'stable' WHEN ok_rate < 1 OR spread >= 0.35 OR deviation >= 0.15 THEN 'volatile' WHEN spread >= 0.2 OR deviation >= 0.08 THEN 'moderate' ELSE 'stable' END variance,
  CASE WHEN n_models = 0 THEN 'unknown' WHEN n_models = 1 THEN 'single_model' WHEN gap >= 0.45 OR n_suspicion > 1 OR (n_efficacy > 1 AND gap >= 0.25) THEN 'strong_disagreement' WHEN gap >= 0.25 OR n_efficacy > 1 OR n_signal > 1 THEN 'moderate_disagreement' ELSE 'aligned' END disagreement FROM s2),
 s4 AS (SELECT *, CASE WHEN d1 <= least(d2, d3) THEN 'high_efficacy_floor' WHEN d2 <= d3 THEN 'moderate_high_split' ELSE 'saturation_boundary' END boundary, round(least(d1, d2, d3), 4) distance,
  CASE WHEN suspicious OR efficacy = 'Inconclusive' THEN 'caveated' WHEN least(d1, d2, d3) <= 0.025 THEN 'high' WHEN least(d1, d2, d3) <= 0.05 THEN 'moderate' ELSE 'stable' END sensitivity,
@@ -291,6 +297,7 @@ s5 AS (SELECT *, CASE WHEN defect OR contradiction = 'high_static_low_dynamic' T
  concat_ws(', ', CASE WHEN redundancy >= 0.55 THEN 'redundancy' END, CASE WHEN variance <> 'stable' THEN 'attempt_variance' END, CASE WHEN disagreement NOT IN ('aligned', 'single_model') THEN 'model_disagreement' END, CASE WHEN sensitivity <> 'stable' THEN 'threshold_sensitivity' END,
  nullif(contradiction, ''), CASE WHEN defect THEN 'benchmark_defect' END, CASE WHEN trivial THEN 'triviality' END, CASE WHEN n_outliers > 0 THEN 'outlier' END) r FROM s4),
 s AS (SELECT * EXCLUDE (r), CASE WHEN r = '' THEN 'no elevated audit signal' ELSE r END reasons, CASE WHEN defect THEN 'caveated' WHEN trivial THEN 'saturated' WHEN contradiction <> '' THEN 'contradictory' WHEN exemplar THEN 'strong' ELSE 'usable' END utility FROM s5)"""
+_S = f"{_GIVEN_ROWS}, {LADDERS}"
 _V = "v AS (SELECT doc_id, " + ", ".join(f"CASE WHEN prompt IS NULL THEN 'UNCLEAR' ELSE {checks.render(n, chr(39) + 'UNCLEAR' + chr(39), duck=True)} END \"{c}\"" for c, n in CHECKS.items()) + " FROM (SELECT doc_id, text prompt, 'medium' difficulty FROM documents))"
 _R = "CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 
@@ -318,8 +325,9 @@ _DETAILED = {
     "ExemplarCheck": _FLAG.format("exemplar"),
 }
 _NOTED = "[" + ", ".join(f"CASE WHEN {on} THEN '{n}' END" for n, on in (("PromptLengthOutlier", _HELD.format("n_words")), ("StarterCodeOutlier", _HELD.format("n_lines")), ("RedundancyStatus", "redundancy >= 0.55"), ("AttemptVarianceCheck", "variance <> 'stable'"), ("ModelDisagreementCheck", "disagreement NOT IN ('aligned', 'single_model')"), ("ThresholdSensitivityCheck", "sensitivity <> 'stable'"), ("DifficultySignalRegime", "regime <> 'discriminative'"), ("ContradictionCheck", "contradiction <> ''"), ("BenchmarkDefectCandidate", "defect"), ("TrivialityCheck", "trivial"), ("ExemplarCheck", "exemplar"))) + "]"
-_DECIDED = f"""u AS (SELECT *, [{', '.join(_USABLE)}] us FROM s),
-c AS (SELECT *, CASE WHEN (priority = 'critical' AND defect) OR suspicious THEN 1 WHEN len(list_filter(us, lambda x: x = 'Unusable')) >= 2 THEN 2 WHEN redundancy >= 0.55 THEN 3 WHEN trivial THEN 4 WHEN exemplar THEN 5 WHEN list_contains(us, 'Needs Fixing') THEN 6 ELSE 7 END k FROM u)"""
+#: Which decision a row takes, by its usabilities us.
+KIND = "CASE WHEN (priority = 'critical' AND defect) OR suspicious THEN 1 WHEN len(list_filter(us, lambda x: x = 'Unusable')) >= 2 THEN 2 WHEN redundancy >= 0.55 THEN 3 WHEN trivial THEN 4 WHEN exemplar THEN 5 WHEN list_contains(us, 'Needs Fixing') THEN 6 ELSE 7 END"
+_DECIDED = f"u AS (SELECT *, [{', '.join(_USABLE)}] us FROM s), c AS (SELECT *, {KIND} k FROM u)"
 ORACLE = {
     "enriched_join": """SELECT d.doc_id, lang, coalesce(quality, -1) quality, coalesce(toxic, 0) toxic, coalesce(e.label, -1) "cluster", coalesce(length(b.text), 0) item_chars, coalesce(length(html), 0) page_chars, coalesce(turns, 0) turns FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
  LEFT JOIN embeddings e ON vec_id = d.doc_id LEFT JOIN benchmark b ON item_id = d.doc_id LEFT JOIN pages ON page_id = d.doc_id LEFT JOIN (SELECT conv_id, count(*) turns FROM conversations GROUP BY 1) ON conv_id = d.doc_id""",

@@ -57,7 +57,7 @@ def label(rows: DataFrame) -> DataFrame:
 def best_attempt(rows: DataFrame) -> DataFrame:
     """Per sample the attempt with the largest (rate, public, private), the first of equals: an aggregate, not a sort."""
     key = F.struct("rate", "public_rate", "private_rate", (-F.col("o_orderkey")).alias("first"))
-    best = F.max_by(F.struct("o_orderkey", "rate", "public_rate", "private_rate", "n_tests", "public_tests", "private_tests"), key)
+    best = F.max_by(F.struct("o_orderkey", "ok", "rate", "public_rate", "private_rate", "n_tests", "public_tests", "private_tests"), key)
     return rows.groupBy("o_custkey").agg(best.alias("b"), F.count("*").alias("n_attempts"), F.avg("rate").alias("mean_rate"), F.count_if(F.col("rate") >= 0.9999).alias("successes")).select("o_custkey", "b.*", "n_attempts", "mean_rate", "successes")
 
 
