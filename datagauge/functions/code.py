@@ -1,4 +1,4 @@
-"""The operators that need Python: typed equality, code extraction and facts about code. All are Arrow-batched."""
+"""Typed equality of JSON texts in expressions; code extraction and facts about code, which need Python, in Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import re
 import warnings
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,17 +57,30 @@ def loosely_same(expected: object, actual: object) -> bool:
     return expected == actual
 
 
-def _json(text: str | None) -> tuple[bool, object]:
-    try:
-        return True, json.loads(text)
-    except (TypeError, ValueError, RecursionError):
-        return False, None
+#: A string of JSON, or (group 2) a number outside one.
+_ATOM = r'("(?:[^"\\]|\\.)*+")|(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)'
+
 
+def typed_equal(expected: Column | str, actual: Column | str) -> Column:
+    """Whether two JSON texts hold the same typed value, as ``same`` has it; false if either is null or not JSON.
 
-@F.pandas_udf(T.BooleanType())
-def typed_equal(expected: pd.Series, actual: pd.Series) -> pd.Series:
-    """Whether two JSON texts hold the same typed value; false if either is not JSON."""
-    return pd.Series([all(x[0] for x in pair) and same(pair[0][1], pair[1][1]) for pair in zip(map(_json, expected), map(_json, actual), strict=True)], dtype=bool)
+    Both are read as VARIANT and written again, which orders the keys; then they are equal where they are the same but for their numbers, and each number
+    has its like in place. Not JSON here: NaN and Infinity, an object that repeats a key, and what exceeds the size of a VARIANT.
+    """
+    written = [F.to_json(F.try_parse_json(F.col(c) if isinstance(c, str) else c)) for c in (expected, actual)]
+    shape = [F.regexp_replace(x, _ATOM, "$1#") for x in written]
+    numbers = [F.filter(F.regexp_extract_all(x, F.lit(_ATOM), F.lit(2)), lambda n: n != "") for x in written]
+    like = F.forall(F.zip_with(*numbers, _close), lambda x: x)
+    return F.coalesce(F.when(written[0] == written[1], True).otherwise((shape[0] == shape[1]) & like), F.lit(False))
+
+
+def _close(a: Column, b: Column) -> Column:
+    """Numbers as text: whole ones exactly (beyond 38 digits, as doubles), others within a relative 1e-9 or an absolute 1e-5."""
+    x, y = a.cast("double"), b.cast("double")
+    exact = [F.when(text.rlike("^-?[0-9]{1,38}$"), text.try_cast("decimal(38,0)")).otherwise(number.try_cast("decimal(38,0)")) for text, number in ((a, x), (b, y))]
+    whole = (x == F.rint(x)) & (y == F.rint(y))
+    near = (x == y) | (F.abs(x - y) <= F.greatest(1e-9 * F.greatest(F.abs(x), F.abs(y)), F.lit(1e-5)))
+    return F.coalesce(F.when(whole, F.coalesce(exact[0] == exact[1], x == y)).otherwise(near), F.lit(False))
 
 
 def parsed(text: str) -> ast.Module | None:

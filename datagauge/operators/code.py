@@ -24,9 +24,14 @@ def q_code_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_typed_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event payloads against themselves with every number read as text: equal only where they hold no number."""
-    rows = table(spark, sf_dir, "events").select("event_id", "props", F.regexp_replace("props", r":\s*(-?[0-9.]+)", r': "$1"').alias("texts"))
-    return rows.select("event_id", code.typed_equal("props", "props").alias("same"), code.typed_equal("props", "texts").alias("same_as_text"))
+    """Event payloads against themselves, with every number as text, moved by up to 209 ten-millionths, among keys in another order, and with a null behind."""
+    rows = table(spark, sf_dir, "events").select("event_id", "props")
+    texts = F.regexp_replace("props", r":\s*(-?[0-9.]+)", r': "$1"')
+    moved = F.regexp_replace(F.col("props"), F.lit("([0-9]+)"), F.concat(F.lit("$1."), F.lpad((11 * F.pmod("event_id", F.lit(20))).cast("string"), 7, "0")))
+    ordered = [F.concat(F.lit(before), "props", F.lit(after)) for before, after in (('{"a": ', ', "b": 1}'), ('{"b":1.0,"a":', "}"))]
+    listed = [F.concat(F.lit("["), "props", F.lit(after)) for after in ("]", ",null]")]
+    same = {"same": ("props", "props"), "same_as_text": ("props", texts), "same_moved": ("props", moved), "same_ordered": ordered, "same_longer": listed}
+    return rows.select("event_id", *(code.typed_equal(*pair).alias(name) for name, pair in same.items()))
 
 
 #: What runs in a process of its own: imports the candidate and, in test mode, calls its function; the last line it prints is its result.
@@ -257,4 +262,7 @@ def parse_ks(raw: str, attempts: int) -> list[int]:
 
 
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "typed_equality": r"""SELECT event_id, coalesce(json_valid(props), false) same, coalesce(json_valid(props) AND NOT regexp_matches(props, ':\s*-?[0-9.]'), false) same_as_text,
+ coalesce(json_valid(props) AND (NOT regexp_matches(props, '[0-9]') OR 11 * (event_id % 20) <= 100), false) same_moved, coalesce(json_valid(props), false) same_ordered, false same_longer FROM events""",
+}

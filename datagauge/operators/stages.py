@@ -28,9 +28,9 @@ def static(verdicts: DataFrame) -> DataFrame:
 
 
 def dominant(tests: DataFrame) -> DataFrame:
-    """Of each attempt the commonest kind of its failed tests, of equals the one seen first: l_orderkey, dominant. ``tests``: l_orderkey, l_linenumber, kind (null: passed)."""
+    """Of each attempt the commonest kind of its failed tests, of equals the one seen first, then the last by name: l_orderkey, dominant. ``tests``: l_orderkey, l_linenumber, kind (null: passed)."""
     each = tests.where("kind IS NOT NULL").groupBy("l_orderkey", "kind").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("seen"))
-    return each.groupBy("l_orderkey").agg(F.max_by("kind", F.struct("n", (-F.col("seen")).alias("s"))).alias("dominant"))
+    return each.groupBy("l_orderkey").agg(F.max_by("kind", F.struct("n", (-F.col("seen")).alias("s"), "kind")).alias("dominant"))
 
 
 def dynamic(attempts: DataFrame, kinds: DataFrame, variance: DataFrame, models: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 _ROWS = f"""WITH RECURSIVE sc AS ({sections.ORACLE["verdict_scores"]}), us AS ({sections.ORACLE["usability"]}), va AS ({outcomes.ORACLE["attempt_variance"]}), md AS ({outcomes.ORACLE["model_disagreement"]}),
 be AS (WITH {outcomes._ATT} SELECT * FROM b), jp AS ({similarity.ORACLE["jaccard_pairs"]}), fl AS (WITH {profile._F}, {profile._O} SELECT doc_id, flags FROM o),
 dk AS (SELECT l_orderkey, CASE WHEN l_discount > 0.05 THEN 'format_mismatch' ELSE 'incorrect_output' END kind, count(*) n, min(l_linenumber) seen FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
-dm AS (SELECT l_orderkey, kind FROM dk QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, seen) = 1),
+dm AS (SELECT l_orderkey, kind FROM dk QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, seen, kind DESC) = 1),
 je AS (SELECT "left" a, "right" b, prompt_sim FROM jp UNION ALL SELECT "right", "left", prompt_sim FROM jp),
 jn AS (SELECT a, b, prompt_sim FROM je QUALIFY row_number() OVER (PARTITION BY a ORDER BY prompt_sim DESC, least(a, b), greatest(a, b)) = 1),
 jw AS (SELECT a node, b reach FROM je UNION SELECT jw.node, je.b FROM jw JOIN je ON je.a = jw.reach), jr AS (SELECT node, min(reach) root FROM jw GROUP BY 1), jc AS (SELECT node, root, count(*) OVER (PARTITION BY root) members FROM jr),

@@ -19,6 +19,35 @@ def test_typed_equality(expected, actual, equal):
     assert code.same(json.loads(expected), json.loads(actual)) is equal
 
 
+def test_typed_equality_in_expressions(spark):
+    rng = random.Random(11)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth else 7)
+        if kind == 7:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        if kind == 8:
+            return {rng.choice(["a", "b", "k#", 'q"1', "\\2"]): value(depth - 1) for _ in range(rng.randrange(3))}
+        return [None, True, False, rng.randrange(-2, 3), rng.choice([0.5, 1.0, 1e20, 2.25, 123456.75, -3e-7]), rng.choice(["", "1", '"', "\\", "#", "é\n5", "1.5"]), rng.randrange(10**17, 10**17 + 2)][kind]
+
+    def nudged(x):
+        if isinstance(x, list):
+            return [nudged(y) for y in x]
+        if isinstance(x, dict):
+            return {k: nudged(x[k]) for k in reversed(x)}
+        return x + rng.choice([0, 1e-6, 1e-3]) if isinstance(x, float) else rng.choice([x, x, x, float(x)]) if type(x) is int else rng.choice([x] * 9 + [0])
+
+    pairs = []
+    for i in range(1500):
+        x = value(3)
+        pairs.append((x, value(2) if i % 3 == 0 else nudged(x)))
+    rows = [(i, json.dumps(x, ensure_ascii=bool(i % 2)), json.dumps(y), code.same(x, y)) for i, (x, y) in enumerate(pairs)]
+    assert 300 < sum(r[3] for r in rows) < 1300
+    rows += [(-1, None, "1", False), (-2, "1", "{", False), (-3, "", "", False), (-4, "[1, 2]", "[1,2]", True), (-5, "1e2", "100", True)]
+    got = spark.createDataFrame(rows, "id long, x string, y string, want boolean").withColumn("got", code.typed_equal("x", "y"))
+    assert [r for r in got.where("NOT got <=> want").collect()] == []
+
+
 def test_numbers_and_mismatches():
     assert code.same(10**6 + 0.5, 10**6 + 0.5001) is True and code.same(1.0, 1.00002) is False and code.same(1, True) is False
     assert code.mismatch(1, "1") == code.mismatch(1, 1.0) == "format_mismatch" and code.mismatch(1, 2) == "incorrect_output"
