@@ -1,7 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
 Word uni- and bigrams are hashed to ``BUCKETS`` counters. The raw multinomial counts every document; the target
-multinomial counts every second of the documents labelled as good (by a hash of its id; of more than ``TRUSTED`` about as many, by another); the others set the threshold. A document's value is the mean over its
+multinomial counts every second of all documents labelled as good (by a hash of its id), the others set the threshold; their ids are broadcast in classes of about ``TRUSTED``, a scan for each. A document's value is the mean over its
 n-grams of log p_target / p_raw; it is kept if that reaches the threshold, which ``1 - LOSS`` of those others reach (to the width
 of a bin of their histogram, which is summed over all of them).
 
@@ -114,10 +114,17 @@ class QualityModel:
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, loss: float = LOSS) -> QualityModel:
         ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-        ids = vectors.bounded(ids, "doc_id", trusted)
-        # Broadcast, ``trusted`` ids at most: else the join would shuffle every text.
-        good = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").withColumn("half", F.xxhash64("doc_id", F.lit(11)) % 2 == 0)
-        rows = store.materialize(good, "quality-trusted")
+        classes = max(1, -(-ids.count() // trusted))
+        # Broadcast, about ``trusted`` ids at once: else the join would shuffle every text.
+        good = []
+        for k in range(classes):
+            some = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(classes)) == k)
+            one = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi")
+            one = store.materialize(one.withColumn("half", F.xxhash64("doc_id", F.lit(11)) % 2 == 0), "quality-trusted")
+            good.append(one)
+        rows = good[0]
+        for one in good[1:]:
+            rows = rows.unionByName(one)
         raw = vectors.summed(docs.select("text"), _count, BUCKETS).get("n", np.zeros(BUCKETS, np.int64))
         target = vectors.summed(rows.where("half").select("text"), _count, BUCKETS).get("n")
         if target is None:
@@ -133,7 +140,8 @@ class QualityModel:
             yield from vectors.emit({"n": total})
 
         seen = vectors.summed(rows.where("not half").select("text"), values, BINS).get("n")
-        store.drop(rows)
+        for one in good:
+            store.drop(one)
         if seen is None:
             return cls(ratio, -np.inf)
         # The lower edge of the bin that holds the value of that rank.

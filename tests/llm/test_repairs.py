@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from datagauge.llm import bloom_lm, mixing, store, token_rollup, toxicity
+from datagauge.llm import bloom_lm, mixing, quality, store, token_rollup, toxicity
 
 CHANGES = "source string, lang string, tokenizer string, sign int, n_tokens long"
 
@@ -96,3 +96,10 @@ def test_numbered_rows_are_in_the_order_of_their_content():
         table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "held_out": pa.array([r[1] for r in rows], pa.bool_()), "__text": pa.array([r[2] for r in rows], pa.string())})
         seen.add(repr(bloom_lm.in_order(table, ["doc_id", "held_out", "__text"]).to_pylist()))
     assert len(seen) == 1
+
+
+def test_quality_learns_from_all_trusted_documents(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 60))) for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    few, all_ = (quality.QualityModel.fit(docs, labels, trusted=n) for n in (4, 1000))
+    assert np.array_equal(few.ratio, all_.ratio) and few.threshold == all_.threshold
