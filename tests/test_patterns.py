@@ -3,6 +3,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from datagauge.functions import checks, patterns
 
 WORDS = ["", "a", "Input", "inputs", "OUTPUT", "constraint", "Constraints", "return", "if", "def f(", "def  ü1 (", "O(n)", "< 5", "≤3", "==", "x = {", "X=1", "import numpy", "from torch import x", "Pool(", "with Pool (", "multiprocessing", "time.time", "RANDOM", "random2", "#", "- x", "1. y", "{ 3 :", "abc", "abcd", "trie", "balance a and b and c", "minimize the maximum", "maximize", "minimise x maximise", "memo", "lru_cache", "__name__", 'if __name__ == "__main__"', "from __future__ import", "    def g(", "MAX_DEPTH", "real-time", "edge case", "ÄRGER", " ", " ", "\t", "\u0130nput", "\u0131nput", "mu\u017ft", "loc\u212a", "sample input", "function signature", "no external libraries", "sequential", "if not use_multiprocessing", "thread", "''' doc", '"""']
@@ -34,3 +36,9 @@ def test_columns(spark):
     same = patterns.matched(rows.drop("ideal", "starter"), ["2.2_no_redundant_memoization"], {"ideal": "prompt"})
     assert same.columns == ["id", "prompt", "m_cache", "m_lru_cache", "m_memo"] and same.count() == 3
     assert patterns.matched(rows.limit(0), checks.CHECKS).count() == 0
+
+
+def test_batches_are_taken_in_pieces():
+    batch = pa.RecordBatch.from_pydict({"prompt": ["a" * 10, None, "b" * 30, "", "c" * 5, "d" * 5], "k": [1, 2, 3, 4, 5, 6]})
+    got = list(patterns.pieces(batch, ["prompt"], 12))
+    assert [p.num_rows for p in got] == [2, 1, 3] and pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
