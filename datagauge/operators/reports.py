@@ -120,9 +120,10 @@ def stated(one: DataFrame, kind: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audit.signals(spark, sf_dir)
+    # Read by the totals and by the relationships.
+    rows = written(audit.signals(spark, sf_dir), "signals")
     # One row, read by every part of a report.
-    return written(with_strongest(totals(rows), sections.q_check_relationships(spark, sf_dir)), "summary")
+    return written(with_strongest(totals(rows), sections.check_relationships(spark, sf_dir, rows)), "summary")
 
 
 def q_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from datagauge.functions import scalars
-from datagauge.operators import pairs, reports
+from datagauge.operators import pairs, reports, sections
 
 SAMPLE = "id long, prompt array<string>, template array<string>, tests array<string>, starter array<string>, title array<string>, function array<string>, name string, vector array<double>"
 
@@ -70,3 +70,8 @@ def test_scalars(spark):
     assert [one(lambda c, f=f: scalars.incomplete_reason(c, F.lit(f), F.lit("done")), value=v) for v, f in (("max", "stop"), (None, "length"), (None, "stop"))] == ["max", "length", ""]
     assert [one(scalars.repaired, value=v) for v in ("cafÃ©\r\nx\ry", "Ã", "日Ã©", "café", None)] == ["café\nx\ny", "Ã", "日Ã©", "café", ""]
     assert [one(scalars.json_object, value=v) for v in ('{"a": 1}', 'say {"a": 1} ok', "[1]", "{x}", None, "")] == ['{"a":1}', '{"a":1}', None, None, None, None]
+
+
+def test_relationships_match_the_checks_once(spark):
+    plan = sections.q_check_relationships(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
