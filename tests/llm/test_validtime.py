@@ -1,6 +1,7 @@
 """Valid-time enrichment against a plain loop over the contract's steps, with and without hot clients, and against its SQL."""
 
 import datetime
+import os
 import random
 import zlib
 
@@ -112,3 +113,22 @@ def test_settings_are_given_back(spark):
     with validtime._settings(spark, validtime.SETTINGS):
         assert all(spark.conf.get(k) == v for k, v in validtime.SETTINGS.items())
     assert {k: spark.conf.get(k, None) for k in validtime.SETTINGS} == before
+
+
+def test_a_start_opens_one_store_a_partition(spark, monkeypatch):
+    """Each store that a start opens leaves memory behind, so gate and versions share one; held sales and versions are both kept there."""
+    stores, clean = [], validtime.Enrichment.clean
+
+    def looked_at(run):
+        at = run.root.removeprefix("file:") + "/checkpoint/state"
+        stores.extend(f"{d}/{p}" for d in os.listdir(at) if d.isdigit() for p in os.listdir(f"{at}/{d}") if p.isdigit())
+        clean(run)
+
+    monkeypatch.setattr(validtime.Enrichment, "clean", looked_at)
+    monkeypatch.setattr(validtime, "BATCHES", 2)
+    at = lambda day: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day)
+    sales = [(1, 1, at(5), at(5), 1), (2, 1, at(80), at(80), 1), (3, 1, at(4), at(90), 1), (4, 1, at(20), at(20), 1)]
+    changes = [(c, 1, 0, "U", at(day), float(c), "x") for c, day in ((1, 1), (2, 3), (3, 79), (4, 81), (5, 30))]
+    got = validtime.enrich(spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES))
+    assert sorted((r["id"], r["batch"], r["change_id"]) for r in got.collect()) == [(1, 1, 2), (2, 2, 3), (3, 1, 2), (4, 2, 2)]
+    assert sorted(stores) == [f"0/{p}" for p in range(4)]
